@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from chronofold.llm import exact_dedup, mixing, sharding
+from chronofold.llm import exact_dedup, mixing, near_dedup, packing, quality, sharding
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op7_sharding": sharding.op7_sharding,
+    "op8_quality": quality.op8_quality,
+    "op9_packing": packing.op9_packing,
+    "op10_near_dedup": near_dedup.op10_near_dedup,
 }
 SQL = {"op4_exact_dedup": exact_dedup.SQL}
