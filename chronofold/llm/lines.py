@@ -246,7 +246,7 @@ def _row_order(ids: DataFrame) -> DataFrame:
     placed = cut(ids.repartitionByRange("__doc", "row").sortWithinPartitions("__doc", "row").withColumn("__seq", F.monotonically_increasing_id()))
     part = F.shiftright("__seq", 33)
     starts = placed.groupBy(part.alias("__p")).count().withColumn("__start", F.coalesce(F.sum("count").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__p", "__start")
-    return placed.join(F.broadcast(starts), part == F.col("__p")).select("row", (F.col("__start") + F.col("__seq").bitwiseAND((1 << 33) - 1)).alias("__pos"))
+    return placed.join(starts, part == F.col("__p")).select("row", (F.col("__start") + F.col("__seq").bitwiseAND((1 << 33) - 1)).alias("__pos"))
 
 
 def _rebuilt(marked: DataFrame, rest: list[str]) -> DataFrame:

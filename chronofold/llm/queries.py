@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from chronofold.llm import exact_dedup, mixing, near_dedup, packing, quality, sharding
+from chronofold.llm import exact_dedup, lines, media, mixing, near_dedup, packing, quality, secrets, sharding, substrings
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_media": media.op2_media,
+    "op3_secrets": secrets.op3_secrets,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_line_dedup": lines.op5_line_dedup,
+    "op6_suffix_dedup": substrings.op6_suffix_dedup,
     "op7_sharding": sharding.op7_sharding,
     "op8_quality": quality.op8_quality,
     "op9_packing": packing.op9_packing,
