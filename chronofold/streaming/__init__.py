@@ -1,0 +1 @@
+"""Micro-batch forms of operators that are maintained incrementally."""
