@@ -145,3 +145,23 @@ class Dataset:
         s = self.config["split"]
         rows = sequences.examples(events, "validation", s["replay_history_size"], s["min_prior_interactions"])
         return core, rows.withColumn("query_id", F.concat_ws(":", "user_id", "item_id"))
+
+
+class FileDataset(Dataset):
+    """The same stages over prepared interactions and items that were written before."""
+
+    def __init__(self, spark: SparkSession, interactions: str, items: str, config: dict) -> None:
+        super().__init__(spark, interactions, config)
+        self.paths = (interactions, items)
+
+    @cached_property
+    def interactions(self) -> DataFrame:
+        return self.spark.read.parquet(self.paths[0])
+
+    @cached_property
+    def items(self) -> DataFrame:
+        return self.spark.read.parquet(self.paths[1])
+
+    @cached_property
+    def labelled(self) -> DataFrame:
+        return self.interactions.drop("is_warm_user", "is_warm_item")

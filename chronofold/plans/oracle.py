@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from chronofold.plans.dataset import K
 
-CORE_ROUNDS = 10
+CORE_ROUNDS = 30
 
 
 def core_rounds(first: str, name: str) -> list[str]:
