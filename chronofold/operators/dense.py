@@ -45,6 +45,9 @@ def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int, *, batch_rows: i
     """
     if k < 1:
         raise ValueError("k has to be at least 1")
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    item_arrow, query_arrow = to_arrow_type(vectors.schema["item_id"].dataType), to_arrow_type(queries.schema["query_id"].dataType)
     item_type = vectors.schema["item_id"].dataType.simpleString()
     query_type = queries.schema["query_id"].dataType.simpleString()
     blocks = vectors.select("item_id", "vector").mapInArrow(_blocks, f"items array<{item_type}>, vectors binary")
@@ -70,7 +73,7 @@ def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int, *, batch_rows: i
                 for row, (name, known) in enumerate(zip(ids, seen)):
                     s = scores[row]
                     closed = [place[x] for x in known if x in place]
-                    s[closed] = -np.inf
+                    s[np.array(closed, int)] = -np.inf
                     n = min(k, len(items))
                     floor = np.partition(s, len(s) - n)[len(s) - n]
                     among = np.flatnonzero((s >= floor) & np.isfinite(s))
@@ -78,7 +81,7 @@ def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int, *, batch_rows: i
                     out_q += [name] * len(best)
                     out_i += items[best].tolist()
                     out_s += s[best].tolist()
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array(out_q), "item_id": pa.array(out_i), "score": pa.array(out_s, pa.float64())})
+                yield pa.RecordBatch.from_pydict({"query_id": pa.array(out_q, query_arrow), "item_id": pa.array(out_i, item_arrow), "score": pa.array(out_s, pa.float64())})
 
     part = packed.crossJoin(blocks).mapInArrow(score, f"query_id {query_type}, item_id {item_type}, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))
