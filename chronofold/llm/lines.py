@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import hashlib
-import zlib
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofold.llm.common import Powers, as_bytes, batches, chunks, cut, mix64, read
 
 #: Shorter lines (blank ones, headings, bullets) always stay.
 MIN_CHARS = 16
+#: Texts with candidate lines are looked up by a broadcast of up to this many rows, and by a shuffle beyond.
+BROADCAST_ROWS = 200_000
 #: Segments by which lines that can't have a neighbour are told apart before any deletion variant is made.
 SEGMENTS = 4
 _POWERS = Powers()
@@ -54,27 +53,24 @@ class Lines:
         return out
 
 
-def _texts(batch) -> list[str]:
-    return [zlib.decompress(x).decode("utf-8", "surrogatepass") for x in batch.column("packed").to_pylist()]
-
-
 def _each(it, make):
     import pyarrow as pa
 
     for batch in batches(it):
-        texts, rows = _texts(batch), np.asarray(batch.column("row"))
+        texts = [t.decode("utf-8", "surrogatepass") for t in as_bytes(batch.column("text"))]
+        doc, key = np.asarray(batch.column("doc")), np.asarray(batch.column("k"))
         for i, j in chunks(np.array([len(t) * 4 for t in texts])):
             lines = Lines(texts[i:j])
             if len(lines.start):
-                yield pa.RecordBatch.from_pydict(make(lines, rows[i:j]))
+                yield pa.RecordBatch.from_pydict(make(lines, doc[i:j], key[i:j]))
 
 
 def _occurrences(it):
-    yield from _each(it, lambda lines, rows: {"line": lines.whole(), "row": rows[lines.doc], "number": lines.number})
+    yield from _each(it, lambda lines, doc, k: {"line": lines.whole(), "doc": doc[lines.doc], "k": k[lines.doc], "number": lines.number})
 
 
 def _segments(it):
-    yield from _each(it, lambda lines, rows: {"key": lines.segment_keys().ravel(), "line": np.repeat(lines.whole(), 2 * SEGMENTS), "code": np.tile(np.arange(2 * SEGMENTS, dtype=np.int32), len(lines.start))})
+    yield from _each(it, lambda lines, doc, k: {"key": lines.segment_keys().ravel(), "line": np.repeat(lines.whole(), 2 * SEGMENTS), "code": np.tile(np.arange(2 * SEGMENTS, dtype=np.int32), len(lines.start))})
 
 
 def _shared(it):
@@ -101,12 +97,13 @@ def _named_lines(it):
 
     for batch in batches(it):
         out = []
-        for text, wanted in zip(_texts(batch), batch.column("wanted").to_pylist()):
+        for doc, k, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc", "k", "text", "wanted"))):
             lines = text.split("\n")
-            out += [(w["line"], w["ord"], sorted(set(w["codes"])), lines[w["number"]]) for w in wanted]
-        if out:
-            line, order, codes, text = zip(*out)
-            yield pa.RecordBatch.from_arrays([pa.array(line, pa.int64()), pa.array(order, pa.int64()), pa.array(codes, pa.list_(pa.int32())), pa.array(text, pa.string())], names=["line", "ord", "codes", "text"])
+            out += [(w["line"], doc, k, w["number"], sorted(set(w["codes"])), lines[w["number"]]) for w in wanted]
+        line, doc, k, number, codes, text = zip(*out)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(line, pa.int64()), pa.array(doc, pa.int64()), pa.array(k, pa.int64()), pa.array(number, pa.int32()), pa.array(codes, pa.list_(pa.int32())), pa.array(text, pa.string())], names=["line", "doc", "k", "number", "codes", "text"]
+        )
 
 
 def _variants(it):
@@ -114,74 +111,59 @@ def _variants(it):
     import pyarrow as pa
 
     for batch in batches(it):
-        line, order = (np.asarray(batch.column(c)) for c in ("line", "ord"))
-        for k, (text, codes) in enumerate(zip(batch.column("text").to_pylist(), batch.column("codes").to_pylist())):
+        for line, doc, k, number, codes, text in zip(*(batch.column(c).to_pylist() for c in ("line", "doc", "k", "number", "codes", "text"))):
             lines = Lines([text])
             n = len(text)
-            places = np.zeros(n + 1, bool)
+            places = np.zeros(n, bool)
             for c in codes:
                 m, j = n - (1 - c // SEGMENTS), c % SEGMENTS
                 places[m * j // SEGMENTS : m * (j + 1) // SEGMENTS + 1] = True
-            e = np.flatnonzero(places[:n])
+            e = np.flatnonzero(places)
+            size = np.array([n], np.uint64)
             zero, end = np.zeros(len(e), np.int64), np.full(len(e), n)
             h = lines.part(zero, e) + lines.part(e + 1, end) * _POWERS.up[e]
-            key = np.concatenate([mix64(h + np.uint64(n - 1) * _C[0]), mix64(lines.part(zero[:1], end[:1]) + np.uint64(n) * _C[0]) if len(e) else lines.h[:0]])
-            at = np.concatenate([e, [-1]]) if len(e) else e
-            yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "place": at.astype(np.int32), "ord": np.full(len(at), order[k]), "line": np.full(len(at), line[k])})
+            key = np.concatenate([mix64(h + (size - np.uint64(1)) * _C[0]), mix64(lines.part(np.array([0]), np.array([n])) + size * _C[0])])
+            at = np.concatenate([e, [-1]]).astype(np.int32)
+            same = lambda x, t: np.full(len(at), x, t)
+            yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "place": at, "doc": same(doc, np.int64), "k": same(k, np.int64), "number": same(number, np.int32), "line": same(line, np.int64)})
 
 
 def _earlier(it):
-    """Of a partition sorted by key, place and order: lines with the earliest line that has an equal variant."""
+    """Of a partition sorted by key and place: lines with the earliest line that has an equal variant."""
     import pyarrow as pa
 
     got = [b for b in batches(it)]
     if not got:
         return
     table = pa.Table.from_batches(got)
-    key, place, order, line = (table.column(c).to_numpy() for c in ("key", "place", "ord", "line"))
-    new_key = np.concatenate([[True], key[1:] != key[:-1]])
-    new_place = new_key | np.concatenate([[True], place[1:] != place[:-1]])
-    first = np.flatnonzero(new_place)[np.cumsum(new_place) - 1]
-    group = np.cumsum(new_key) - 1
-    key_first = np.flatnonzero(new_key)
-    out = [(order[first], line[first], (order[first] < order) & (place >= 0))]
-    # A line that is itself the variant stands first in its group, at -1; it is a neighbour of all others.
-    own = place[key_first[group]] == -1
-    out.append((order[key_first[group]], line[key_first[group]], own & (place >= 0) & (order[key_first[group]] < order)))
-    rest = np.where(place >= 0, order, np.iinfo(np.int64).max)
-    least = np.minimum.reduceat(rest, key_first)
-    holder = np.full(len(key_first), -1)
-    holds = np.flatnonzero(rest == least[group])
-    holder[group[holds]] = line[holds]
-    out.append((least[group], holder[group], (place == -1) & (least[group] < order)))
-    yield pa.RecordBatch.from_pydict(
-        {"line": np.concatenate([line[m] for *_, m in out]), "before": np.concatenate([o[m] for o, _, m in out]), "other": np.concatenate([x[m] for _, x, m in out])}
-    )
+    key, place, doc, k, number, line = (table.column(c).to_numpy() for c in ("key", "place", "doc", "k", "number", "line"))
+    # Positions in the corpus as numbers that compare alike within this partition; a line has one position.
+    order = np.empty(len(key), np.int64)
+    by_position = np.lexsort((number, k, doc))
+    order[by_position] = np.cumsum(np.concatenate([[0], (np.diff(doc[by_position]) != 0) | (np.diff(k[by_position]) != 0) | (np.diff(number[by_position]) != 0)]))
+    group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+    spot = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (place[1:] != place[:-1])]))
+    never = np.iinfo(np.int64).max
+
+    def least(of: np.ndarray, use: np.ndarray) -> np.ndarray:
+        out = np.full(of[-1] + 1, never)
+        np.minimum.at(out, of[use], order[use])
+        return out
 
+    left_out = place >= 0
+    # One place, one rest: the lines differ in that character alone. A line that is itself the rest lacks it.
+    before = np.where(left_out, np.minimum(least(spot, left_out)[spot], least(group, ~left_out)[group]), least(group, left_out)[group])
+    hit = np.flatnonzero(before < order)
+    other = by_position[np.searchsorted(order[by_position], before[hit])]
+    yield pa.RecordBatch.from_pydict({"line": line[hit], "doc": doc[other], "k": k[other], "number": number[other], "other": line[other]})
 
-def _rebuild(it):
-    import pyarrow as pa
 
-    for batch in batches(it):
-        texts, n, dropped = [], [], []
-        for packed, gone in zip(batch.column("packed").to_pylist(), batch.column("gone").to_pylist()):
-            lines = zlib.decompress(packed).split(b"\n")
-            n.append(len(lines))
-            dropped.append(len(gone))
-            if gone:
-                gone = set(gone)
-                lines = [x for i, x in enumerate(lines) if i not in gone]
-            texts.append(b"\n".join(lines))
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.binary()), pa.array(n, pa.int64()), pa.array(dropped, pa.int64())], names=["row", "left", "n_lines", "n_dropped"])
-
-
-def _pack(it):
+def _packed(batch):
     import pyarrow as pa
+    import zstandard
 
-    for batch in batches(it):
-        packed = pa.array([zlib.compress(t, 1) for t in as_bytes(batch.column("__text"))], pa.binary())
-        at = batch.schema.get_field_index("__text")
-        yield batch.set_column(at, "__text", packed)
+    pack = zstandard.ZstdCompressor(level=6).compress
+    return pa.array([None if t is None else pack(t) for t in batch.column("text").cast(pa.binary()).to_pylist()], pa.binary())
 
 
 def drop_lines(docs: DataFrame) -> DataFrame:
@@ -190,9 +172,11 @@ def drop_lines(docs: DataFrame) -> DataFrame:
     Lines are what stands between line feeds. One goes if an earlier line is the same or one edit (a character
     put in, left out or replaced) away; earlier by doc_id (null first), then place in the text. Lines under
     MIN_CHARS characters stay. A null text stays null and counts no line; a text whose lines all go is left
-    empty. Of repeated rows the first keeps its lines. An empty table gives no rows. Other columns pass through.
+    empty. Rows with one doc_id and one text are one document given twice: they keep the same lines. Rows with
+    one doc_id and several texts come in the order of a hash of the text. An empty table gives no rows. Other
+    columns pass through.
 
-    1. Lines are named by hashes; equal lines become one, with its first place and count.
+    1. Lines are named by 64-bit hashes; equal lines have one name, a first place and a count.
     2. Two lines within one edit agree outside one of SEGMENTS segments. Lines that share no such key with
        another leave: they have no neighbour.
     3. Of the others all variants with one character left out go, as hashed keys, where a shared key leaves
@@ -201,69 +185,77 @@ def drop_lines(docs: DataFrame) -> DataFrame:
        length times alphabet and can't grow with the corpus.
     4. The edit distance of each line to its earliest neighbour is verified on the texts.
     """
-    packed = docs.withColumn("__null", F.col("text").isNull()).withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).drop("text")
-    held = cut(packed.mapInArrow(_pack, packed.schema).withColumn("row", F.monotonically_increasing_id()).withColumnRenamed("__text", "packed"))
-    bodies = held.where("NOT __null").select("row", "packed")
-    occurrences = bodies.mapInArrow(_occurrences, "line long, row long, number int")
-    ids = held.select("row", F.col("doc_id").alias("__doc"))
-    # Rows in order of doc_id get a number by range-sorted partitions, so that one long is a line's place in the corpus.
-    lines = occurrences.join(_row_order(ids), "row").withColumn("ord", F.col("__pos") * F.lit(1 << 24) + F.col("number"))
-    classes = cut(lines.groupBy("line").agg(F.min(F.struct("ord", "row", "number")).alias("first"), F.count("*").alias("n")))
-    shared = bodies.mapInArrow(_segments, "key long, line long, code int").repartitionByRange("key", "line").sortWithinPartitions("key", "line").mapInArrow(_shared, "line long, code int")
-    wanted = shared.groupBy("line").agg(F.collect_set("code").alias("codes")).join(classes, "line")
-    by_row = wanted.groupBy(F.col("first.row").alias("row")).agg(F.collect_list(F.struct("line", F.col("first.ord").alias("ord"), F.col("first.number").alias("number"), "codes")).alias("wanted"))
-    named = cut(bodies.join(by_row, "row").select("packed", "wanted").mapInArrow(_named_lines, "line long, ord long, codes array<int>, text string"))
+    named = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("__k", F.xxhash64("doc_id", "text"))
+    bodies = named.where("text IS NOT NULL").select(F.col("__doc").alias("doc"), F.col("__k").alias("k"), F.col("text").cast("string").alias("text"))
+    occurrences = bodies.mapInArrow(_occurrences, "line long, doc long, k long, number int")
+    first = F.min(F.struct("doc", "k", "number")).alias("first")
+    shared = cut(bodies.mapInArrow(_segments, "key long, line long, code int").repartitionByRange("key", "line").sortWithinPartitions("key", "line").mapInArrow(_shared, "line long, code int"))
+    codes = shared.groupBy("line").agg(F.collect_set("code").alias("codes"))
+    wanted = occurrences.groupBy("line").agg(first).join(codes, "line")
+    by_row = cut(wanted.groupBy(F.col("first.doc").alias("doc"), F.col("first.k").alias("k")).agg(F.collect_list(F.struct("line", F.col("first.number").alias("number"), "codes")).alias("wanted")))
+    few = by_row.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    candidates = cut(bodies.join(F.broadcast(by_row) if few else by_row, ["doc", "k"]).mapInArrow(_named_lines, "line long, doc long, k long, number int, codes array<int>, text string").dropDuplicates(["line"]))
     near = (
-        named.mapInArrow(_variants, "key long, place int, ord long, line long")
+        candidates.mapInArrow(_variants, "key long, place int, doc long, k long, number int, line long")
         .repartition("key")
-        .sortWithinPartitions("key", "place", "ord")
-        .mapInArrow(_earlier, "line long, before long, other long")
+        .sortWithinPartitions("key", "place")
+        .mapInArrow(_earlier, "line long, doc long, k long, number int, other long")
         .groupBy("line")
-        .agg(F.min(F.struct("before", "other")).alias("found"))
+        .agg(F.min(F.struct("doc", "k", "number", "other")).alias("found"))
         .select("line", F.col("found.other").alias("other"))
     )
-    texts = named.select("line", "text")
+    texts = candidates.select("line", "text")
     verified = (
         near.join(texts, "line")
         .join(texts.select(F.col("line").alias("other"), F.col("text").alias("before")), "other")
         .where(F.levenshtein("text", "before", 1).between(0, 1))
         .select("line", F.lit(True).alias("near"))
     )
+    classes = occurrences.groupBy("line").agg(first, F.count("*").alias("n"))
     affected = cut(classes.join(verified, "line", "left").where("n > 1 OR near").select("line", "first", F.coalesce("near", F.lit(False)).alias("near")))
     gone = (
         occurrences.join(affected, "line")
-        .where("near OR row <> first.row OR number <> first.number")
-        .groupBy("row")
-        .agg(F.collect_list("number").alias("gone"))
+        .where("near OR doc <> first.doc OR k <> first.k OR number <> first.number")
+        .groupBy(F.col("doc").alias("__doc"), F.col("k").alias("__k"))
+        .agg(F.collect_set("number").alias("__gone"))
     )
-    rest = [c for c in docs.columns if c != "text"]
-    marked = held.join(gone, "row", "left").withColumn("gone", F.coalesce("gone", F.expr("cast(array() as array<int>)")))
-    return _rebuilt(marked, rest).select(*docs.columns, "__lines", "__dropped")
+    return _rebuilt(named, gone, docs)
 
 
-def _row_order(ids: DataFrame) -> DataFrame:
-    """(row, __pos): the rank of each row by __doc and row, exact and without one task for all rows."""
-    placed = cut(ids.repartitionByRange("__doc", "row").sortWithinPartitions("__doc", "row").withColumn("__seq", F.monotonically_increasing_id()))
-    part = F.shiftright("__seq", 33)
-    starts = placed.groupBy(part.alias("__p")).count().withColumn("__start", F.coalesce(F.sum("count").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__p", "__start")
-    return placed.join(starts, part == F.col("__p")).select("row", (F.col("__start") + F.col("__seq").bitwiseAND((1 << 33) - 1)).alias("__pos"))
+def _rebuilt(named: DataFrame, gone: DataFrame, docs: DataFrame) -> DataFrame:
+    """``docs`` without the lines in ``gone``; texts are packed while they are joined."""
+    columns = docs.columns
+    rest = [c for c in columns if c != "text"]
+    slim = named.select(*rest, "__doc", "__k", F.col("text").cast("string").alias("text"))
 
+    def pack(it):
+        import pyarrow as pa
 
-def _rebuilt(marked: DataFrame, rest: list[str]) -> DataFrame:
-    """Rows with packed text and the numbers of lines gone, back as text; all in one pass."""
-    schema = marked.select(*rest, F.lit("").alias("text"), F.lit(0).cast("long").alias("__lines"), F.lit(0).cast("long").alias("__dropped")).schema
+        for batch in batches(it):
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*rest, "__doc", "__k"]), _packed(batch)], names=[*rest, "__doc", "__k", "__packed"])
+
+    packed = slim.mapInArrow(pack, slim.withColumn("__packed", F.lit(None).cast("binary")).drop("text").schema)
+    schema = docs.withColumn("text", F.lit(None).cast("string")).select(*docs.columns, F.lit(0).cast("long").alias("__lines"), F.lit(0).cast("long").alias("__dropped")).schema
 
-    def run(it):
+    def build(it):
         import pyarrow as pa
+        import zstandard
 
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches(it):
-            null = batch.column("__null").to_pylist()
-            built = next(_rebuild([batch]))
-            text = [None if x else t.decode("utf-8", "surrogatepass") for x, t in zip(null, built.column("left").to_pylist())]
-            lines = [0 if x else n for x, n in zip(null, built.column("n_lines").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(text, pa.string()), pa.array(lines, pa.int64()), built.column("n_dropped")], names=[*rest, "text", "__lines", "__dropped"])
-
-    return marked.mapInArrow(run, schema)
+            texts, n, dropped = [], [], []
+            for raw, drop in zip(batch.column("__packed").to_pylist(), batch.column("__gone").to_pylist()):
+                lines = None if raw is None else unpack(raw).split(b"\n")
+                n.append(len(lines or ()))
+                dropped.append(len(drop or ()))
+                if drop:
+                    drop = set(drop)
+                    lines = [x for i, x in enumerate(lines) if i not in drop]
+                texts.append(None if lines is None else b"\n".join(lines).decode("utf-8", "surrogatepass"))
+            made = {"text": pa.array(texts, pa.string())}
+            yield pa.RecordBatch.from_arrays([*(made.get(c, batch.column(c) if c != "text" else None) for c in columns), pa.array(n, pa.int64()), pa.array(dropped, pa.int64())], names=[*columns, "__lines", "__dropped"])
+
+    return packed.join(gone, ["__doc", "__k"], "left").mapInArrow(build, schema)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
