@@ -3,46 +3,68 @@
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import Powers, as_bytes, batches, chunks, cut, read
+from chronofold.llm.common import Powers, as_bytes, batches, chunks, cut, mix64, read
 
 LENGTH = 200
 #: Length of the first rank. Each LENGTH-byte string holds this many more starts of such a rank, and is placed by the least of them.
-FIRST = 50
+FIRST = 32
 #: Bits for a position when the least rank is sought, so ties go to the leftmost.
 _BITS = np.uint64(30)
+#: Windows that are told apart together in round two.
+CELL = 16
+#: Bytes of text that are stored, sent and worked on together; a longer text is a block by itself.
+BLOCK = 1 << 20
 _POWERS = Powers()
 
 
 def _pack(it):
+    """Neighbouring texts as compressed blocks."""
     import pyarrow as pa
+    import zstandard
 
+    pack = zstandard.ZstdCompressor(level=6).compress
     for batch in batches(it):
-        texts = as_bytes(batch.column("text"))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([zlib.compress(t, 1) for t in texts], pa.binary())], names=["doc_id", "n", "packed"])
+        ids, texts = batch.column("doc_id"), as_bytes(batch.column("text"))
+        sizes = np.array([len(t) for t in texts])
+        out = [(ids.slice(i, j - i).to_pylist(), sizes[i:j].tolist(), pack(b"".join(texts[i:j]))) for i, j in chunks(sizes, BLOCK)]
+        names, lengths, packed = zip(*out)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.list_(pa.int64())), pa.array(lengths, pa.list_(pa.int32())), pa.array(packed, pa.binary())], names=["doc_ids", "sizes", "packed"])
 
 
-def _unpack(batch) -> list[bytes]:
-    return [zlib.decompress(x) for x in batch.column("packed").to_pylist()]
+def _blocks(batch):
+    """(row in the batch, block, doc_ids, Windows) of each block."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    for k in range(batch.num_rows):
+        yield k, Windows(unpack(batch.column("packed")[k].as_py()), np.array(batch.column("sizes")[k].as_py(), np.int64))
 
 
 class Windows:
-    """All LENGTH-byte windows of some texts laid end to end, in runs that are placed by the same anchor."""
-
-    def __init__(self, texts: list[bytes]) -> None:
-        self.offset = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        self.h = _POWERS.prefix(data)
-        n = len(data)
-        self.starts = np.zeros(0, np.int64)
-        self.anchor = self.low = self.high = self.doc = self.starts
+    """All LENGTH-byte windows of the texts of a block, in runs that are placed by the same anchor."""
+
+    def __init__(self, data: bytes, sizes: np.ndarray) -> None:
+        self.data = np.frombuffer(data, np.uint8)
+        self.offset = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        self._runs = None
+
+    @property
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Anchors, and the first and last window that each places."""
+        if self._runs is None:
+            self._runs = self._find()
+        return self._runs
+
+    def _find(self):
+        n = len(self.data)
+        self.h = _POWERS.prefix(self.data)
         if n < LENGTH:
-            return
+            return (np.zeros(0, np.int64),) * 3
         q = np.arange(n - FIRST + 1)
         self.rank = _POWERS.span(self.h, q, q + FIRST)
         m = (self.rank >> _BITS << _BITS) | q.astype(np.uint64)
@@ -54,34 +76,98 @@ class Windows:
         ends = np.repeat(self.offset[1:], np.diff(self.offset))
         p = np.flatnonzero(ends[: len(m)] - np.arange(len(m)) >= LENGTH)
         if not len(p):
-            return
+            return (np.zeros(0, np.int64),) * 3
         a = (m[p] & np.uint64((1 << 30) - 1)).astype(np.int64)
         new = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-        self.anchor, self.low, self.high = a[new], p[new], p[np.concatenate([new[1:], [len(p)]]) - 1]
-        self.doc = np.searchsorted(self.offset, self.anchor, "right") - 1
+        return a[new], p[new], p[np.concatenate([new[1:], [len(p)]]) - 1]
 
-    def ranks(self) -> tuple[np.ndarray, np.ndarray]:
-        """Of each run: the anchor's FIRST-byte rank, and the rank of all bytes that its windows could hold."""
-        left = np.maximum(self.offset[self.doc], self.anchor - (LENGTH - FIRST))
-        right = np.minimum(self.offset[self.doc + 1], self.anchor + LENGTH)
-        return self.rank[self.anchor], _POWERS.span(self.h, left, right) * np.uint64(2) + (self.anchor - left).astype(np.uint64)
+    def hull(self, at: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the bytes from left to right as far as the text of ``at`` goes, and of how far ``at`` is in it."""
+        doc = np.searchsorted(self.offset, at, "right") - 1
+        left, right = np.maximum(self.offset[doc], left), np.minimum(self.offset[doc + 1], right)
+        return _POWERS.span(self.h, left, right) * np.uint64(2) + (at - left).astype(np.uint64)
 
-    def full(self, p: np.ndarray) -> np.ndarray:
-        return _POWERS.span(self.h, p, p + LENGTH)
+    def run_of(self, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        anchors, low, high = self.runs
+        i = np.searchsorted(anchors, anchor)
+        return low[i], high[i]
 
+    def cells(self, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cells of each anchor's run: index of the anchor, and number of the cell, counted back from the anchor."""
+        low, high = self.run_of(anchor)
+        first, last = (anchor - high) // CELL, (anchor - low) // CELL
+        n = last - first + 1
+        which = np.repeat(np.arange(len(anchor)), n)
+        return which, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[which]
 
-def _anchors(it):
+    def in_cell(self, anchor: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last window of the run that lie in a cell."""
+        low, high = self.run_of(anchor)
+        return np.maximum(low, anchor - CELL * (cell + 1) + 1), np.minimum(high, anchor - CELL * cell)
+
+
+def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = high - low + 1
+    which = np.repeat(np.arange(len(low)), n)
+    return which, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[which]
+
+
+def _rows(key, hull, block, pos, weight, known):
     import pyarrow as pa
 
+    n = len(key)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(key.view(np.int64)), pa.array(hull.view(np.int64)), pa.array(np.full(n, block)), pa.array(pos.astype(np.int64)), pa.array(np.broadcast_to(weight, n).astype(np.int8)), pa.array(np.broadcast_to(known, n).astype(bool))],
+        names=["key", "hull", "block", "pos", "weight", "known"],
+    )
+
+
+ROWS = "key long, hull long, block long, pos long, weight byte, known boolean"
+
+
+def _anchors(it):
+    """Round one: an anchor's rank at FIRST, and of all the bytes that its windows could hold."""
+    for batch in batches(it):
+        for k, w in _blocks(batch):
+            a = w.runs[0]
+            if len(a):
+                yield _rows(w.rank[a], w.hull(a, a - (LENGTH - FIRST), a + LENGTH), batch.column("block")[k].as_py(), a, 1, False)
+
+
+def _listed(batch, k: int, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """pos, whole and weight of the marks of one block."""
+    flat = batch.column(column).slice(k, 1).flatten()
+    return flat.field("pos").to_numpy(zero_copy_only=False), flat.field("whole").to_numpy(zero_copy_only=False).astype(bool), flat.field("weight").to_numpy(zero_copy_only=False)
+
+
+def _cells(it):
+    """Round two: of each anchor with a weight the cells of CELL windows, the bytes that all of them hold and that any could."""
+    for batch in batches(it):
+        for k, w in _blocks(batch):
+            pos, whole, weight = _listed(batch, k, "marks")
+            use = weight > 0
+            if use.any():
+                w.runs
+                a = pos[use]
+                which, cell = w.cells(a)
+                a = a[which]
+                low, high = a - CELL * (cell + 1) + 1, a - CELL * cell
+                # Cells of neighbouring runs may lie in one place, each with windows of its own: anchor and number tell them apart.
+                key = mix64(_POWERS.span(w.h, high, low + LENGTH) + w.rank[a] * np.uint64(3) + cell.astype(np.uint64))
+                yield _rows(key, w.hull(high, low, high + LENGTH), batch.column("block")[k].as_py(), a * CELL + cell, weight[use][which], whole[use][which])
+
+
+def _windows(it):
+    """Round three: of each cell with a weight the single windows, by their rank at LENGTH."""
     for batch in batches(it):
-        rows, texts = np.asarray(batch.column("row")), _unpack(batch)
-        for i, j in chunks(np.array([len(t) for t in texts])):
-            w = Windows(texts[i:j])
-            if len(w.anchor):
-                key, hull = w.ranks()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(hull.view(np.int64)), pa.array(rows[i:j][w.doc]), pa.array((w.anchor - w.offset[w.doc]).astype(np.int32))], names=["key", "hull", "row", "pos"]
-                )
+        for k, w in _blocks(batch):
+            pos, whole, weight = _listed(batch, k, "marks")
+            use = weight > 0
+            if use.any():
+                w.runs
+                low, high = w.in_cell(pos[use] // CELL, pos[use] % CELL)
+                which, p = _spread(low, high)
+                yield _rows(_POWERS.span(w.h, p, p + LENGTH), np.zeros(len(p), np.uint64), batch.column("block")[k].as_py(), p, weight[use][which], whole[use][which])
 
 
 def _table(it) -> dict[str, np.ndarray] | None:
@@ -103,11 +189,11 @@ def _groups(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(change) - 1, np.flatnonzero(change)
 
 
-def _rerank_anchors(it):
-    """Of a sorted partition: anchors whose whole surroundings recur (whole), and one anchor for each kind of
-    surroundings where these differ (weight: 1, or 2 for a kind that recurs); anchors with a unique rank go.
+def _rerank(it):
+    """Of a sorted partition: rows whose hull recurs (whole), and one row for each hull of a key that has several
+    (weight: 1, or 2 for a hull that recurs); a row whose key is unique goes.
 
-    The groups at the partition's ends may go on in the next one, so they count as differing.
+    The keys at the partition's ends may go on in the next one, so they count as having several hulls.
     """
     import pyarrow as pa
 
@@ -116,97 +202,64 @@ def _rerank_anchors(it):
         return
     group, group_first = _groups(t["key"])
     kind, kind_first = _groups(t["key"], t["hull"])
-    kind_size = np.diff(np.concatenate([kind_first, [len(kind)]]))
-    kinds = np.bincount(group[kind_first], minlength=len(group_first))
-    mixed = kinds > 1
+    size = np.add.reduceat(t["weight"].astype(np.int64), kind_first)
+    mixed = np.bincount(group[kind_first], minlength=len(group_first)) > 1
     mixed[[0, -1]] = True
-    whole = kind_size[kind] > 1
-    weight = np.zeros(len(kind), np.int32)
-    weight[kind_first] = np.where(mixed[group[kind_first]], np.minimum(kind_size, 2), 0)
-    keep = whole | (weight > 0)
-    yield pa.RecordBatch.from_arrays([pa.array(t["row"][keep]), pa.array(t["pos"][keep]), pa.array(whole[keep]), pa.array(weight[keep])], names=["row", "pos", "whole", "weight"])
-
-
-def _marks(batch, i: int, j: int, w: Windows, column: str):
-    """Positions listed for texts i to j as (run of that anchor or -1, the list's entries flattened)."""
-    lists = batch.column(column).slice(i, j - i)
-    flat = lists.flatten()
-    sizes = np.array([len(x) if x is not None else 0 for x in lists.to_pylist()]) if lists.null_count else np.diff(lists.offsets.to_numpy())
-    return np.repeat(np.arange(j - i), sizes), flat
-
-
-def _windows(it):
-    """The single windows of each anchor with a weight, with their rank at full LENGTH."""
-    import pyarrow as pa
-
-    for batch in batches(it):
-        rows, texts = np.asarray(batch.column("row")), _unpack(batch)
-        for i, j in chunks(np.array([len(t) for t in texts])):
-            doc, flat = _marks(batch, i, j, None, "marks")
-            pos, whole, weight = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("pos", "whole", "weight"))
-            use = weight > 0
-            if not use.any():
-                continue
-            w = Windows(texts[i:j])
-            run = np.searchsorted(w.anchor, w.offset[doc[use]] + pos[use])
-            length = w.high[run] - w.low[run] + 1
-            p = np.repeat(w.low[run] - np.cumsum(length) + length, length) + np.arange(length.sum())
-            d = np.repeat(w.doc[run], length)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(w.full(p).view(np.int64)), pa.array(rows[i:j][d]), pa.array((p - w.offset[d]).astype(np.int32)), pa.array(np.repeat(weight[use].astype(np.int32), length)), pa.array(np.repeat(whole[use], length))],
-                names=["key", "row", "pos", "weight", "whole"],
-            )
+    known = t["known"].astype(bool)
+    whole = (size[kind] > 1) | known
+    weight = np.zeros(len(kind), np.int8)
+    weight[kind_first] = np.where(mixed[group[kind_first]], np.minimum(size, 2), 0)
+    keep = (whole & ~known) | (weight > 0)
+    yield pa.RecordBatch.from_arrays([pa.array(t["block"][keep]), pa.array(t["pos"][keep]), pa.array(whole[keep]), pa.array(weight[keep])], names=["block", "pos", "whole", "weight"])
 
 
 def _rerank_windows(it):
-    """Of a sorted partition: windows that recur and aren't known to (edge false), and a row for each group at its ends."""
+    """Of a sorted partition: windows that recur and aren't known to (edge false), and a row for each key at its ends."""
     import pyarrow as pa
 
     t = _table(it)
     if t is None:
         return
     group, first = _groups(t["key"])
-    total = np.add.reduceat(t["weight"], first)
-    keep = np.flatnonzero((total[group] > 1) & ~t["whole"].astype(bool))
+    total = np.add.reduceat(t["weight"].astype(np.int64), first)
+    keep = np.flatnonzero((total[group] > 1) & ~t["known"].astype(bool))
     ends = np.unique(first[[0, -1]])
     at = np.concatenate([keep, ends])
     edge = np.repeat([False, True], [len(keep), len(ends)])
-    yield pa.RecordBatch.from_arrays([pa.array(t["key"][at]), pa.array(t["row"][at]), pa.array(t["pos"][at]), pa.array(total[group[at]].astype(np.int32)), pa.array(edge)], names=["key", "row", "pos", "total", "edge"])
+    yield pa.RecordBatch.from_arrays([pa.array(t["key"][at]), pa.array(t["block"][at]), pa.array(t["pos"][at]), pa.array(total[group[at]]), pa.array(edge)], names=["key", "block", "pos", "total", "edge"])
 
 
 def _removed(it):
-    """What is left of each text, from its recurring anchors (marks) and windows (more)."""
+    """What is left of each text, from its recurring anchors (marks), cells and windows."""
     import pyarrow as pa
 
     for batch in batches(it):
-        ids, texts = batch.column("doc_id"), _unpack(batch)
-        for i, j in chunks(np.array([len(t) for t in texts])):
-            doc, flat = _marks(batch, i, j, None, "marks")
-            pos, whole = flat.field("pos").to_numpy(zero_copy_only=False), flat.field("whole").to_numpy(zero_copy_only=False).astype(bool)
-            more_doc, more = _marks(batch, i, j, None, "more")
-            offset = np.concatenate([[0], np.cumsum([len(t) for t in texts[i:j]])]).astype(np.int64)
-            depth = np.zeros(offset[-1] + 1, np.int32)
+        for k, w in _blocks(batch):
+            n = len(w.data)
+            depth = np.zeros(n + 1, np.int32)
+
+            def cover(low, high):
+                np.add.at(depth, low, 1)
+                np.add.at(depth, high + LENGTH, -1)
+
+            pos, whole, _ = _listed(batch, k, "marks")
             if whole.any():
-                w = Windows(texts[i:j])
-                run = np.searchsorted(w.anchor, offset[doc[whole]] + pos[whole])
-                np.add.at(depth, w.low[run], 1)
-                np.add.at(depth, w.high[run] + LENGTH, -1)
-            if len(more):
-                p = offset[more_doc] + more.to_numpy()
-                np.add.at(depth, p, 1)
-                np.add.at(depth, p + LENGTH, -1)
-            gone = np.cumsum(depth)[:-1] > 0
-            out = []
-            for k, text in enumerate(texts[i:j]):
-                g = gone[offset[k] : offset[k + 1]]
-                spans, kept = 0, text
-                if g.any():
-                    spans = int(g[0]) + int((g[1:] & ~g[:-1]).sum())
-                    kept = np.frombuffer(text, np.uint8)[~g].tobytes()
-                out.append((len(text), int(g.sum()), spans, kept))
-            n, removed, spans, kept = zip(*out)
+                cover(*w.run_of(pos[whole]))
+            pos, whole, _ = _listed(batch, k, "cells")
+            if whole.any():
+                cover(*w.in_cell(pos[whole] // CELL, pos[whole] % CELL))
+            single = batch.column("more").slice(k, 1).flatten().to_numpy()
+            if len(single):
+                cover(single, single)
+            gone = np.cumsum(depth)[:n] > 0
+            removed, spans, kept = [], [], []
+            for a, b in zip(w.offset[:-1], w.offset[1:]):
+                g = gone[a:b]
+                removed.append(int(g.sum()))
+                spans.append(int(g[0]) + int((g[1:] & ~g[:-1]).sum()) if b > a else 0)
+                kept.append(w.data[a:b][~g].tobytes() if removed[-1] else w.data[a:b].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(i, j - i), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array(kept, pa.binary())],
+                [pa.array(batch.column("doc_ids")[k].as_py(), pa.int64()), pa.array(np.diff(w.offset)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array(kept, pa.binary())],
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
             )
 
@@ -218,33 +271,41 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     strings are judged on the input. Null text: empty. A text under LENGTH bytes keeps all. Repeated rows are
     texts of their own, so both lose what they share. An empty table gives no rows.
 
-    Prefix doubling over suffixes sorts a rank for each byte. Here ranks are hashes, and a suffix array's first
-    round is thinned without loss: each window is placed by the least FIRST-byte rank in it, which recurs with
-    it. So round one sorts a pair (rank at FIRST, rank of all the bytes around it) for some bytes in 75; unique
-    ranks leave, and where all surroundings agree all windows there are known to recur. Only where they differ,
-    round two sorts the single windows by their rank at LENGTH. Partitions are ranges of the sorted pairs: a
-    rank with a third of all positions spans tasks, and groups at partition ends are settled by themselves.
-    Ranks have 64 bits: two strings that differ are taken for equal with odds of 2**-64 a pair.
+    Prefix doubling over suffixes sorts a rank for each byte, at growing lengths, until it is unique or the
+    length is at the threshold. Here ranks are hashes, and the rounds are thinned without loss. Each window is
+    placed by the least FIRST-byte rank in it, which recurs with it. Round one sorts (rank at FIRST, rank of all
+    the bytes around it) for these anchors, one byte in 85; unique ranks leave, and where all surroundings agree
+    all windows there are known to recur. Where they differ, round two sorts the same pair for cells of CELL
+    neighbouring windows, one row for each kind of surroundings; where these differ still, round three sorts
+    the single windows at LENGTH. Partitions are ranges of the sorted pairs, so a rank with a third of all
+    positions spans tasks; keys at partition ends go on to the next round, and the last round's are settled by
+    themselves. Ranks have 64 bits: two strings that differ are taken for equal with odds of 2**-64 a pair.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_pack, "doc_id long, n long, packed binary")
-    held = cut(rows.withColumn("row", F.monotonically_increasing_id()))
-    pairs = held.where(f"n >= {LENGTH}").select("row", "packed").mapInArrow(_anchors, "key long, hull long, row long, pos int")
-    marks = cut(
-        pairs.repartitionByRange("key", "hull", "row", "pos")
-        .sortWithinPartitions("key", "hull", "row", "pos")
-        .mapInArrow(_rerank_anchors, "row long, pos int, whole boolean, weight int")
-        .groupBy("row")
-        .agg(F.sort_array(F.collect_list(F.struct("pos", "whole", "weight"))).alias("marks"))
-    )
-    windows = held.select("row", "packed").join(marks.where(F.exists("marks", lambda x: x["weight"] > 0)), "row").mapInArrow(_windows, "key long, row long, pos int, weight int, whole boolean")
-    found = cut(windows.repartitionByRange("key", "row", "pos").sortWithinPartitions("key", "row", "pos").mapInArrow(_rerank_windows, "key long, row long, pos int, total int, edge boolean"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_pack, "doc_ids array<long>, sizes array<int>, packed binary")
+    held = cut(rows.withColumn("block", F.monotonically_increasing_id()))
+    order = ["key", "hull", "block", "pos"]
+
+    def marked(pairs: DataFrame) -> DataFrame:
+        found = pairs.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_rerank, "block long, pos long, whole boolean, weight byte")
+        return cut(found.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("pos", "whole", "weight"))).alias("marks")))
+
+    def again(marks: DataFrame) -> DataFrame:
+        """The blocks with marks to look into; only these marks go along."""
+        open_marks = marks.select("block", F.filter("marks", lambda x: x["weight"] > 0).alias("marks")).where(F.size("marks") > 0)
+        return held.drop("doc_ids").join(open_marks, "block")
+
+    marks = marked(held.select("block", "sizes", "packed").mapInArrow(_anchors, ROWS))
+    cells = marked(again(marks).mapInArrow(_cells, ROWS))
+    windows = again(cells).mapInArrow(_windows, ROWS).repartitionByRange("key", "block", "pos").sortWithinPartitions("key", "block", "pos")
+    found = cut(windows.mapInArrow(_rerank_windows, "key long, block long, pos long, total long, edge boolean"))
     edges = found.where("edge")
     across = edges.where("total = 1").join(edges.groupBy("key").agg(F.sum("total").alias("sum")).where("sum > 1").select("key"), "key", "left_semi")
-    more = found.where("NOT edge").select("row", "pos").unionByName(across.select("row", "pos")).groupBy("row").agg(F.sort_array(F.collect_list("pos")).alias("more"))
-    marked = held.select("row", "doc_id", "packed").join(marks.join(more, "row", "left"), "row", "left")
-    empty = F.expr("cast(array() as array<struct<pos: int, whole: boolean, weight: int>>)")
-    marked = marked.select("doc_id", "packed", F.coalesce("marks", empty).alias("marks"), F.coalesce("more", F.expr("cast(array() as array<int>)")).alias("more"))
-    return marked.mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    more = found.where("NOT edge").select("block", "pos").unionByName(across.select("block", "pos")).groupBy("block").agg(F.sort_array(F.collect_list("pos")).alias("more"))
+    sure = lambda df, name: df.select("block", F.filter("marks", lambda x: x["whole"]).alias(name)).where(F.size(name) > 0)
+    told = sure(marks, "marks").join(sure(cells, "cells"), "block", "full").join(more, "block", "full")
+    none = F.expr("cast(array() as array<struct<pos: bigint, whole: boolean, weight: tinyint>>)")
+    out = held.join(told, "block", "left").select("doc_ids", "sizes", "packed", F.coalesce("marks", none).alias("marks"), F.coalesce("cells", none).alias("cells"), F.coalesce("more", F.expr("cast(array() as array<bigint>)")).alias("more"))
+    return out.mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
