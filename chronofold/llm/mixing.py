@@ -60,27 +60,27 @@ def mix(docs: DataFrame, size: Column, *, weights: tuple[int, ...] = WEIGHTS, sh
     rows = docs.withColumns(names)
     narrow = cut(rows.select("source", "__source_key", "__size", "__hash"))
     sizes = narrow.groupBy(F.col("__source_key").alias("source_key"), "source").agg(F.sum("__size").alias("source_size"))
-    targets = source_targets(sizes, weights=weights, share=share, repeats=repeats)
+    targets = source_targets(sizes, weights=weights, share=share, repeats=repeats).toDF("__t_key", "__t_size", "__t_weight", "__t_target")
     order = ["__hash", "doc_id", "__size"]
     placed = running_total(rows, "__source_key", order, F.col("__size"), "__before", totals=narrow)
-    quota = F.floor(F.col("target") + 1e-6)
+    quota = F.floor(F.col("__t_target") + 1e-6)
     if whole:
-        passes = [F.when((F.col("__size") > 0) & (F.col("__before") + F.col("source_size") * k + F.col("__size") / 2 <= quota), 1).otherwise(0) for k in range(repeats)]
+        passes = [F.when((F.col("__size") > 0) & (F.col("__before") + F.col("__t_size") * k + F.col("__size") / 2 <= quota), 1).otherwise(0) for k in range(repeats)]
         copies = sum(passes[1:], passes[0])
         taken = copies * F.col("__size")
     else:
-        parts = [F.greatest(F.lit(0), F.least(F.col("__size"), quota - F.col("__before") - F.col("source_size") * k)) for k in range(repeats)]
+        parts = [F.greatest(F.lit(0), F.least(F.col("__size"), quota - F.col("__before") - F.col("__t_size") * k)) for k in range(repeats)]
         taken = sum(parts[1:], parts[0])
         copies = F.ceil(taken / F.greatest(F.col("__size"), F.lit(1)))
-    return placed.join(targets, F.col("__source_key") == F.col("source_key")).withColumns(
+    return placed.join(targets, F.col("__source_key") == F.col("__t_key")).withColumns(
         {
-            "__source_size": F.col("source_size"),
-            "__target": F.col("target"),
+            "__source_size": F.col("__t_size"),
+            "__target": F.col("__t_target"),
             "__taken": taken.cast("long"),
             "__copies": copies.cast("int"),
-            "__finish": (F.col("__before") + F.col("__size")) / F.col("weight"),
+            "__finish": (F.col("__before") + F.col("__size")) / F.col("__t_weight"),
         }
-    ).drop("source_key", "source_size", "weight", "target", "__source_key", "__hash", "__before")
+    ).drop("__t_key", "__t_size", "__t_weight", "__t_target", "__source_key", "__hash", "__before")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
