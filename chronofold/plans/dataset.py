@@ -20,11 +20,19 @@ _MADE: dict[tuple[str, str], "Dataset"] = {}
 class Dataset:
     """Stages as properties; what several queries read is checkpointed when first asked for."""
 
+    #: Whether models are trained with the short settings of the registered queries.
+    quick = True
+
     def __init__(self, spark: SparkSession, sf_dir: str, config: dict | None = None) -> None:
         self.spark, self.sf_dir, self.config = spark, sf_dir, config or DEFAULTS
         self._queries: dict[str, DataFrame] = {}
         self._lists: dict[tuple[str, str], DataFrame] = {}
 
+    @property
+    def candidates(self) -> int:
+        """Candidates that each source gives a query."""
+        return K if self.quick else self.config["retrieval"]["candidate_count"]
+
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> "Dataset":
         key = (spark.sparkContext.applicationId, sf_dir)
@@ -150,6 +158,8 @@ class Dataset:
 class FileDataset(Dataset):
     """The same stages over prepared interactions and items that were written before."""
 
+    quick = False
+
     def __init__(self, spark: SparkSession, interactions: str, items: str, config: dict) -> None:
         super().__init__(spark, interactions, config)
         self.paths = (interactions, items)

@@ -13,7 +13,9 @@ from chronofold.operators import candidates, dense, item_cf, metrics, popularity
 from chronofold.plans.dataset import K, Dataset
 from chronofold.sources import readers
 
-US = micros(F.col("event_ts")).alias("ts_us")
+def us():
+    return micros(F.col("event_ts")).alias("ts_us")
+
 FEATURE_DIGITS = 6
 
 
@@ -111,17 +113,17 @@ def _trained(name: str):
 
 
 QUERIES = {
-    "canonical_events": _of(lambda d: d.canonical.select("user_id", "item_id", US, "verified_purchase")),
+    "canonical_events": _of(lambda d: d.canonical.select("user_id", "item_id", us(), "verified_purchase")),
     "recency_window": _of(lambda d: d.windowed.agg(F.count("*").alias("events"), F.min(micros(F.col("event_ts"))).alias("first_us"), F.max(micros(F.col("event_ts"))).alias("last_us"))),
     "split_boundaries": _of(_boundaries),
     "temporal_split_counts": _of(lambda d: d.labelled.groupBy("split").agg(F.count("*").alias("events"), F.count_distinct("user_id").alias("users"), F.count_distinct("item_id").alias("items"))),
-    "k_core_events": _of(lambda d: d.core.select("user_id", "item_id", US)),
+    "k_core_events": _of(lambda d: d.core.select("user_id", "item_id", us())),
     "warm_users": _of(lambda d: d.core.groupBy("user_id").agg(F.count("*").alias("events"))),
     "warm_items": _of(lambda d: d.core.groupBy("item_id").agg(F.count("*").alias("events"))),
-    "warm_flags": _of(lambda d: d.interactions.select("user_id", "item_id", US, "verified_purchase", "split", "is_warm_user", "is_warm_item")),
+    "warm_flags": _of(lambda d: d.interactions.select("user_id", "item_id", us(), "verified_purchase", "split", "is_warm_user", "is_warm_item")),
     "item_catalog": _of(lambda d: d.items),
     "data_manifest_counts": _of(lambda d: prepare.manifest_counts(d.interactions)),
-    "sequence_examples": _of(lambda d: d.queries("validation").select("query_id", "user_id", "item_id", US, "prior_count", F.array_join(F.transform("history", lambda x: x.cast("string")), ",").alias("history"))),
+    "sequence_examples": _of(lambda d: d.queries("validation").select("query_id", "user_id", "item_id", us(), "prior_count", F.array_join(F.transform("history", lambda x: x.cast("string")), ",").alias("history"))),
     "padded_histories": _of(lambda d: sequences.padded(d.queries("validation")).select("query_id", F.array_join(F.transform("history", lambda x: x.cast("string")), ",").alias("history"))),
     "sequence_histories_long": _of(lambda d: d.queries("validation").select("query_id", F.posexplode("history").alias("slot", "history_item"))),
     "prior_event_counts": _of(lambda d: d.queries("train").groupBy("prior_count").agg(F.count("*").alias("examples"))),
@@ -147,8 +149,8 @@ QUERIES = {
     "category_affinity": _of(lambda d: candidates.affinity(d.queries("validation"), d.items, "main_category").select("query_id", "value", F.round("share", 6).alias("share"))),
     "brand_affinity": _of(lambda d: candidates.affinity(d.queries("validation"), d.items, "brand").select("query_id", "value", F.round("share", 6).alias("share"))),
     "fold_boundaries": _of(_fold_bounds),
-    "fold_train_core": _of(lambda d: _folds(d, lambda i: d.fold(i)[0].select("user_id", "item_id", US))),
-    "fold_targets": _of(lambda d: _folds(d, lambda i: d.fold(i)[1].select("user_id", "item_id", US))),
+    "fold_train_core": _of(lambda d: _folds(d, lambda i: d.fold(i)[0].select("user_id", "item_id", us()))),
+    "fold_targets": _of(lambda d: _folds(d, lambda i: d.fold(i)[1].select("user_id", "item_id", us()))),
     "fold_summary": _of(_fold_summary),
     "recall_at_k": _of(_recalls),
     "hit_rate_ndcg_at_10": _of(_hits),

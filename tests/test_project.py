@@ -73,6 +73,15 @@ def test_digest(tmp_path):
     assert writers.file_sha256(path) == hashlib.sha256(b"a" * 3_000_000).hexdigest()
 
 
+def test_entry_module_needs_no_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], check=True)
+
+
 def test_queries_match_their_oracles(spark):
     import duckdb
     import pandas as pd
