@@ -88,5 +88,3 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(cut(docs), F.col("size"))
     return mixed.select("doc_id", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"), F.col("__finish").alias("finish")).orderBy("finish", "doc_id")
 
-
-SQL = None

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chronofold.llm import exact_dedup, lines, media, mixing, near_dedup, packing, quality, secrets, sharding, substrings
+from chronofold.llm import exact_dedup, lines, media, mixing, near_dedup, oracles, packing, quality, secrets, sharding, substrings
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -16,4 +16,9 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
     "op10_near_dedup": near_dedup.op10_near_dedup,
 }
-SQL = {"op4_exact_dedup": exact_dedup.SQL}
+SQL = {
+    "op4_exact_dedup": exact_dedup.SQL,
+    "op5_line_dedup": oracles.LINES,
+    "op6_suffix_dedup": oracles.SUBSTRINGS,
+    "op10_near_dedup": oracles.NEAR,
+}
