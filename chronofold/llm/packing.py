@@ -19,7 +19,7 @@ GRANULE = 256
 MAX_QUEUES = 4096
 SEED = 41
 #: Words that a worker remembers the ids of; a full cache starts anew.
-CACHE = 600_000
+CACHE = 400_000
 #: Fixed-point bits of a round's quantum.
 SHIFT = 16
 
@@ -45,23 +45,19 @@ class Encoder(dict):
         visible = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
         hidden = (b for b in range(256) if b not in set(visible))
         self.letters = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.parts: dict[str, list[int]] = {}
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE:
             self.clear()
         if self.simple(word) and "<|" not in word:
-            ids: list[int] = []
-            for part in self.split(word.lower()):
-                got = self.parts.get(part)
-                if got is None:
-                    if len(self.parts) >= CACHE:
-                        self.parts.clear()
-                    got = self.parts[part] = [t.id for t in self.merge(part.encode().decode("latin-1").translate(self.letters))]
-                ids += got
+            parts = self.split(word.lower())
+            if parts == [word]:
+                out = np.array([t.id for t in self.merge(word.encode().decode("latin-1").translate(self.letters))], self.dtype).tobytes()
+            else:
+                # A pre-token stands in the cache as the word that it is by itself.
+                out = b"".join([self[p] for p in parts])
         else:
-            ids = self.whole.encode(word, add_special_tokens=False).ids
-        out = np.array(ids, self.dtype).tobytes()
+            out = np.array(self.whole.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
         if len(word) <= 48:
             self[word] = out
         return out
