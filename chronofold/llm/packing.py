@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,7 @@ GRANULE = 256
 MAX_QUEUES = 4096
 SEED = 41
 #: Words that a worker remembers the ids of; a full cache starts anew.
-CACHE = 400_000
+CACHE = 600_000
 #: Fixed-point bits of a round's quantum.
 SHIFT = 16
 
@@ -46,25 +47,27 @@ class Encoder(dict):
         hidden = (b for b in range(256) if b not in set(visible))
         self.letters = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, word: bytes) -> bytes:
         if len(self) >= CACHE:
             self.clear()
-        if self.simple(word) and "<|" not in word:
-            parts = self.split(word.lower())
-            if parts == [word]:
-                out = np.array([t.id for t in self.merge(word.encode().decode("latin-1").translate(self.letters))], self.dtype).tobytes()
+        text = word.decode()
+        if self.simple(text) and "<|" not in text:
+            parts = self.split(text.lower())
+            if parts == [text]:
+                out = array(self.dtype.char, [t.id for t in self.merge(text if text.isascii() else word.decode("latin-1").translate(self.letters))]).tobytes()
             else:
                 # A pre-token stands in the cache as the word that it is by itself.
-                out = b"".join([self[p] for p in parts])
+                out = b"".join([self[p.encode()] for p in parts])
         else:
-            out = np.array(self.whole.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
+            out = np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
         if len(word) <= 48:
             self[word] = out
         return out
 
     def encode(self, text: bytes) -> bytes:
-        # bytes.split() splits at ASCII white space only, which no pre-token of such a file holds
-        return b"".join(map(self.__getitem__, [w.decode() for w in text.split()]))
+        # bytes.split() splits at ASCII white space only, which no pre-token of such a file holds. The file's own
+        # lower case comes to the same words, but for its special tokens.
+        return b"".join(map(self.__getitem__, (text if b"<|" in text else text.lower()).split()))
 
 
 _ENCODERS: dict[str, Encoder] = {}
