@@ -32,10 +32,11 @@ class Encoder(dict):
     model; any other word goes through the whole library, and so does a text with anything unusual about its spaces.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cache: int = CACHE) -> None:
         import regex
         from tokenizers import Tokenizer
 
+        self.cache = cache
         self.whole = Tokenizer.from_file(path)
         spec = json.loads(self.whole.to_str())
         self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
@@ -48,7 +49,7 @@ class Encoder(dict):
         self.letters = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHE:
+        if len(self) >= self.cache:
             self.clear()
         text = word.decode()
         if self.simple(text) and "<|" not in text:
@@ -70,13 +71,13 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, (text if b"<|" in text else text.lower()).split()))
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, cache: int = CACHE) -> Encoder:
+    if (path, cache) not in _ENCODERS:
+        _ENCODERS[path, cache] = Encoder(path, cache)
+    return _ENCODERS[path, cache]
 
 
 def default_vocabulary() -> str:
@@ -85,15 +86,15 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def tokenize(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """doc_id, queue, n and ids (compressed little-endian ids with END last) of each row's whole text."""
+def tokenize(docs: DataFrame, vocabulary: str | None = None, cache: int = CACHE) -> DataFrame:
+    """doc_id, queue, n and ids (compressed little-endian ids with END last) of each row's whole text; ``cache`` words a worker remembers."""
     vocabulary = vocabulary or default_vocabulary()
 
     def run(it):
         import pyarrow as pa
         import zstandard
 
-        e, pack = encoder(vocabulary), zstandard.ZstdCompressor(level=3).compress
+        e, pack = encoder(vocabulary, cache), zstandard.ZstdCompressor(level=3).compress
         end = np.array([END], e.dtype).tobytes()
         for batch in batches(it):
             n, packed = [], []
@@ -191,9 +192,9 @@ def pack(tokens: DataFrame, *, item: int = 2, window: int = WINDOW, granule: int
     return placed.select("doc_id", "queue", "before", "n", "ids").mapInArrow(cut_up, schema)
 
 
-def pack_documents(docs: DataFrame, vocabulary: str | None = None, **more) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str | None = None, cache: int = CACHE, **more) -> DataFrame:
     vocabulary = vocabulary or default_vocabulary()
-    return pack(tokenize(docs, vocabulary), item=encoder(vocabulary).dtype.itemsize, **more)
+    return pack(tokenize(docs, vocabulary, cache), item=encoder(vocabulary, cache).dtype.itemsize, **more)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

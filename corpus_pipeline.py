@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from chronofold.llm import lines, mixing, near_dedup, packing, quality
 from chronofold.llm.common import ensure_checkpoint_dir, read
 
+#: Words that a packing worker remembers: fewer than in packing alone, since its executor holds the other stages' memory too.
+CACHE = 400_000
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
@@ -42,7 +45,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of packing.WINDOW tokens."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, cache=CACHE)
 
 
 STAGES = [
