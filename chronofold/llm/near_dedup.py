@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofold.llm.common import Powers, as_bytes, batches, chunks, cut, mix64, read
-from chronofold.llm.components import connected_components
+from chronofold.llm.components import _local_forest, connected_components
 
 SHINGLE = 5
 PERCENT = 85
@@ -19,6 +19,8 @@ TREES, HEAD = 32, 4
 PERMUTATIONS = TREES * HEAD
 #: Followers in an order that a set is compared with.
 REACH = 4
+#: Rounds in which the sets of a crowded head meet one of them. The rest meet each other in blocks of so many sets and shingles.
+ROUNDS, BLOCK_SETS, BLOCK_SHINGLES = 2, 512, 1 << 18
 #: Pairs whose signatures agree less than this are dropped before the exact check: over six standard deviations below 85 %.
 LEAST_AGREEMENT = 0.65
 
@@ -100,7 +102,7 @@ def _neighbours(it):
     """Pairs (u, v) of the up to REACH followers under the same head, in a sorted partition.
 
     A region of at most REACH + 1 sets is compared in full. In a larger one a set meets the followers with the
-    longest common prefix, since those stand next to it: the deeper the region is crowded, the deeper the prefix.
+    longest common prefix, since those stand next to it; crowded_links decides the rest.
     """
     import pyarrow as pa
 
@@ -189,6 +191,127 @@ def _pack_texts(it):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
 
 
+def _shared(sets: list[np.ndarray], step: int = 4096) -> np.ndarray:
+    """How many members each two of the sets share."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    use = times[at] > 1
+    column, owner = (np.cumsum(times > 1) - 1)[at[use]], owner[use]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    both = np.zeros((len(sets), len(sets)), np.int64)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        i, j = np.searchsorted(column, [low, low + step])
+        held = np.zeros((len(sets), int(column[j - 1]) - low + 1), np.float32)
+        held[owner[i:j], column[i:j] - low] = 1
+        both += (held @ held.T).astype(np.int64)
+    return both
+
+
+def _meet(percent: int):
+    """Links between the components of each (head, a, b) of a sorted partition, all its sets compared in full."""
+
+    def links(group):
+        import pyarrow as pa
+
+        ids, component = np.asarray(group.column("id")), np.asarray(group.column("component"))
+        sets = [np.frombuffer(m, np.uint64) for m in group.column("members").to_pylist()]
+        n, both = np.array([len(s) for s in sets]), _shared(sets)
+        linked = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (component[:, None] != component[None, :])
+        u, v = np.nonzero(np.triu(linked, 1))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[u], ids[v])), pa.array(np.maximum(ids[u], ids[v]))], names=["u", "v"])
+
+    def groups(it):
+        import pyarrow as pa
+
+        held = None
+        for batch in batches(it):
+            part = pa.Table.from_batches([batch])
+            held = part if held is None else pa.concat_tables([held, part])
+            key = np.stack([held.column(c).to_numpy() for c in ("head", "a", "b")])
+            ends = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
+            for i, j in zip([0, *ends[:-1]], ends):
+                yield links(held.slice(i, j - i))
+            held = held.slice(ends[-1]) if len(ends) else held
+        if held is not None:
+            yield links(held)
+
+    return lambda it: _local_forest(groups(it))
+
+
+def _with_component(rows: DataFrame, found: DataFrame, column: str = "id", out: str = "component") -> DataFrame:
+    return rows.join(found.select(F.col("id").alias(column), F.col("component").alias("__root")), column, "left").withColumn(out, F.coalesce("__root", column)).drop("__root")
+
+
+def _mixed(rows: DataFrame, *more) -> DataFrame:
+    """A row for each head with sets of two components at least."""
+    heads = rows.groupBy("head").agg(F.min("component").alias("__low"), F.max("component").alias("__high"), *more)
+    return heads.where("__low <> __high").drop("__low", "__high")
+
+
+def _regions(rows: DataFrame) -> DataFrame:
+    """(head, id, n) of the heads with several components. Heads that share sets become one, where that's fewer pairs."""
+    rows = cut(rows.join(_mixed(rows).select("head"), "head", "left_semi"))
+    heads = rows.groupBy("head").agg(F.min("id").alias("least"), F.count("*").alias("size"))
+    region = connected_components(rows.join(heads, "head").select(F.col("id").alias("u"), F.col("least").alias("v")))
+    sizes = region.groupBy("component").agg(F.count("*").alias("all"))
+    apart = heads.join(region.withColumnRenamed("id", "least"), "least").groupBy("component").agg(F.sum(F.col("size") * F.col("size")).alias("pairs"))
+    whole = sizes.join(apart, "component").select("component", (F.col("all") * F.col("all") <= F.col("pairs")).alias("whole"))
+    rows = rows.select("head", "id", "n").join(region, "id").join(whole, "component")
+    return rows.select(F.when(F.col("whole"), F.xxhash64("component")).otherwise(F.col("head")).alias("head"), "id", "n").distinct()
+
+
+def crowded_links(sets: DataFrame, members: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """``links``, and such that any two linked sets under one head of more than REACH + 1 sets are in one component.
+
+    A family is mostly held by one set, which stands under the largest heads. So the sets of a head first meet the
+    one whose heads hold the most, a linear number of pairs; in the next round those left over meet one of
+    themselves. Then each head that still has several components (or the region of heads that share sets with it)
+    is compared in full, in blocks dealt out by a hash, but for pairs within its largest component: no pair of two
+    components goes undecided.
+    """
+    some = sets.join(members.select("id"), "id", "left_semi")
+    rows = some.select("id", "signature").mapInArrow(_orders, "head long, tail long, id long").select("head", "id")
+    heads = cut(rows.groupBy("head").agg(F.count("*").alias("size")).where(F.col("size") > REACH + 1))
+    if heads.isEmpty():
+        return links
+    rows = cut(rows.join(heads, "head"))
+    score = cut(rows.groupBy("id").agg(F.sum("size").alias("score")))
+    sets = cut(some.join(score.select("id"), "id", "left_semi").select("id", "n", "signature"))
+    members = cut(members.join(score.select("id"), "id", "left_semi"))
+    rows = cut(rows.select("head", "id").join(score, "id").join(sets.select("id", "n"), "id"))
+    found = connected_components(links)
+    left = rows
+    for _ in range(ROUNDS):
+        left = cut(_with_component(left, found))
+        middle = cut(_mixed(left, F.max(F.struct("score", (-F.col("id")).alias("id"), "component")).alias("m")).select("head", (-F.col("m.id")).alias("middle"), F.col("m.component").alias("own")))
+        if middle.isEmpty():
+            break
+        left = left.join(middle, "head").where("component <> own")
+        pairs = left.select(F.least("id", "middle").alias("u"), F.greatest("id", "middle").alias("v")).distinct()
+        likely = cut(_beside(pairs, sets, "signature").mapInArrow(_agree, "u long, v long"))
+        links = cut(links.unionByName(_beside(likely, members, "members").mapInArrow(_confirm(percent), "u long, v long")))
+        found = connected_components(links)
+        left = _with_component(_with_component(left.drop("component", "own"), found), found, "middle", "own").where("component <> own").select("head", "id", "score", "n")
+    rows = cut(_with_component(_regions(_with_component(rows, found)), found))
+    parts = rows.groupBy("head", "component").agg(F.count("*").alias("sets"), F.sum("n").alias("n"))
+    blocks = lambda own: F.ceil(F.greatest(F.sum(F.when(own, F.col("sets")).otherwise(0)) / BLOCK_SETS, F.sum(F.when(own, F.col("n")).otherwise(0)) / BLOCK_SHINGLES)).cast("long")
+    largest = _mixed(parts, F.max(F.struct("sets", "component")).alias("m")).select("head", F.col("m.component").alias("largest"))
+    is_largest = F.col("component") == F.col("largest")
+    largest = cut(parts.join(largest, "head").groupBy("head", "largest").agg(blocks(is_largest).alias("own"), blocks(~is_largest).alias("others")))
+    if largest.isEmpty():
+        return links
+    salt = F.pmod(F.xxhash64("id"), F.when(is_largest, F.col("own")).otherwise(F.col("others")))
+    dealt = (
+        rows.join(largest, "head")
+        .withColumn("block", F.when(is_largest, F.col("others") + salt).otherwise(salt))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(is_largest, F.col("others")).otherwise(F.col("own") + F.col("others")) - 1)))
+        .select("head", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "id", "component")
+    )
+    met = dealt.join(members, "id").repartition("head", "a", "b").sortWithinPartitions("head", "a", "b").mapInArrow(_meet(percent), "u long, v long")
+    return links.unionByName(cut(met))
+
+
 def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``docs``, linked at ``percent`` Jaccard similarity or more.
 
@@ -204,10 +327,11 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     4. Each set's most promising candidate is confirmed on the full sets; components follow. Then each
        remaining pair between different components is confirmed, unless its signatures are far apart. A pair
        within a component can't change the result.
+    5. Heads of more than REACH + 1 sets, where neighbours aren't all: see crowded_links.
     """
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = cut(text.mapInArrow(_signatures, "doc_id long, n long, digest binary, signature binary"))
-    sets = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"))
+    sets = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"), F.first("n").alias("n"))
     sets = cut(sets.withColumn("id", F.monotonically_increasing_id()))
     pairs = cut(candidate_pairs(sets.select("id", "signature")))
     ends = pairs.select(F.col("u").alias("id"), "v", "votes").unionByName(pairs.select(F.col("v").alias("id"), F.col("u").alias("v"), "votes"))
@@ -236,7 +360,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     )
     likely = cut(_beside(apart, sets, "signature").mapInArrow(_agree, "u long, v long"))
     second = cut(_beside(likely, members, "members").mapInArrow(confirm, "u long, v long"))
-    found = connected_components(first.unionByName(second))
+    found = connected_components(crowded_links(sets, members, first.unionByName(second), percent))
     rooted = sets.select("digest", "id", "doc_id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = rooted.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_set = cut(rooted.join(least, "component").select("digest", "component_id"))

@@ -427,6 +427,39 @@ def test_near_dedup(spark):
     assert near_dedup.near_duplicates(table(spark, [])).count() == 0
 
 
+def hub_family(copies, words=150, far=40):
+    """A base, copies that link to it alone, and texts somewhat nearer to it than any link."""
+    rnd = random.Random(copies)
+    base = [f"b{i}" for i in range(words)]
+
+    def change(at, name):
+        w = list(base)
+        for x in at:
+            w[x] = f"{name}x{x}"
+        return " ".join(w)
+
+    rows = [(1000, " ".join(base), "a")] + [(i, change([rnd.randrange(4, 72), rnd.randrange(78, words - 4)], f"c{i}"), "a") for i in range(copies)]
+    # Each of the last ones links to one copy alone, and not to the base.
+    outer = [(2000 + i, " ".join([*rows[1 + i][1].split()[:-1], f"o{i}", f"p{i}", f"q{i}", f"r{i}", f"s{i}", f"t{i}"]), "a") for i in range(far)]
+    return rows + outer
+
+
+def test_near_dedup_of_a_base_and_its_copies(spark):
+    rows = hub_family(500)
+    _, find = components(rows)
+    assert sum(find(d) == 0 for d, *_ in rows) > 500
+    got = near_dedup.near_duplicates(table(spark, rows)).collect()
+    assert [r["doc_id"] for r in got if r["component_id"] != find(r["doc_id"])] == []
+
+
+def test_near_dedup_of_a_crowd_without_a_base(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_SETS", 30)
+    rows = [r for r in hub_family(150) if r[0] != 1000]
+    _, find = components(rows)
+    got = near_dedup.near_duplicates(table(spark, rows)).collect()
+    assert [r["doc_id"] for r in got if r["component_id"] != find(r["doc_id"])] == []
+
+
 def test_near_dedup_of_the_small_table(spark, texts):
     sets, find = components([(d, t, None) for d, t in texts.items()])
     for r in near_dedup.op10_near_dedup(spark, SMALL).collect():
