@@ -7,7 +7,7 @@ import pytest
 import corpus_pipeline
 from chronofold.llm import mixing, packing, quality
 
-from .test_ops import components, without_repeats
+from .test_ops import components, hub_family, table, without_repeats
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -62,3 +62,10 @@ def test_run(spark):
 def test_empty_table(spark, stage):
     empty = spark.read.parquet(f"{SMALL}/documents.parquet").limit(0)
     assert corpus_pipeline.STAGES[stage][1](spark, empty, SMALL).count() == 0
+
+
+def test_near_dedup_of_a_base_and_its_copies(spark):
+    rows = hub_family(300, far=10)
+    _, find = components(rows)
+    kept = {r["doc_id"] for r in corpus_pipeline.keep_one_of_each(spark, table(spark, rows), SMALL).collect()}
+    assert kept == {d for d, *_ in rows if find(d) == d}
