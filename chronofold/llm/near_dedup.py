@@ -21,8 +21,6 @@ PERMUTATIONS = TREES * HEAD
 REACH = 4
 #: Rounds in which the sets of a crowded head meet one of them. The rest meet each other in blocks of so many sets and shingles.
 ROUNDS, BLOCK_SETS, BLOCK_SHINGLES = 2, 512, 1 << 18
-#: Pairs whose signatures agree less than this are dropped before the exact check: over six standard deviations below 85 %.
-LEAST_AGREEMENT = 0.65
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -169,12 +167,22 @@ def _confirm(percent: int):
     return run
 
 
-def _agree(it):
+def least_agreement(percent: int) -> float:
+    """Pairs whose signatures agree less than this are dropped before the exact check: 6.3 standard deviations below ``percent``."""
+    p = percent / 100
+    return p - 6.3 * (p * (1 - p) / PERMUTATIONS) ** 0.5
+
+
+def _agree(percent: int):
+    return lambda it: _agreeing(it, least_agreement(percent))
+
+
+def _agreeing(it, least: float):
     import pyarrow as pa
 
     for batch in batches(it):
         a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, PERMUTATIONS) for c in "ab")
-        yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array((a == b).mean(1) >= LEAST_AGREEMENT))
+        yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array((a == b).mean(1) >= least))
 
 
 def _beside(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
@@ -289,7 +297,7 @@ def crowded_links(sets: DataFrame, members: DataFrame, links: DataFrame, percent
             break
         left = left.join(middle, "head").where("component <> own")
         pairs = left.select(F.least("id", "middle").alias("u"), F.greatest("id", "middle").alias("v")).distinct()
-        likely = cut(_beside(pairs, sets, "signature").mapInArrow(_agree, "u long, v long"))
+        likely = cut(_beside(pairs, sets, "signature").mapInArrow(_agree(percent), "u long, v long"))
         links = cut(links.unionByName(_beside(likely, members, "members").mapInArrow(_confirm(percent), "u long, v long")))
         found = connected_components(links)
         left = _with_component(_with_component(left.drop("component", "own"), found), found, "middle", "own").where("component <> own").select("head", "id", "score", "n")
@@ -358,7 +366,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
         .where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v"))
         .select("u", "v")
     )
-    likely = cut(_beside(apart, sets, "signature").mapInArrow(_agree, "u long, v long"))
+    likely = cut(_beside(apart, sets, "signature").mapInArrow(_agree(percent), "u long, v long"))
     second = cut(_beside(likely, members, "members").mapInArrow(confirm, "u long, v long"))
     found = connected_components(crowded_links(sets, members, first.unionByName(second), percent))
     rooted = sets.select("digest", "id", "doc_id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))

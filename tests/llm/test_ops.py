@@ -460,6 +460,12 @@ def test_near_dedup_of_a_crowd_without_a_base(spark, monkeypatch):
     assert [r["doc_id"] for r in got if r["component_id"] != find(r["doc_id"])] == []
 
 
+def test_signatures_are_held_to_the_threshold_asked_for():
+    for percent in (50, 60, 80, 85, 95):
+        p = percent / 100
+        assert 6 <= (p - near_dedup.least_agreement(percent)) / (p * (1 - p) / near_dedup.PERMUTATIONS) ** 0.5 <= 7
+
+
 def test_near_dedup_of_the_small_table(spark, texts):
     sets, find = components([(d, t, None) for d, t in texts.items()])
     for r in near_dedup.op10_near_dedup(spark, SMALL).collect():
