@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: One word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one NumPy step handles at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -88,34 +88,81 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _fold(x: np.ndarray) -> np.ndarray:
+    """x modulo 2**31 - 1, up to one more multiple of it."""
+    p = np.uint64((1 << 31) - 1)
+    x = (x & p) + (x >> np.uint64(31))
+    return (x & p) + (x >> np.uint64(31))
+
+
 class Powers:
-    """Prefix hashes modulo 2**64 by which the hash of any byte range costs two look-ups."""
+    """Prefix hashes by which the hash of any range of bytes or code points costs a few look-ups.
+
+    Two polynomials modulo the prime 2**31 - 1, so two different ranges of n units agree with odds of (n / 2**31)**2
+    at most over the choice of the bases, whatever their content.
+    """
 
-    BASE = 0x9E3779B97F4A7C15 | 1
+    P = (1 << 31) - 1
+    BASES = (1_204_377_149, 1_871_246_033)
 
     def __init__(self) -> None:
-        self.table = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
-        self.up = self.down = np.ones(1, np.uint64)
+        self.up = np.ones((2, 1), np.uint64)
+        self.down = np.ones((2, 1), np.uint64)
 
     def grow(self, n: int) -> None:
-        if len(self.up) <= n:
-            size = max(2 * len(self.up), n + 1)
-            inverse = pow(self.BASE, -1, 1 << 64)
-            for name, base in (("up", self.BASE), ("down", inverse)):
-                p = np.full(size, base, np.uint64)
-                p[0] = 1
-                setattr(self, name, np.multiply.accumulate(p))
+        while self.up.shape[1] <= n:
+            m = self.up.shape[1]
+            for name, sign in (("up", 1), ("down", -1)):
+                old = getattr(self, name)
+                step = np.array([[pow(base, sign * m, self.P)] for base in self.BASES], np.uint64)
+                setattr(self, name, np.concatenate([old, _fold(old * step)], 1))
 
     def prefix(self, data: np.ndarray) -> np.ndarray:
-        """h with h[i] over data[:i]."""
-        self.grow(len(data) + 1)
-        h = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.table[data] * self.up[: len(data)], out=h[1:])
+        """h with h[:, i] over data[:i], as sums that grow."""
+        n = len(data)
+        self.grow(n + 1)
+        h = np.zeros((2, n + 1), np.uint64)
+        p, by = np.uint64(self.P), np.uint64(31)
+        for i in range(0, n, 1 << 14):
+            x = data[i : i + (1 << 14)].astype(np.uint64)
+            x += np.uint64(1)
+            end = i + len(x)
+            for j in range(2):
+                term = x * self.up[j, i:end]
+                high = term >> by
+                term &= p
+                term += high
+                np.cumsum(term, out=h[j, i + 1 : end + 1])
+                h[j, i + 1 : end + 1] += h[j, i]
         return h
 
+    def raw(self, h: np.ndarray, start: np.ndarray, end: np.ndarray, shift: np.ndarray | int = 0) -> np.ndarray:
+        """Both polynomials of data[start:end], as if it stood ``shift`` units further on: shape (2, n), below 2**32."""
+        out = _fold(_fold(h[:, end] - h[:, start]) * self.down[:, start])
+        return _fold(out * self.up[:, shift]) if np.any(shift) else out
+
+    def finish(self, raw: np.ndarray) -> np.ndarray:
+        """One 62-bit value, mixed."""
+        p = np.uint64(self.P)
+        raw = _fold(raw)
+        raw = np.where(raw >= p, raw - p, raw)
+        return mix64(raw[0] + (raw[1] << np.uint64(31)))
+
     def span(self, h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of data[start:end], wherever the range lies."""
-        return mix64((h[end] - h[start]) * self.down[start])
+        return self.finish(self.raw(h, start, end))
+
+
+_BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+
+
+def rolling(data: np.ndarray, width: int) -> np.ndarray:
+    """A cheap value of each ``width`` bytes (a power of two), for choosing places: equal bytes, equal values. Decides nothing."""
+    h, n = _BYTES[data], 1
+    while n < width:
+        h = h[: len(h) - n] * np.uint64(0x9E3779B97F4A7C15 + 2 * n) + h[n:]
+        n *= 2
+    return mix64(h)
 
 
 def as_bytes(column) -> list[bytes]:
@@ -125,7 +172,43 @@ def as_bytes(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def batches(it: Iterable) -> Iterator:
+def batches(it: Iterable, rows: int = 1024) -> Iterator:
+    """Non-empty batches of at most ``rows`` rows, so that Python copies of large texts stay few."""
+    for batch in it:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
+def by_groups(it: Iterable, keys: list[str], rows: int = 1 << 16) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of a sorted partition in pieces of about ``rows`` rows that end where ``keys`` change."""
+    held: list[dict[str, np.ndarray]] = []
+    n = 0
+    join = lambda parts: {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
     for batch in it:
-        if batch.num_rows:
-            yield batch
+        if not batch.num_rows:
+            continue
+        held.append({c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names})
+        n += batch.num_rows
+        if n < rows:
+            continue
+        piece = join(held)
+        change = np.zeros(n - 1, bool)
+        for k in keys:
+            change |= piece[k][1:] != piece[k][:-1]
+        ends = np.flatnonzero(change)
+        if not len(ends):
+            held = [piece]
+            continue
+        end = ends[-1] + 1
+        yield {c: x[:end] for c, x in piece.items()}
+        held, n = [{c: x[end:] for c, x in piece.items()}], n - end
+    if n:
+        yield join(held)
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """``name``, with as many more underscores as it takes to be no column of the frames."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

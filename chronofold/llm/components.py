@@ -37,7 +37,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
 
     Each round hangs every neighbour of a node onto the least of them (the larger ones, then the smaller ones),
     so paths halve; a union-find within partitions comes first and turns chains into stars. Edges are
-    checkpointed between rounds. The rounds end when the edges are stars and none changes.
+    checkpointed between rounds. The rounds end when the edges are stars and none changes; edges that have not
+    settled after ``most_rounds`` raise RuntimeError, since a part of the result is none.
     """
     stars = cut(edges.where("u <> v").mapInArrow(_local_forest, "u long, v long"))
     for _ in range(most_rounds):
@@ -53,5 +54,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
             stars = new
             break
         stars = new
+    else:
+        raise RuntimeError(f"components have not settled in {most_rounds} rounds")
     nodes = stars.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return nodes.unionByName(stars.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -2,108 +2,135 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import Powers, as_bytes, batches, chunks, cut, mix64, read
+from chronofold.llm.common import Powers, as_bytes, batches, by_groups, chunks, cut, fresh, mix64, read
 
 #: Shorter lines (blank ones, headings, bullets) always stay.
 MIN_CHARS = 16
-#: Texts with candidate lines are looked up by a broadcast of up to this many rows, and by a shuffle beyond.
-BROADCAST_ROWS = 200_000
+#: Texts with candidate lines are looked up by a broadcast of up to this many lines (under 100 bytes each), and by a shuffle beyond.
+BROADCAST_LINES = 100_000
 #: Segments by which lines that can't have a neighbour are told apart before any deletion variant is made.
 SEGMENTS = 4
+#: Lines with more than this share of all lines, at most its inverse in number, are settled by a broadcast.
+HOT = 1 / 1000
+#: Lines that a map task remembers to have sent, and variants that it sends at once.
+SENT, AT_ONCE = 1 << 17, 1 << 16
 _POWERS = Powers()
 _C = mix64(np.arange(77, 81, dtype=np.uint64)) | np.uint64(1)
 
 
+def names(lines: list[bytes]) -> np.ndarray:
+    """A row (hi, lo) for each line: a 128-bit digest that no known method makes collide."""
+    return np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in lines), np.int64).reshape(-1, 2)
+
+
 class Lines:
-    """The lines of some texts as code points, with hashes of any part of them."""
-
-    def __init__(self, texts: list[str]) -> None:
-        data = np.frombuffer("\n".join(texts + [""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-        _POWERS.grow(len(data) + 1)
-        self.h = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(mix64(data.astype(np.uint64) + np.uint64(1)) * _POWERS.up[: len(data)], out=self.h[1:])
-        breaks = np.flatnonzero(data == 10)
-        starts = np.concatenate([[0], breaks[:-1] + 1]) if len(breaks) else np.zeros(0, np.int64)
-        texts_at = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-        doc = np.searchsorted(texts_at, starts, "right") - 1
-        number = np.arange(len(starts)) - np.searchsorted(starts, texts_at[doc])
-        use = breaks - starts >= MIN_CHARS
-        self.start, self.end, self.doc, self.number = starts[use], breaks[use], doc[use], number[use].astype(np.int32)
-
-    def part(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.h[end] - self.h[start]) * _POWERS.down[start]
-
-    def whole(self) -> np.ndarray:
-        n = (self.end - self.start).astype(np.uint64)
-        return mix64(self.part(self.start, self.end) + n * _C[0]).view(np.int64)
+    """Some lines as code points, with hashes of any part of them."""
+
+    def __init__(self, lines: list[str]) -> None:
+        data = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.h = _POWERS.prefix(data)
+        self.end = np.cumsum([len(x) for x in lines])
+        self.start = np.concatenate([[0], self.end[:-1]]).astype(np.int64)
 
     def segment_keys(self) -> np.ndarray:
         """A row for each line: for it as the longer and as the shorter of a pair, its content without one segment."""
         out = np.empty((len(self.start), 2 * SEGMENTS), np.int64)
+        part = lambda a, b: _POWERS.span(self.h, a, b)
         for i in range(2):
             m = self.end - self.start - (1 - i)
             for j in range(SEGMENTS):
                 a, b = m * j // SEGMENTS, m * (j + 1) // SEGMENTS
-                k = self.part(self.start, self.start + a) * _C[1] + self.part(self.end - (m - b), self.end) * _C[2] + m.astype(np.uint64) * _C[3] + np.uint64(j)
+                k = part(self.start, self.start + a) * _C[1] + part(self.end - (m - b), self.end) * _C[2] + m.astype(np.uint64) * _C[3] + np.uint64(j)
                 out[:, i * SEGMENTS + j] = mix64(k).view(np.int64)
         return out
 
 
-def _each(it, make):
-    import pyarrow as pa
-
-    for batch in batches(it):
-        texts = [t.decode("utf-8", "surrogatepass") for t in as_bytes(batch.column("text"))]
-        doc, key = np.asarray(batch.column("doc")), np.asarray(batch.column("k"))
-        for i, j in chunks(np.array([len(t) * 4 for t in texts])):
-            lines = Lines(texts[i:j])
-            if len(lines.start):
-                yield pa.RecordBatch.from_pydict(make(lines, doc[i:j], key[i:j]))
+def _each(it):
+    """(doc, k, number, text, bytes) of all lines that are long enough, some texts at a time."""
+    for batch in batches(it, 256):
+        raw = as_bytes(batch.column("text"))
+        doc, key = batch.column("doc").to_pylist(), batch.column("k").to_pylist()
+        for i, j in chunks(np.array([len(t) for t in raw])):
+            got = []
+            for t, d, k in zip(raw[i:j], doc[i:j], key[i:j]):
+                for number, line in enumerate(t.split(b"\n")):
+                    if len(line) >= MIN_CHARS and (len(line) >= 4 * MIN_CHARS or len(line.decode("utf-8", "surrogatepass")) >= MIN_CHARS):
+                        got.append((d, k, number, line))
+            if got:
+                yield got
 
 
 def _occurrences(it):
-    yield from _each(it, lambda lines, doc, k: {"line": lines.whole(), "doc": doc[lines.doc], "k": k[lines.doc], "number": lines.number})
+    import pyarrow as pa
+
+    for got in _each(it):
+        doc, k, number, line = zip(*got)
+        name = names(line)
+        yield pa.RecordBatch.from_pydict({"hi": name[:, 0], "lo": name[:, 1], "doc": np.array(doc, np.int64), "k": np.array(k, np.int64), "number": np.array(number, np.int32)})
 
 
 def _segments(it):
-    yield from _each(it, lambda lines, doc, k: {"key": lines.segment_keys().ravel(), "line": np.repeat(lines.whole(), 2 * SEGMENTS), "code": np.tile(np.arange(2 * SEGMENTS, dtype=np.int32), len(lines.start))})
+    """Keys of distinct lines: a task sends a line once as long as it remembers it, so a very common one isn't many rows."""
+    import pyarrow as pa
+
+    sent: set[int] = set()
+    for got in _each(it):
+        lo = names([x[3] for x in got])[:, 1]
+        use = []
+        for i, x in enumerate(lo.tolist()):
+            if x not in sent:
+                sent.add(x)
+                use.append(i)
+        if len(sent) > SENT:
+            sent.clear()
+        if use:
+            lines = Lines([got[i][3].decode("utf-8", "surrogatepass") for i in use])
+            yield pa.RecordBatch.from_pydict({"key": lines.segment_keys().ravel(), "line": np.repeat(lo[use], 2 * SEGMENTS), "code": np.tile(np.arange(2 * SEGMENTS, dtype=np.int32), len(use))})
 
 
 def _shared(it):
     """Of a sorted partition: the lines whose key another line has too; groups at its ends count as shared."""
     import pyarrow as pa
 
-    got = [b for b in batches(it)]
-    if not got:
-        return
-    table = pa.Table.from_batches(got)
-    key, line, code = (table.column(c).to_numpy() for c in ("key", "line", "code"))
-    new_key = np.concatenate([[True], key[1:] != key[:-1]])
-    new_line = new_key | np.concatenate([[True], line[1:] != line[:-1]])
-    group = np.cumsum(new_key) - 1
-    several = np.bincount(group, new_line) > 1
-    several[[0, -1]] = True
-    keep = new_line & several[group]
-    yield pa.RecordBatch.from_pydict({"line": line[keep], "code": code[keep]})
+    def told(piece, first: bool, last: bool):
+        key, line = piece["key"], piece["line"]
+        new_key = np.concatenate([[True], key[1:] != key[:-1]])
+        new_line = new_key | np.concatenate([[True], line[1:] != line[:-1]])
+        group = np.cumsum(new_key) - 1
+        several = np.bincount(group, new_line) > 1
+        several[0] |= first
+        several[-1] |= last
+        keep = new_line & several[group]
+        return pa.RecordBatch.from_pydict({"line": line[keep], "code": piece["code"][keep]})
+
+    before, first = None, True
+    for piece in by_groups(it, ["key"]):
+        if before is not None:
+            yield told(before, first, False)
+            first = False
+        before = piece
+    if before is not None:
+        yield told(before, first, True)
 
 
 def _named_lines(it):
     """The texts of the wanted lines of each row."""
     import pyarrow as pa
 
-    for batch in batches(it):
+    for batch in batches(it, 256):
         out = []
         for doc, k, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc", "k", "text", "wanted"))):
             lines = text.split("\n")
-            out += [(w["line"], doc, k, w["number"], sorted(set(w["codes"])), lines[w["number"]]) for w in wanted]
-        line, doc, k, number, codes, text = zip(*out)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(line, pa.int64()), pa.array(doc, pa.int64()), pa.array(k, pa.int64()), pa.array(number, pa.int32()), pa.array(codes, pa.list_(pa.int32())), pa.array(text, pa.string())], names=["line", "doc", "k", "number", "codes", "text"]
-        )
+            out += [(w["hi"], w["lo"], doc, k, w["number"], sorted(set(w["codes"])), lines[w["number"]]) for w in wanted]
+        hi, lo, doc, k, number, codes, text = zip(*out)
+        longs = [pa.array(x, pa.int64()) for x in (hi, lo, doc, k)]
+        yield pa.RecordBatch.from_arrays([*longs, pa.array(number, pa.int32()), pa.array(codes, pa.list_(pa.int32())), pa.array(text, pa.string())], names=["hi", "lo", "doc", "k", "number", "codes", "text"])
 
 
 def _variants(it):
@@ -111,72 +138,74 @@ def _variants(it):
     import pyarrow as pa
 
     for batch in batches(it):
-        for line, doc, k, number, codes, text in zip(*(batch.column(c).to_pylist() for c in ("line", "doc", "k", "number", "codes", "text"))):
-            lines = Lines([text])
-            n = len(text)
+        for hi, lo, doc, k, number, codes, text in zip(*(batch.column(c).to_pylist() for c in ("hi", "lo", "doc", "k", "number", "codes", "text"))):
+            h, n = Lines([text]).h, len(text)
             places = np.zeros(n, bool)
             for c in codes:
                 m, j = n - (1 - c // SEGMENTS), c % SEGMENTS
                 places[m * j // SEGMENTS : m * (j + 1) // SEGMENTS + 1] = True
-            e = np.flatnonzero(places)
-            size = np.array([n], np.uint64)
-            zero, end = np.zeros(len(e), np.int64), np.full(len(e), n)
-            h = lines.part(zero, e) + lines.part(e + 1, end) * _POWERS.up[e]
-            key = np.concatenate([mix64(h + (size - np.uint64(1)) * _C[0]), mix64(lines.part(np.array([0]), np.array([n])) + size * _C[0])])
-            at = np.concatenate([e, [-1]]).astype(np.int32)
-            same = lambda x, t: np.full(len(at), x, t)
-            yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "place": at, "doc": same(doc, np.int64), "k": same(k, np.int64), "number": same(number, np.int32), "line": same(line, np.int64)})
+            places, size = np.flatnonzero(places), np.array([n], np.uint64)
+            # A line is as many variants as characters; a very long one goes in several batches.
+            for i in range(0, len(places) + 1, AT_ONCE):
+                e = places[i : i + AT_ONCE]
+                zero, end = np.zeros(len(e), np.int64), np.full(len(e), n)
+                key = mix64(_POWERS.finish(_POWERS.raw(h, zero, e) + _POWERS.raw(h, e + 1, end, e)) + (size - np.uint64(1)) * _C[0])
+                at = e.astype(np.int32)
+                if not i:
+                    whole = mix64(_POWERS.span(h, np.array([0]), np.array([n])) + size * _C[0])
+                    key, at = np.concatenate([key, whole]), np.concatenate([at, [-1]]).astype(np.int32)
+                if len(at):
+                    same = lambda x, t=np.int64: np.full(len(at), x, t)  # noqa: B023, E731
+                    yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "place": at, "doc": same(doc), "k": same(k), "number": same(number, np.int32), "hi": same(hi), "lo": same(lo)})
 
 
 def _earlier(it):
     """Of a partition sorted by key and place: lines with the earliest line that has an equal variant."""
     import pyarrow as pa
 
-    got = [b for b in batches(it)]
-    if not got:
-        return
-    table = pa.Table.from_batches(got)
-    key, place, doc, k, number, line = (table.column(c).to_numpy() for c in ("key", "place", "doc", "k", "number", "line"))
-    # Positions in the corpus as numbers that compare alike within this partition; a line has one position.
-    order = np.empty(len(key), np.int64)
-    by_position = np.lexsort((number, k, doc))
-    order[by_position] = np.cumsum(np.concatenate([[0], (np.diff(doc[by_position]) != 0) | (np.diff(k[by_position]) != 0) | (np.diff(number[by_position]) != 0)]))
-    group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
-    spot = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (place[1:] != place[:-1])]))
-    never = np.iinfo(np.int64).max
-
-    def least(of: np.ndarray, use: np.ndarray) -> np.ndarray:
-        out = np.full(of[-1] + 1, never)
-        np.minimum.at(out, of[use], order[use])
-        return out
-
-    left_out = place >= 0
-    # One place, one rest: the lines differ in that character alone. A line that is itself the rest lacks it.
-    before = np.where(left_out, np.minimum(least(spot, left_out)[spot], least(group, ~left_out)[group]), least(group, left_out)[group])
-    hit = np.flatnonzero(before < order)
-    other = by_position[np.searchsorted(order[by_position], before[hit])]
-    yield pa.RecordBatch.from_pydict({"line": line[hit], "doc": doc[other], "k": k[other], "number": number[other], "other": line[other]})
+    for piece in by_groups(it, ["key"]):
+        key, place, doc, k, number, hi, lo = (piece[c] for c in ("key", "place", "doc", "k", "number", "hi", "lo"))
+        # Positions in the corpus as numbers that compare alike within this piece; a line has one position.
+        order = np.empty(len(key), np.int64)
+        by_position = np.lexsort((number, k, doc))
+        order[by_position] = np.cumsum(np.concatenate([[0], (np.diff(doc[by_position]) != 0) | (np.diff(k[by_position]) != 0) | (np.diff(number[by_position]) != 0)]))
+        group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+        spot = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (place[1:] != place[:-1])]))
+        never = np.iinfo(np.int64).max
+
+        def least(of: np.ndarray, use: np.ndarray) -> np.ndarray:
+            out = np.full(of[-1] + 1, never)
+            np.minimum.at(out, of[use], order[use])  # noqa: B023
+            return out
+
+        left_out = place >= 0
+        # One place, one rest: the lines differ in that character alone. A line that is itself the rest lacks it.
+        before = np.where(left_out, np.minimum(least(spot, left_out)[spot], least(group, ~left_out)[group]), least(group, left_out)[group])
+        hit = np.flatnonzero(before < order)
+        other = by_position[np.searchsorted(order[by_position], before[hit])]
+        yield pa.RecordBatch.from_pydict({"hi": hi[hit], "lo": lo[hit], "doc": doc[other], "k": k[other], "number": number[other], "ohi": hi[other], "olo": lo[other]})
 
 
 def _packed(batch):
     import pyarrow as pa
     import zstandard
 
-    pack = zstandard.ZstdCompressor(level=6).compress
+    pack = zstandard.ZstdCompressor(level=3).compress
     return pa.array([None if t is None else pack(t) for t in batch.column("text").cast(pa.binary()).to_pylist()], pa.binary())
 
 
-def drop_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with text rebuilt from the lines that stay, and __lines and __dropped counts.
+def drop_lines(docs: DataFrame, *, lines: str = "n_lines", dropped: str = "n_dropped") -> DataFrame:
+    """``docs`` with text rebuilt from the lines that stay, and counts of its lines and of those dropped, named as told.
 
     Lines are what stands between line feeds. One goes if an earlier line is the same or one edit (a character
     put in, left out or replaced) away; earlier by doc_id (null first), then place in the text. Lines under
     MIN_CHARS characters stay. A null text stays null and counts no line; a text whose lines all go is left
     empty. Rows with one doc_id and one text are one document given twice: they keep the same lines. Rows with
-    one doc_id and several texts come in the order of a hash of the text. An empty table gives no rows. Other
-    columns pass through.
+    one doc_id and several texts come in the order of a hash of the text. Texts and lines of any length are
+    taken whole. An empty table gives no rows. Other columns pass through, whatever their names; if one is named
+    like a count, that is a ValueError.
 
-    1. Lines are named by 64-bit hashes; equal lines have one name, a first place and a count.
+    1. Lines are named by 128-bit digests; equal lines have one name, a first place and a count.
     2. Two lines within one edit agree outside one of SEGMENTS segments. Lines that share no such key with
        another leave: they have no neighbour.
     3. Of the others all variants with one character left out go, as hashed keys, where a shared key leaves
@@ -184,80 +213,97 @@ def drop_lines(docs: DataFrame) -> DataFrame:
        are neighbours. All lines with one variant differ in one place, so such a group is bounded by line
        length times alphabet and can't grow with the corpus.
     4. The edit distance of each line to its earliest neighbour is verified on the texts.
+    5. Places of lines that go: of the few very common lines by a broadcast, of all others by a join.
     """
-    named = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("__k", F.xxhash64("doc_id", "text"))
-    bodies = named.where("text IS NOT NULL").select(F.col("__doc").alias("doc"), F.col("__k").alias("k"), F.col("text").cast("string").alias("text"))
-    occurrences = bodies.mapInArrow(_occurrences, "line long, doc long, k long, number int")
-    first = F.min(F.struct("doc", "k", "number")).alias("first")
+    if {lines, dropped} & set(docs.columns):
+        raise ValueError(f"docs has a column named {lines} or {dropped}: choose other names for the counts")
+    own, key = fresh("__doc", docs), fresh("__k", docs)
+    named = docs.withColumns({own: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), key: F.xxhash64("doc_id", "text")})
+    bodies = named.where("text IS NOT NULL").select(F.col(own).alias("doc"), F.col(key).alias("k"), F.col("text").cast("string").alias("text"))
+    occurrences = bodies.mapInArrow(_occurrences, "hi long, lo long, doc long, k long, number int")
+    classes = occurrences.groupBy("hi", "lo").agg(F.min(F.struct("doc", "k", "number")).alias("first"), F.count("*").alias("n"))
     shared = cut(bodies.mapInArrow(_segments, "key long, line long, code int").repartitionByRange("key", "line").sortWithinPartitions("key", "line").mapInArrow(_shared, "line long, code int"))
-    codes = shared.groupBy("line").agg(F.collect_set("code").alias("codes"))
-    wanted = occurrences.groupBy("line").agg(first).join(codes, "line")
-    by_row = cut(wanted.groupBy(F.col("first.doc").alias("doc"), F.col("first.k").alias("k")).agg(F.collect_list(F.struct("line", F.col("first.number").alias("number"), "codes")).alias("wanted")))
-    few = by_row.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    candidates = cut(bodies.join(F.broadcast(by_row) if few else by_row, ["doc", "k"]).mapInArrow(_named_lines, "line long, doc long, k long, number int, codes array<int>, text string").dropDuplicates(["line"]))
+    codes = shared.groupBy(F.col("line").alias("lo")).agg(F.collect_set("code").alias("codes"))
+    known = cut(classes.join(codes, "lo", "left").where("n > 1 OR codes IS NOT NULL"))
+    by_row = known.where("codes IS NOT NULL").groupBy(F.col("first.doc").alias("doc"), F.col("first.k").alias("k")).agg(F.collect_list(F.struct("hi", "lo", F.col("first.number").alias("number"), "codes")).alias("wanted"))
+    few = known.where("codes IS NOT NULL").limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
+    candidates = cut(bodies.join(F.broadcast(by_row) if few else by_row, ["doc", "k"]).mapInArrow(_named_lines, "hi long, lo long, doc long, k long, number int, codes array<int>, text string").dropDuplicates(["hi", "lo"]))
     near = (
-        candidates.mapInArrow(_variants, "key long, place int, doc long, k long, number int, line long")
+        candidates.mapInArrow(_variants, "key long, place int, doc long, k long, number int, hi long, lo long")
         .repartition("key")
         .sortWithinPartitions("key", "place")
-        .mapInArrow(_earlier, "line long, doc long, k long, number int, other long")
-        .groupBy("line")
-        .agg(F.min(F.struct("doc", "k", "number", "other")).alias("found"))
-        .select("line", F.col("found.other").alias("other"))
+        .mapInArrow(_earlier, "hi long, lo long, doc long, k long, number int, ohi long, olo long")
+        .groupBy("hi", "lo")
+        .agg(F.min(F.struct("doc", "k", "number", "ohi", "olo")).alias("found"))
+        .select("hi", "lo", "found.ohi", "found.olo")
     )
-    texts = candidates.select("line", "text")
+    texts = candidates.select("hi", "lo", "text")
     verified = (
-        near.join(texts, "line")
-        .join(texts.select(F.col("line").alias("other"), F.col("text").alias("before")), "other")
+        near.join(texts, ["hi", "lo"])
+        .join(texts.select(F.col("hi").alias("ohi"), F.col("lo").alias("olo"), F.col("text").alias("before")), ["ohi", "olo"])
         .where(F.levenshtein("text", "before", 1).between(0, 1))
-        .select("line", F.lit(True).alias("near"))
+        .select("hi", "lo", F.lit(True).alias("near"))
     )
-    classes = occurrences.groupBy("line").agg(first, F.count("*").alias("n"))
-    affected = cut(classes.join(verified, "line", "left").where("n > 1 OR near").select("line", "first", F.coalesce("near", F.lit(False)).alias("near")))
-    gone = (
-        occurrences.join(affected, "line")
-        .where("near OR doc <> first.doc OR k <> first.k OR number <> first.number")
-        .groupBy(F.col("doc").alias("__doc"), F.col("k").alias("__k"))
-        .agg(F.collect_set("number").alias("__gone"))
+    affected = cut(known.drop("codes").join(verified, ["hi", "lo"], "left").where("n > 1 OR near").select("hi", "lo", "n", "first", F.coalesce("near", F.lit(False)).alias("near")))
+    return _rebuilt(named, _places(occurrences, affected).select(F.col("doc").alias(own), F.col("k").alias(key), F.col("gone")), docs, own, key, lines, dropped)
+
+
+def _places(occurrences: DataFrame, affected: DataFrame) -> DataFrame:
+    """(doc, k, gone): numbers of the lines of a text that go."""
+    total = affected.agg(F.sum("n")).first()[0] or 0
+    least = int(total * HOT)
+    hot = F.broadcast(affected.where(F.col("n") > least).select("hi", "lo", F.col("first").alias("hot_first"), F.col("near").alias("hot_near")))
+    rest = affected.where(F.col("n") <= least).select(F.col("hi").alias("rhi"), F.col("lo").alias("rlo"), "first", "near")
+    told = F.col("hot_first").isNotNull()
+    # A settled row goes on under a key of its own, so it lands anywhere.
+    spread = F.when(told, F.xxhash64("doc", "k", "number")).otherwise(F.col("hi"))
+    rows = occurrences.join(hot, ["hi", "lo"], "left").withColumn("hi", spread)
+    rows = rows.join(rest, (F.col("hi") == F.col("rhi")) & (F.col("lo") == F.col("rlo")) & ~told, "left")
+    first, near = F.coalesce("hot_first", "first"), F.coalesce("hot_near", "near")
+    return (
+        rows.where(first.isNotNull() & (near | (F.col("doc") != first["doc"]) | (F.col("k") != first["k"]) | (F.col("number") != first["number"])))
+        .groupBy("doc", "k")
+        .agg(F.collect_set("number").alias("gone"))
     )
-    return _rebuilt(named, gone, docs)
 
 
-def _rebuilt(named: DataFrame, gone: DataFrame, docs: DataFrame) -> DataFrame:
+def _rebuilt(named: DataFrame, gone: DataFrame, docs: DataFrame, own: str, key: str, lines: str, dropped: str) -> DataFrame:
     """``docs`` without the lines in ``gone``; texts are packed while they are joined."""
     columns = docs.columns
-    rest = [c for c in columns if c != "text"]
-    slim = named.select(*rest, "__doc", "__k", F.col("text").cast("string").alias("text"))
+    body, drop = fresh("__packed", named), fresh("__gone", named)
+    rest = [c for c in named.columns if c != "text"]
 
     def pack(it):
         import pyarrow as pa
 
         for batch in batches(it):
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*rest, "__doc", "__k"]), _packed(batch)], names=[*rest, "__doc", "__k", "__packed"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), _packed(batch)], names=[*rest, body])
 
-    packed = slim.mapInArrow(pack, slim.withColumn("__packed", F.lit(None).cast("binary")).drop("text").schema)
-    schema = docs.withColumn("text", F.lit(None).cast("string")).select(*docs.columns, F.lit(0).cast("long").alias("__lines"), F.lit(0).cast("long").alias("__dropped")).schema
+    slim = named.select(*rest, F.col("text").cast("string").alias("text"))
+    packed = slim.mapInArrow(pack, named.select(*rest, F.lit(None).cast("binary").alias(body)).schema)
+    schema = docs.withColumn("text", F.lit(None).cast("string")).select(*columns, F.lit(0).cast("long").alias(lines), F.lit(0).cast("long").alias(dropped)).schema
 
     def build(it):
         import pyarrow as pa
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches(it):
-            texts, n, dropped = [], [], []
-            for raw, drop in zip(batch.column("__packed").to_pylist(), batch.column("__gone").to_pylist()):
-                lines = None if raw is None else unpack(raw).split(b"\n")
-                n.append(len(lines or ()))
-                dropped.append(len(drop or ()))
-                if drop:
-                    drop = set(drop)
-                    lines = [x for i, x in enumerate(lines) if i not in drop]
-                texts.append(None if lines is None else b"\n".join(lines).decode("utf-8", "surrogatepass"))
-            made = {"text": pa.array(texts, pa.string())}
-            yield pa.RecordBatch.from_arrays([*(made.get(c, batch.column(c) if c != "text" else None) for c in columns), pa.array(n, pa.int64()), pa.array(dropped, pa.int64())], names=[*columns, "__lines", "__dropped"])
-
-    return packed.join(gone, ["__doc", "__k"], "left").mapInArrow(build, schema)
+        for batch in batches(it, 256):
+            texts, n, went = [], [], []
+            for raw, numbers in zip(batch.column(body).to_pylist(), batch.column(drop).to_pylist()):
+                parts = None if raw is None else unpack(raw).split(b"\n")
+                n.append(len(parts or ()))
+                went.append(len(numbers or ()))
+                if numbers:
+                    numbers = set(numbers)
+                    parts = [x for i, x in enumerate(parts) if i not in numbers]
+                texts.append(None if parts is None else b"\n".join(parts).decode("utf-8", "surrogatepass"))
+            made = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([*(made if c == "text" else batch.column(c) for c in columns), pa.array(n, pa.int64()), pa.array(went, pa.int64())], names=[*columns, lines, dropped])
+
+    return packed.join(gone.withColumnRenamed("gone", drop), [own, key], "left").mapInArrow(build, schema)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return drop_lines(docs).select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    return drop_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))

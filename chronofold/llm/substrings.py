@@ -8,13 +8,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import Powers, as_bytes, batches, chunks, cut, mix64, read
+from chronofold.llm.common import Powers, as_bytes, batches, by_groups, chunks, cut, mix64, read, rolling
 
 LENGTH = 200
 #: Length of the first rank. Each LENGTH-byte string holds this many more starts of such a rank, and is placed by the least of them.
 FIRST = 32
-#: Bits for a position when the least rank is sought, so ties go to the leftmost.
-_BITS = np.uint64(30)
+#: Bits for a position when the least rank is sought, so ties go to the leftmost: enough for any text that Arrow holds (2 GB).
+_BITS = np.uint64(31)
 #: Windows that are told apart together in round two.
 CELL = 16
 #: Bytes of text that are stored, sent and worked on together; a longer text is a block by itself.
@@ -51,7 +51,13 @@ class Windows:
     def __init__(self, data: bytes, sizes: np.ndarray) -> None:
         self.data = np.frombuffer(data, np.uint8)
         self.offset = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        self._runs = None
+        self._runs = self._h = None
+
+    @property
+    def h(self) -> np.ndarray:
+        if self._h is None:
+            self._h = _POWERS.prefix(self.data)
+        return self._h
 
     @property
     def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,11 +68,10 @@ class Windows:
 
     def _find(self):
         n = len(self.data)
-        self.h = _POWERS.prefix(self.data)
         if n < LENGTH:
             return (np.zeros(0, np.int64),) * 3
         q = np.arange(n - FIRST + 1)
-        self.rank = _POWERS.span(self.h, q, q + FIRST)
+        self.rank = rolling(self.data, FIRST)
         m = (self.rank >> _BITS << _BITS) | q.astype(np.uint64)
         reach, width = LENGTH - FIRST + 1, 1
         while width * 2 <= reach:
@@ -77,7 +82,7 @@ class Windows:
         p = np.flatnonzero(ends[: len(m)] - np.arange(len(m)) >= LENGTH)
         if not len(p):
             return (np.zeros(0, np.int64),) * 3
-        a = (m[p] & np.uint64((1 << 30) - 1)).astype(np.int64)
+        a = (m[p] & np.uint64((1 << 31) - 1)).astype(np.int64)
         new = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
         return a[new], p[new], p[np.concatenate([new[1:], [len(p)]]) - 1]
 
@@ -85,7 +90,7 @@ class Windows:
         """Rank of the bytes from left to right as far as the text of ``at`` goes, and of how far ``at`` is in it."""
         doc = np.searchsorted(self.offset, at, "right") - 1
         left, right = np.maximum(self.offset[doc], left), np.minimum(self.offset[doc + 1], right)
-        return _POWERS.span(self.h, left, right) * np.uint64(2) + (at - left).astype(np.uint64)
+        return mix64(_POWERS.span(self.h, left, right) + (at - left).astype(np.uint64))
 
     def run_of(self, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         anchors, low, high = self.runs
@@ -147,7 +152,6 @@ def _cells(it):
             pos, whole, weight = _listed(batch, k, "marks")
             use = weight > 0
             if use.any():
-                w.runs
                 a = pos[use]
                 which, cell = w.cells(a)
                 a = a[which]
@@ -164,22 +168,11 @@ def _windows(it):
             pos, whole, weight = _listed(batch, k, "marks")
             use = weight > 0
             if use.any():
-                w.runs
                 low, high = w.in_cell(pos[use] // CELL, pos[use] % CELL)
                 which, p = _spread(low, high)
                 yield _rows(_POWERS.span(w.h, p, p + LENGTH), np.zeros(len(p), np.uint64), batch.column("block")[k].as_py(), p, weight[use][which], whole[use][which])
 
 
-def _table(it) -> dict[str, np.ndarray] | None:
-    import pyarrow as pa
-
-    got = [b for b in batches(it)]
-    if not got:
-        return None
-    table = pa.Table.from_batches(got)
-    return {c: table.column(c).to_numpy() for c in table.column_names}
-
-
 def _groups(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Group number of each row and first row of each group, for sorted rows."""
     change = np.zeros(len(columns[0]), bool)
@@ -189,6 +182,18 @@ def _groups(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(change) - 1, np.flatnonzero(change)
 
 
+def _pieces(it):
+    """(columns, is the first, is the last) of each piece of a sorted partition; a key lies in one piece."""
+    before, first = None, True
+    for piece in by_groups(it, ["key"]):
+        if before is not None:
+            yield before, first, False
+            first = False
+        before = piece
+    if before is not None:
+        yield before, first, True
+
+
 def _rerank(it):
     """Of a sorted partition: rows whose hull recurs (whole), and one row for each hull of a key that has several
     (weight: 1, or 2 for a hull that recurs); a row whose key is unique goes.
@@ -197,36 +202,33 @@ def _rerank(it):
     """
     import pyarrow as pa
 
-    t = _table(it)
-    if t is None:
-        return
-    group, group_first = _groups(t["key"])
-    kind, kind_first = _groups(t["key"], t["hull"])
-    size = np.add.reduceat(t["weight"].astype(np.int64), kind_first)
-    mixed = np.bincount(group[kind_first], minlength=len(group_first)) > 1
-    mixed[[0, -1]] = True
-    known = t["known"].astype(bool)
-    whole = (size[kind] > 1) | known
-    weight = np.zeros(len(kind), np.int8)
-    weight[kind_first] = np.where(mixed[group[kind_first]], np.minimum(size, 2), 0)
-    keep = (whole & ~known) | (weight > 0)
-    yield pa.RecordBatch.from_arrays([pa.array(t["block"][keep]), pa.array(t["pos"][keep]), pa.array(whole[keep]), pa.array(weight[keep])], names=["block", "pos", "whole", "weight"])
+    for t, first, last in _pieces(it):
+        group, group_first = _groups(t["key"])
+        kind, kind_first = _groups(t["key"], t["hull"])
+        size = np.add.reduceat(t["weight"].astype(np.int64), kind_first)
+        mixed = np.bincount(group[kind_first], minlength=len(group_first)) > 1
+        mixed[0] |= first
+        mixed[-1] |= last
+        known = t["known"].astype(bool)
+        whole = (size[kind] > 1) | known
+        weight = np.zeros(len(kind), np.int8)
+        weight[kind_first] = np.where(mixed[group[kind_first]], np.minimum(size, 2), 0)
+        keep = (whole & ~known) | (weight > 0)
+        yield pa.RecordBatch.from_arrays([pa.array(t["block"][keep]), pa.array(t["pos"][keep]), pa.array(whole[keep]), pa.array(weight[keep])], names=["block", "pos", "whole", "weight"])
 
 
 def _rerank_windows(it):
     """Of a sorted partition: windows that recur and aren't known to (edge false), and a row for each key at its ends."""
     import pyarrow as pa
 
-    t = _table(it)
-    if t is None:
-        return
-    group, first = _groups(t["key"])
-    total = np.add.reduceat(t["weight"].astype(np.int64), first)
-    keep = np.flatnonzero((total[group] > 1) & ~t["known"].astype(bool))
-    ends = np.unique(first[[0, -1]])
-    at = np.concatenate([keep, ends])
-    edge = np.repeat([False, True], [len(keep), len(ends)])
-    yield pa.RecordBatch.from_arrays([pa.array(t["key"][at]), pa.array(t["block"][at]), pa.array(t["pos"][at]), pa.array(total[group[at]]), pa.array(edge)], names=["key", "block", "pos", "total", "edge"])
+    for t, begins, ends in _pieces(it):
+        group, first = _groups(t["key"])
+        total = np.add.reduceat(t["weight"].astype(np.int64), first)
+        keep = np.flatnonzero((total[group] > 1) & ~t["known"].astype(bool))
+        edges = np.unique(first[[0] * begins + [-1] * ends])
+        at = np.concatenate([keep, edges])
+        edge = np.repeat([False, True], [len(keep), len(edges)])
+        yield pa.RecordBatch.from_arrays([pa.array(t["key"][at]), pa.array(t["block"][at]), pa.array(t["pos"][at]), pa.array(total[group[at]]), pa.array(edge)], names=["key", "block", "pos", "total", "edge"])
 
 
 def _removed(it):
@@ -279,7 +281,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     neighbouring windows, one row for each kind of surroundings; where these differ still, round three sorts
     the single windows at LENGTH. Partitions are ranges of the sorted pairs, so a rank with a third of all
     positions spans tasks; keys at partition ends go on to the next round, and the last round's are settled by
-    themselves. Ranks have 64 bits: two strings that differ are taken for equal with odds of 2**-64 a pair.
+    themselves. The ranks that decide have 62 bits, of two polynomials modulo a prime: two strings that differ are
+    taken for equal with odds of 2**-44 a pair at most (for any content; 2**-62 for ordinary ones). Texts may have
+    up to 2 GB, as Arrow has it; columns but doc_id and text are not read, so their names can't clash.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_pack, "doc_ids array<long>, sizes array<int>, packed binary")
     held = cut(rows.withColumn("block", F.monotonically_increasing_id()))
