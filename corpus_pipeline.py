@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofold.llm import lines, mixing, near_dedup, packing, quality
-from chronofold.llm.common import ensure_checkpoint_dir, read
+from chronofold.llm.common import ensure_checkpoint_dir, fresh, read
 
 #: Words that a packing worker remembers: fewer than in packing alone, since its executor holds the other stages' memory too.
 CACHE = 400_000
@@ -24,17 +24,19 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines within one edit of an earlier line go; so does a document of which nothing is left."""
-    rest = lines.drop_lines(docs).where("NOT (__dropped > 0 AND trim(text) = '')")
+    """Lines within one edit of an earlier line go; so does a document of which nothing is left. Null texts stay null."""
+    n, dropped = fresh("__lines", docs), fresh("__dropped", docs)
+    rest = lines.drop_lines(docs, lines=n, dropped=dropped).where(~((F.col(dropped) > 0) & (F.trim("text") == "")) | F.col("text").isNull())
     if "n_chars" in docs.columns:
-        rest = rest.withColumn("n_chars", F.when(F.col("__dropped") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        rest = rest.withColumn("n_chars", F.when(F.col(dropped) > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return rest.select(*docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-duplicates the document with the least doc_id stays."""
-    gone = near_dedup.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    gone = fresh("__gone", docs)
+    away = near_dedup.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias(gone))
+    return docs.join(away, F.col("doc_id").cast("long") == F.col(gone), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
