@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterable, Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: One word: a run of anything but the six ASCII white-space characters.
@@ -28,13 +30,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="chronofold-"))
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: Rows of a few numbers that one partition holds without strain.
+ROWS = 50_000
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder once and go on from there.
 
-    Row ids and samples made before the cut stay what they are when an executor is lost afterwards.
+    Row ids and samples made before the cut stay what they are when an executor is lost afterwards. ``rows`` is for
+    tables of a few numbers: they go on in as few partitions as hold so many rows each, as counted while writing.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    if rows is None:
+        return df.checkpoint(eager=True)
+    told = Observation()
+    held = df.observe(told, F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
+    return held.coalesce(max(1, -(-told.get["n"] // rows)))
 
 
 def text_key() -> Column:
@@ -42,29 +53,59 @@ def text_key() -> Column:
     return F.xxhash64(F.col("doc_id"), F.col("text"))
 
 
-def running_total(df: DataFrame, group: str, order: list[str], value: Column, out: str, *, totals: DataFrame | None = None, bits: int = 10) -> DataFrame:
+#: Keys with more than this share of all rows, at most its inverse in number, are settled by a broadcast.
+HOT = 1 / 1000
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join of ``rows`` with ``table``, which has one row for each key, where a key may hold any share of the rows.
+
+    The keys of more than HOT of all rows (1000 at most, whatever the data) are counted first, and their rows meet
+    a broadcast; they go through the ordinary join under salts of their own, as rows without a key do, so no task gathers them. ``rows`` are
+    read twice and should be checkpointed.
+    """
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
+    least = int(rows.count() * HOT)
+    hot = cut(counts.where(F.col("__n") > max(1, least)).select(*keys))
+    if hot.isEmpty():
+        return rows.join(table, keys, "left")
+    told = [c for c in table.columns if c not in keys]
+    held, salt = fresh("__held", rows, table), fresh("__salt", rows, table)
+    few = cut(hot.join(table, keys, "left").select(*keys, F.struct(*told).alias(held)))
+    marked = rows.join(F.broadcast(few), keys, "left")
+    nowhere = F.col(held).isNotNull() | reduce(or_, (F.col(k).isNull() for k in keys))
+    marked = marked.withColumn(salt, F.when(nowhere, F.xxhash64(*(F.col(c) for c in rows.columns)).bitwiseOR(F.lit(1))).otherwise(F.lit(0).cast("long")))
+    rest = table.withColumn(salt, F.lit(0).cast("long")).select(*keys, salt, F.struct(*told).alias(f"{held}_rest"))
+    out = marked.join(rest, [*keys, salt], "left")
+    return out.select(*rows.columns, *(F.when(F.col(held).isNotNull(), F.col(held)[c]).otherwise(F.col(f"{held}_rest")[c]).alias(c) for c in told))
+
+
+def range_bits(rows: int, least: int = 10, most: int = 18) -> int:
+    """Bits of a hash range such that a range of ``rows`` rows' hashes has some ten thousand rows at most."""
+    return max(least, min(most, (rows // 10_000).bit_length()))
+
+
+def running_total(df: DataFrame, group: str, order: list[str], value: Column, out: str, *, totals: DataFrame | None = None, bits: int = 10, part: Column | None = None) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the rows of ``group`` that come before a row by ``order``.
 
-    ``order[0]`` has to be a well-mixed 64-bit hash (not null), ``group`` not null. A group is dealt out over
-    ``2 ** bits`` ranges of that hash, so a group with a third of all rows is no larger task than any other:
-    in each range the sum runs by itself, and the ranges' own totals give where each one starts. ``totals``
-    may be a narrow form of ``df`` with the same rows to take these totals from.
+    ``part`` deals a group out over ranges of the order: a whole number (not null) that never falls along it.
+    Without it ``order[0]`` has to be a well-mixed 64-bit hash (not null), and there are ``2 ** bits`` ranges of
+    that. So a group with a third of all rows is no larger task than any other: in each range the sum runs by
+    itself, and the ranges' own totals give where each one starts. ``group`` is not null. ``totals`` may be a
+    narrow form of ``df`` with the same rows to take these totals from.
     """
-    part = F.shiftright(F.col(order[0]), 64 - bits)
+    part = F.shiftright(F.col(order[0]), 64 - bits) if part is None else part
+    at, inner, named, span, start = (fresh(x, df) for x in ("__part", "__inside", "__group", "__range", "__start"))
     starts = (
         (df if totals is None else totals)
-        .groupBy(F.col(group), part.alias("__part"))
+        .groupBy(F.col(group).alias(named), part.alias(span))
         .agg(F.sum(value).alias("__sum"))
-        .withColumn("__start", F.coalesce(F.sum("__sum").over(Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .select(F.col(group).alias("__group"), F.col("__part").alias("__range"), "__start")
-    )
-    inside = Window.partitionBy(group, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = df.withColumn("__part", part).withColumn("__inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return (
-        rows.join(starts, (F.col(group) == F.col("__group")) & (F.col("__part") == F.col("__range")))
-        .withColumn(out, F.col("__start") + F.col("__inside"))
-        .drop("__part", "__range", "__group", "__start", "__inside")
+        .withColumn(start, F.coalesce(F.sum("__sum").over(Window.partitionBy(named).orderBy(span).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .drop("__sum")
     )
+    inside = Window.partitionBy(group, at).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = df.withColumn(at, part).withColumn(inner, F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return rows.join(starts, (F.col(group) == F.col(named)) & (F.col(at) == F.col(span))).withColumn(out, F.col(start) + F.col(inner)).drop(at, span, named, start, inner)
 
 
 def chunks(sizes: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]:

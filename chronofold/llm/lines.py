@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import Powers, as_bytes, batches, by_groups, chunks, cut, fresh, mix64, read
+from chronofold.llm.common import HOT, Powers, as_bytes, batches, by_groups, chunks, cut, fresh, mix64, read
 
 #: Shorter lines (blank ones, headings, bullets) always stay.
 MIN_CHARS = 16
@@ -16,8 +16,6 @@ MIN_CHARS = 16
 BROADCAST_LINES = 100_000
 #: Segments by which lines that can't have a neighbour are told apart before any deletion variant is made.
 SEGMENTS = 4
-#: Lines with more than this share of all lines, at most its inverse in number, are settled by a broadcast.
-HOT = 1 / 1000
 #: Lines that a map task remembers to have sent, and variants that it sends at once.
 SENT, AT_ONCE = 1 << 17, 1 << 16
 _POWERS = Powers()

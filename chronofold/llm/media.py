@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import as_bytes, batches, cut, read
+from chronofold.llm.common import as_bytes, batches, cut, read, spread_join
 
 ITEM = "struct<pos: int, kind: string, text: string, digest: string, caption: string>"
 #: Samples in a row of the stored picture.
@@ -23,7 +23,11 @@ _MAGIC = b"\x89PNG\r\n\x1a\n"
 
 
 class Interleaved(HTMLParser):
-    """Text blocks and media references of a page in reading order; a figure's caption goes with its reference."""
+    """Text blocks and media references of a page in reading order; a figure's caption goes with its reference.
+
+    What stands in _SKIP elements is left out. One that is never closed doesn't take the rest of the page with it:
+    its text comes back as one block at the end. (What follows an unclosed script or style is its content.)
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -32,6 +36,7 @@ class Interleaved(HTMLParser):
         self.caption: list[str] | None = None
         self.figure: list[int] = []
         self.skip = 0
+        self.skipped: list[str] = []
         self.keep = False
 
     def flush(self) -> None:
@@ -62,6 +67,8 @@ class Interleaved(HTMLParser):
     def handle_endtag(self, tag):
         if tag in _SKIP:
             self.skip = max(0, self.skip - 1)
+            if not self.skip:
+                self.skipped = []
         elif tag == "figcaption" and self.caption is not None:
             told = " ".join("".join(self.caption).split())
             for i in self.figure:
@@ -72,7 +79,10 @@ class Interleaved(HTMLParser):
             self.keep = False
 
     def handle_data(self, data):
-        if not self.skip:
+        if self.skip:
+            if self.cdata_elem is None:
+                self.skipped.append(data)
+        else:
             (self.text if self.caption is None else self.caption).append(data)
 
 
@@ -82,6 +92,9 @@ def parse(page: str | None) -> list[dict]:
     p.feed(page or "")
     p.close()
     p.flush()
+    if p.skip:
+        p.text, p.keep = p.skipped, False
+        p.flush()
     return p.items
 
 
@@ -136,8 +149,14 @@ def page_of(text: str, digest: str, name: str) -> str:
 
 
 def sequences(pages: DataFrame, column: str = "html") -> DataFrame:
-    """``pages`` with ``items``: array of ITEM in reading order, in place of the page."""
+    """``pages`` with ``items``: array of ITEM in reading order, in place of the page.
+
+    A null or empty page has no items. Repeated rows have the same items. Pages of any length are parsed whole. An
+    empty table gives no rows. Other columns pass through; one named items is a ValueError.
+    """
     rest = [c for c in pages.columns if c != column]
+    if "items" in rest:
+        raise ValueError("pages has a column named items")
     schema = pages.select(*rest, F.expr(f"cast(null as array<{ITEM}>) as items")).schema
 
     def run(it):
@@ -177,29 +196,60 @@ def describe(store: DataFrame) -> DataFrame:
 
 
 def resolve(items: DataFrame, described: DataFrame) -> DataFrame:
-    """Exploded items (with pos, kind, digest, caption) and their payload's values; what isn't stored stays with nulls."""
-    return items.join(described, "digest", "left")
+    """Exploded items (with pos, kind, digest, caption) and their payload's values; what isn't stored, or has no digest, stays with nulls.
+
+    A digest that a third of all items refer to meets its values by a broadcast. ``items`` should be checkpointed.
+    """
+    return spread_join(items, described, ["digest"])
 
 
-def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document as a page with its text and its payload as a picture, parsed, stored and resolved by digest."""
+SEEN = "struct<pos: int, kind: string, n_bytes: bigint, digest: string, caption: string>"
+
+
+def store_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, items (array of SEEN), pos, digest, caption and media for each row of ``docs`` (doc_id, text).
+
+    Each text is written as a page with its payload's reference in a figure, and the page is parsed: what is told of
+    the text is told by the parsed items. The payload is stored as a PNG under its digest.
+    """
 
     def store(it):
         import pyarrow as pa
 
-        for batch in batches(it):
-            pages, media, length = [], [], []
+        kind = pa.list_(pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("n_bytes", pa.int64()), ("digest", pa.string()), ("caption", pa.string())]))
+        for batch in batches(it, 256):
+            seen, refs, media, length = [], [], [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text"))):
                 payload = payload_of(text)
                 items = parse(page_of(text.decode("utf-8", "surrogatepass"), hashlib.sha256(payload).hexdigest(), str(doc)))
-                length.append(sum(len(x["text"].encode("utf-8", "surrogatepass")) for x in items if x["kind"] == "text"))
-                pages.append(next(x for x in items if x["kind"] == "media"))
+                for x in items:
+                    x["n_bytes"] = None if x["text"] is None else len(x.pop("text").encode("utf-8", "surrogatepass"))
+                length.append(sum(x["n_bytes"] for x in items if x["kind"] == "text"))
+                refs.append(next(x for x in items if x["kind"] == "media"))
+                seen.append([{c: x[c] for c in ("pos", "kind", "n_bytes", "digest", "caption")} for x in items])
                 media.append(encode(payload))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(length, pa.int64()), *(pa.array([x[c] for x in pages], t) for c, t in (("pos", pa.int32()), ("digest", pa.string()), ("caption", pa.string()))), pa.array(media, pa.binary())],
-                names=["doc_id", "n_bytes", "pos", "digest", "caption", "media"],
+                [batch.column("doc_id"), pa.array(length, pa.int64()), pa.array(seen, kind), *(pa.array([x[c] for x in refs], t) for c, t in (("pos", pa.int32()), ("digest", pa.string()), ("caption", pa.string()))), pa.array(media, pa.binary())],
+                names=["doc_id", "n_bytes", "items", "pos", "digest", "caption", "media"],
             )
 
-    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    held = cut(docs.mapInArrow(store, "doc_id long, n_bytes long, pos int, digest string, caption string, media binary"))
-    return resolve(held.drop("media"), cut(describe(held.select("digest", "media")))).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(store, f"doc_id long, n_bytes long, items array<{SEEN}>, pos int, digest string, caption string, media binary")
+
+
+def media_table(docs: DataFrame) -> DataFrame:
+    """Each document as a page with its text and its payload as a picture: parsed, stored, read back and resolved by digest.
+
+    Null text: empty, with a payload of 64 zero bytes. Null doc_id: a row like any other. Equal texts have equal
+    payloads and values, and repeated rows are rows of their own. Texts of any length go whole into one payload.
+    Columns but doc_id and text are not read, so their names can't clash. An empty table gives no rows.
+
+    What is joined by digest is what the stored bytes hold, read back and verified; the bytes themselves stay where
+    they are stored, since a join of them would be a second copy of the corpus on disk.
+    """
+    held = cut(store_texts(docs))
+    return resolve(held.drop("media"), cut(describe(held.select("digest", "media"))))
+
+
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_table(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption", "items")

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import WORD, cut, read, running_total
+from chronofold.llm.common import WORD, cut, fresh, range_bits, read, running_total
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 REPEATS = 2
 SEED = 17
+#: Sources whose last documents are sent to all tasks (under 200 bytes each for names of ordinary length); beyond, they are joined.
+BROADCAST_SOURCES = 10_000
 
 
 def n_words(text: Column) -> Column:
@@ -43,48 +45,100 @@ def source_targets(sizes: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, shar
     )
 
 
-def mix(docs: DataFrame, size: Column, *, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: int = SEED, whole: bool = False) -> DataFrame:
-    """``docs`` (doc_id, source and any more columns) with __size, __source_size, __target, __taken, __copies and __finish.
+def source_key() -> Column:
+    return F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source")))
 
-    Each source's documents are shuffled by a hash of doc_id and the seed; a document's virtual finish time is
-    the source's tokens up to its end over the source's weight. The stream in order of finish time, cut where
-    the budget is used up, is the mix, and its sources have then sent their targets exactly: the document at
-    the cut of a source gives just the words that are missing. ``whole`` keeps documents whole instead: a pass
-    over a document counts if at least half of it lies before the cut, so a source is off by half a document at
-    most; __copies says how often it is taken.
 
-    Null source: a source of its own, last in the order. Null doc_id: hashed as such. Repeated rows: documents
-    of their own. Empty texts: size 0, nothing taken. Empty table: no rows. Reruns give the same mix.
+def document_key(seed: int) -> Column:
+    """A document's place in the shuffle of its source: the first 60 bits of an MD5 over the seed, doc_id and the text's MD5."""
+    text = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    told = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), text)
+    return F.conv(F.substring(F.md5(told.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def stream(docs: DataFrame, size: Column, *, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
+    """What the mix takes of each row of ``docs`` (doc_id, source, text and whatever ``size`` needs), pass by pass.
+
+    (row, doc_id, source, source_key, size, hash, source_size, target, pass, finish, before, taken): each source's
+    documents are shuffled by a hash of doc_id, text and the seed, and stand ``repeats`` times one after another. A
+    document's virtual finish time is the source's words up to its end over the source's weight. All sources'
+    documents are sorted by it in ranges of equal virtual time, ``before`` is the exact prefix sum of words along
+    that one order, and the order is cut where ``share`` of all words is reached: the document at the cut gives
+    the words that are missing, all later ones nothing. A source that has run dry has no more documents in the
+    order, so the others take its place at once.
+
+    Documents without words take no part in the order: they have one row with ``pass`` 0 and null finish.
+    """
+    narrow = cut(docs.select("doc_id", "source", source_key().alias("source_key"), size.alias("size"), document_key(seed).alias("hash")).withColumn("row", F.monotonically_increasing_id()))
+    sizes = narrow.groupBy("source_key", "source").agg(F.sum("size").alias("source_size"))
+    targets = cut(source_targets(sizes, weights=weights, share=share, repeats=repeats))
+    told = narrow.agg(F.count("*").alias("n"), F.sum("size").alias("words")).first()
+    latest = targets.agg(F.max(F.col("source_size") * repeats / F.col("weight"))).first()[0] or 0.0
+    bits, budget = range_bits(told["n"] * repeats), int((told["words"] or 0) * share)
+    placed = running_total(narrow.where("size > 0"), "source_key", ["hash", "row"], F.col("size"), "__own", part=F.shiftright("hash", 60 - bits))
+    placed = placed.join(targets.drop("source"), "source_key").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    finish = (F.col("__own") + F.col("size") + F.col("pass") * F.col("source_size")).cast("double") / F.col("weight")
+    timed = cut(placed.withColumn("finish", finish).drop("__own").withColumn("__all", F.lit("all")))
+    span = F.floor(F.col("finish") * (float(1 << bits) / max(latest, 1.0))).cast("long")
+    ordered = running_total(timed, "__all", ["finish", "source_key", "pass", "hash", "row"], F.col("size"), "before", part=span)
+    taken = F.greatest(F.lit(0), F.least(F.col("size"), F.lit(budget) - F.col("before"))).cast("long")
+    columns = ["row", "doc_id", "source", "source_key", "size", "hash", "source_size", "target", "pass", "finish", "before", "taken"]
+    empty = narrow.where("size = 0").join(targets.drop("source"), "source_key").withColumns({"pass": F.lit(0), "finish": F.lit(None).cast("double"), "before": F.lit(None).cast("long"), "taken": F.lit(0).cast("long")})
+    return ordered.withColumn("taken", taken).select(columns).unionByName(empty.select(columns))
+
+
+def mix(docs: DataFrame, size: Column, **settings) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken and finish (of the first pass) for each row of ``docs``: see ``stream``.
+
+    Null source: a source of its own, last in the order. Null doc_id: hashed as such, with the text. Repeated rows:
+    documents of their own; which of them a cut falls on can't be told. Empty and null texts: size 0, nothing
+    taken. Texts of any length count whole. Other columns are not read, so their names can't clash. Empty table:
+    no rows. Reruns give the same mix.
+    """
+    return (
+        stream(docs, size, **settings)
+        .groupBy("row")
+        .agg(*(F.first(c).alias(c) for c in ("doc_id", "source", "size", "source_size", "target")), F.sum("taken").alias("taken"), F.min("finish").alias("finish"))
+        .drop("row")
+    )
+
+
+def mix_whole(docs: DataFrame, *, seed: int = SEED, **settings) -> DataFrame:
+    """``docs``, each row as often as the mix takes it whole: a pass counts if at least half of its words lie before the cut.
+
+    A source takes its documents in their shuffled order, so what it has taken is told by its last document: the
+    texts are never shuffled, but meet one row for each source. Rows with one doc_id and text are taken alike. Null
+    and empty texts, which hold no word to take, go. All columns pass through, whatever their names.
     """
-    names = {"__source_key": F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source"))), "__size": size, "__hash": F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source"))}
-    rows = docs.withColumns(names)
-    narrow = cut(rows.select("source", "__source_key", "__size", "__hash"))
-    sizes = narrow.groupBy(F.col("__source_key").alias("source_key"), "source").agg(F.sum("__size").alias("source_size"))
-    targets = source_targets(sizes, weights=weights, share=share, repeats=repeats).toDF("__t_key", "__t_size", "__t_weight", "__t_target")
-    order = ["__hash", "doc_id", "__size"]
-    placed = running_total(rows, "__source_key", order, F.col("__size"), "__before", totals=narrow)
-    quota = F.floor(F.col("__t_target") + 1e-6)
-    if whole:
-        passes = [F.when((F.col("__size") > 0) & (F.col("__before") + F.col("__t_size") * k + F.col("__size") / 2 <= quota), 1).otherwise(0) for k in range(repeats)]
-        copies = sum(passes[1:], passes[0])
-        taken = copies * F.col("__size")
-    else:
-        parts = [F.greatest(F.lit(0), F.least(F.col("__size"), quota - F.col("__before") - F.col("__t_size") * k)) for k in range(repeats)]
-        taken = sum(parts[1:], parts[0])
-        copies = F.ceil(taken / F.greatest(F.col("__size"), F.lit(1)))
-    return placed.join(targets, F.col("__source_key") == F.col("__t_key")).withColumns(
-        {
-            "__source_size": F.col("__t_size"),
-            "__target": F.col("__t_target"),
-            "__taken": taken.cast("long"),
-            "__copies": copies.cast("int"),
-            "__finish": (F.col("__before") + F.col("__size")) / F.col("__t_weight"),
-        }
-    ).drop("__t_key", "__t_size", "__t_weight", "__t_target", "__source_key", "__hash", "__before")
+    whole = stream(docs, n_words(F.col("text")), seed=seed, **settings).where("taken > 0 AND taken * 2 >= size")
+    last = cut(whole.groupBy("source_key").agg(F.max(F.struct("pass", "hash")).alias("last")))
+    few = last.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    own, at, told, copy = (fresh(x, docs) for x in ("__key", "__hash", "__last", "__copy"))
+    last = last.select(F.col("source_key").alias(own), F.col("last").alias(told))
+    rows = docs.where(F.col("text").rlike(WORD)).withColumns({own: source_key(), at: document_key(seed)}).join(F.broadcast(last) if few else last, own)
+    times = F.col(told)["pass"] + F.when(F.col(at) <= F.col(told)["hash"], 1).otherwise(0)
+    return rows.withColumn(copy, F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("size"))
-    mixed = mix(cut(docs), F.col("size"))
-    return mixed.select("doc_id", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"), F.col("__finish").alias("finish")).orderBy("finish", "doc_id")
-
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix(docs, n_words(F.col("text"))).select("doc_id", "size", "source_size", "target", "taken", "finish")
+
+
+SQL = f"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, '-') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS hash,
+    CASE WHEN source IS NULL THEN '-' ELSE '+' || source END AS source_key, row_number() OVER () AS row FROM documents),
+s AS (SELECT source_key, source, sum(size)::BIGINT AS source_size FROM d GROUP BY ALL),
+w AS (SELECT *, [{", ".join(map(str, WEIGHTS))}][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % {len(WEIGHTS)} + 1]::DOUBLE AS weight FROM s),
+c AS (SELECT *, source_size * {float(REPEATS)}::DOUBLE AS cap, cap / weight AS dry, sum(source_size) OVER () * {SHARE}::DOUBLE AS budget FROM w),
+v AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY dry, source_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY dry, source_key ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS reach FROM c),
+t AS (SELECT source_key, source_size, weight, budget, least(cap, weight * coalesce((SELECT reach FROM v WHERE reach <= dry ORDER BY dry, source_key LIMIT 1), (SELECT max(dry) FROM v))) AS target FROM v),
+o AS (SELECT d.*, source_size, weight, budget, target, unnest(range({REPEATS})) AS pass,
+    coalesce(sum(size) OVER (PARTITION BY d.source_key ORDER BY hash, row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS own FROM d JOIN t USING (source_key) WHERE size > 0),
+f AS (SELECT *, (own + size + pass * source_size)::DOUBLE / weight AS finish FROM o),
+b AS (SELECT *, coalesce(sum(size) OVER (ORDER BY finish, source_key, pass, hash, row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM f)
+SELECT doc_id, size, source_size, target, sum(greatest(0, least(size, floor(budget)::BIGINT - before)))::BIGINT AS taken, min(finish) AS finish FROM b GROUP BY row, doc_id, size, source_size, target
+UNION ALL SELECT doc_id, size, source_size, target, 0, NULL FROM d JOIN t USING (source_key) WHERE size = 0
+"""

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import Powers, as_bytes, batches, by_groups, chunks, cut, mix64, read, text_key
+from chronofold.llm.common import ROWS, Powers, as_bytes, batches, by_groups, chunks, cut, mix64, read, spread_join, text_key
 from chronofold.llm.components import _local_forest, connected_components
 
 SHINGLE = 5
@@ -320,7 +320,7 @@ def _mixed(rows: DataFrame, *more) -> DataFrame:
 
 def _regions(rows: DataFrame) -> DataFrame:
     """(head, id, n) of the heads with several components. Heads that share sets become one, where that's fewer pairs."""
-    rows = cut(rows.join(_mixed(rows).select("head"), "head", "left_semi"))
+    rows = cut(rows.join(_mixed(rows).select("head"), "head", "left_semi"), ROWS)
     heads = rows.groupBy("head").agg(F.min("id").alias("least"), F.count("*").alias("size"))
     region = connected_components(rows.join(heads, "head").select(F.col("id").alias("u"), F.col("least").alias("v")))
     sizes = region.groupBy("component").agg(F.count("*").alias("all"))
@@ -338,7 +338,7 @@ def _in_blocks(rows: DataFrame, most_sets: int, most_shingles: int | None) -> Da
     blocks = lambda own: F.ceil(of("sets", own, most_sets) if most_shingles is None else F.greatest(of("sets", own, most_sets), of("shingles", own, most_shingles))).cast("long")
     largest = _mixed(parts, F.max(F.struct("sets", "component")).alias("m")).select("head", F.col("m.component").alias("largest"))
     is_largest = F.col("component") == F.col("largest")
-    largest = cut(parts.join(largest, "head").groupBy("head", "largest").agg(blocks(is_largest).alias("own"), blocks(~is_largest).alias("others")))
+    largest = cut(parts.join(largest, "head").groupBy("head", "largest").agg(blocks(is_largest).alias("own"), blocks(~is_largest).alias("others")), ROWS)
     if largest.isEmpty():
         return None
     salt = F.pmod(F.xxhash64("id"), F.when(is_largest, F.col("own")).otherwise(F.col("others")))
@@ -372,12 +372,12 @@ def _decided(rows: DataFrame, members: DataFrame, percent: int) -> DataFrame | N
     """
     open_sets = members.join(rows.select("id").distinct(), "id", "left_semi")
     alone = open_sets.mapInArrow(_shingle_rows, "shingle long, id long").groupBy("shingle").agg(F.count("*").alias("times"), F.min("id").alias("id")).where("times = 1").groupBy("id").agg(F.count("*").alias("alone"))
-    counted = cut(rows.join(alone, "id", "left").withColumn("k", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone").where(100 * F.col("k") >= percent * F.col("n")))
+    counted = cut(rows.join(alone, "id", "left").withColumn("k", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone").where(100 * F.col("k") >= percent * F.col("n")), ROWS)
     narrow = _in_blocks(counted, BLOCK_ROWS, None)
     if narrow is None:
         return None
     may = _by_block(narrow).mapInArrow(_may_link(percent), "head long, id long").distinct()
-    dealt = _in_blocks(cut(counted.drop("k").join(may, ["head", "id"], "left_semi")), BLOCK_SETS, BLOCK_SHINGLES)
+    dealt = _in_blocks(cut(counted.drop("k").join(may, ["head", "id"], "left_semi"), ROWS), BLOCK_SETS, BLOCK_SHINGLES)
     if dealt is None:
         return None
     return _by_block(dealt.join(members, "id")).mapInArrow(_meet(percent), "u long, v long")
@@ -394,29 +394,29 @@ def crowded_links(sets: DataFrame, members: DataFrame, links: DataFrame, percent
     """
     some = sets.join(members.select("id"), "id", "left_semi")
     rows = some.select("id", "signature").mapInArrow(_orders, "head long, tail long, id long").select("head", "id")
-    heads = cut(rows.groupBy("head").agg(F.count("*").alias("size")).where(F.col("size") > REACH + 1))
+    heads = cut(rows.groupBy("head").agg(F.count("*").alias("size")).where(F.col("size") > REACH + 1), ROWS)
     if heads.isEmpty():
         return links
-    rows = cut(rows.join(heads, "head"))
-    score = cut(rows.groupBy("id").agg(F.sum("size").alias("score")))
+    rows = cut(rows.join(heads, "head"), ROWS)
+    score = cut(rows.groupBy("id").agg(F.sum("size").alias("score")), ROWS)
     sets = cut(some.join(score.select("id"), "id", "left_semi").select("id", "n", "signature"))
     members = cut(members.join(score.select("id"), "id", "left_semi"))
-    rows = cut(rows.select("head", "id").join(score, "id").join(sets.select("id", "n"), "id"))
+    rows = cut(rows.select("head", "id").join(score, "id").join(sets.select("id", "n"), "id"), ROWS)
     found = connected_components(links)
     left = rows
     for _ in range(ROUNDS):
-        left = cut(_with_component(left, found))
-        middle = cut(_mixed(left, F.max(F.struct("score", (-F.col("id")).alias("id"), "component")).alias("m")).select("head", (-F.col("m.id")).alias("middle"), F.col("m.component").alias("own")))
+        left = cut(_with_component(left, found), ROWS)
+        middle = cut(_mixed(left, F.max(F.struct("score", (-F.col("id")).alias("id"), "component")).alias("m")).select("head", (-F.col("m.id")).alias("middle"), F.col("m.component").alias("own")), ROWS)
         if middle.isEmpty():
             break
         left = left.join(middle, "head").where("component <> own")
         pairs = left.select(F.least("id", "middle").alias("u"), F.greatest("id", "middle").alias("v")).distinct()
-        likely = cut(_beside(pairs, sets, "signature").mapInArrow(_agree(percent), "u long, v long"))
-        links = cut(links.unionByName(_beside(likely, members, "members").mapInArrow(_confirm(percent), "u long, v long")))
+        likely = cut(_beside(pairs, sets, "signature").mapInArrow(_agree(percent), "u long, v long"), ROWS)
+        links = cut(links.unionByName(_beside(likely, members, "members").mapInArrow(_confirm(percent), "u long, v long")), ROWS)
         found = connected_components(links)
         left = _with_component(_with_component(left.drop("component", "own"), found), found, "middle", "own").where("component <> own").select("head", "id", "score", "n")
-    decided = _decided(cut(_with_component(_regions(_with_component(rows, found)), found)), members, percent)
-    return links if decided is None else links.unionByName(cut(decided))
+    decided = _decided(cut(_with_component(_regions(_with_component(rows, found)), found), ROWS), members, percent)
+    return links if decided is None else links.unionByName(cut(decided, ROWS))
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
@@ -443,7 +443,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     rows = cut(text.mapInArrow(_signatures, "doc_id long, key long, n long, digest binary, signature binary"))
     sets = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.first("signature").alias("signature"), F.first("n").alias("n"))
     sets = cut(sets.select("digest", "first.doc_id", "first.key", "signature", "n", F.monotonically_increasing_id().alias("id")))
-    pairs = cut(candidate_pairs(sets.select("id", "signature")))
+    pairs = cut(candidate_pairs(sets.select("id", "signature")), ROWS)
     ends = pairs.select(F.col("u").alias("id"), "v", "votes").unionByName(pairs.select(F.col("v").alias("id"), F.col("u").alias("v"), "votes"))
     wanted = sets.select("doc_id", "key", "digest", "id").join(ends.select("id").distinct(), "id", "left_semi")
     members = cut(
@@ -457,7 +457,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     confirm = _confirm(percent)
     best = ends.groupBy("id").agg(F.max(F.struct("votes", (-F.col("v")).alias("other"))).alias("best")).select("id", (-F.col("best.other")).alias("other"))
     chosen = best.select(F.least("id", "other").alias("u"), F.greatest("id", "other").alias("v")).distinct()
-    first = cut(_beside(chosen, members, "members").mapInArrow(confirm, "u long, v long"))
+    first = cut(_beside(chosen, members, "members").mapInArrow(confirm, "u long, v long"), ROWS)
     so_far = connected_components(first)
     root = lambda side: so_far.select(F.col("id").alias(side), F.col("component").alias(f"{side}_root"))
     size = lambda side: sets.select(F.col("id").alias(side), F.col("n").alias(f"{side}_n"))
@@ -473,13 +473,14 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
         .where(100 * F.least("u_n", "v_n") >= percent * F.greatest("u_n", "v_n"))
         .select("u", "v")
     )
-    likely = cut(_beside(apart, sets, "signature").mapInArrow(_agree(percent), "u long, v long"))
-    second = cut(_beside(likely, members, "members").mapInArrow(confirm, "u long, v long"))
+    likely = cut(_beside(apart, sets, "signature").mapInArrow(_agree(percent), "u long, v long"), ROWS)
+    second = cut(_beside(likely, members, "members").mapInArrow(confirm, "u long, v long"), ROWS)
     found = connected_components(crowded_links(sets, members, first.unionByName(second), percent))
     rooted = sets.select("digest", "id", "doc_id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = rooted.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_set = cut(rooted.join(least, "component").select("digest", "component_id"))
-    out = rows.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(by_set, "digest", "left")
+    by_set = cut(rooted.join(least, "component").select("digest", "component_id"), ROWS)
+    narrow = rows.select("doc_id", "key", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).otherwise(F.unhex(F.hex(F.xxhash64("doc_id", "key")))).alias("digest"))
+    out = spread_join(narrow, by_set, ["digest"])
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

@@ -17,6 +17,7 @@ QUERIES = {
     "op10_near_dedup": near_dedup.op10_near_dedup,
 }
 SQL = {
+    "op1_mixing": mixing.SQL,
     "op4_exact_dedup": exact_dedup.SQL,
     "op5_line_dedup": oracles.LINES,
     "op6_suffix_dedup": oracles.SUBSTRINGS,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import cut, read
+from chronofold.llm.common import cut, read, spread_join
 
 #: kind: (pattern, group whose length counts, least length). The order of kinds breaks ties of spans that start together.
 BASE = {
@@ -29,9 +29,9 @@ def _matches(text: Column, kind: str) -> Column:
     """All leftmost non-overlapping matches: code points before each (since the last one), its own, and if it is long enough."""
     pattern, group, least = (BASE | WEAK)[kind]
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    told = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     gaps = F.split(text, pattern, -1)
-    each = F.transform(found, lambda m, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.char_length(F.get(gaps, i)).alias("gap"), F.char_length(m).alias("length"), (F.char_length(F.get(told, i)) >= least).alias("ok")))
+    told = lambda m: F.regexp_extract(m, pattern, group) if group else m
+    each = F.transform(found, lambda m, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), F.char_length(F.get(gaps, i)).alias("gap"), F.char_length(m).alias("length"), (F.char_length(told(m)) >= least).alias("ok")))
     return F.when(text.rlike(pattern), each)
 
 
@@ -76,7 +76,9 @@ def scan(docs: DataFrame) -> DataFrame:
 
     Base spans are found by themselves; weak ones are added where they complete a credential. Equal texts are
     scanned for links once, by a 128-bit key of the text. Null text: empty. Repeated rows: a result each. An
-    empty table gives no rows. No match crosses a line, and no part of the text is left out at any length.
+    empty table gives no rows. No match crosses a line, and no part of the text is left out at any length. Columns
+    but doc_id and text are not read, so their names can't clash. A text that a third of all rows hold is scanned
+    in each map task that has it, and its rows meet its result by a broadcast.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select("doc_id", text.alias("text")).withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), "text")})
@@ -90,7 +92,7 @@ def scan(docs: DataFrame) -> DataFrame:
         .agg(F.sort_array(F.collect_list(each)).alias("s"))
         .select("k1", "k2", told(F.filter("s", lambda x: x["kind"].isin(*BASE))).alias("base"), told(F.col("s")).alias("spans"), *(F.size(F.filter("s", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE))
     )
-    rows = keyed.select("doc_id", "k1", "k2").join(cut(by_text), ["k1", "k2"], "left")
+    rows = spread_join(cut(keyed.select("doc_id", "k1", "k2")), cut(by_text), ["k1", "k2"])
     return rows.select(
         "doc_id",
         *(F.coalesce(f"n_{k}", F.lit(0).cast("long")).alias(f"n_{k}") for k in BASE),

@@ -1,6 +1,7 @@
 """The ten operators against brute force on small fixtures, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -44,14 +45,15 @@ def lower(text):
 
 # 1
 
-def test_mix_meets_targets(spark):
+def mix_rows():
     rnd = random.Random(1)
-    rows = [(i, "w " * rnd.randint(0, 40), rnd.choice(["a", "b", "c", None])) for i in range(300)]
-    frame = table(spark, rows)
-    got = mixing.mix(frame, mixing.n_words(mixing.F.col("text"))).collect()
+    return [(i, "w " * rnd.randint(0, 40), rnd.choice(["a", "b", "c", None])) for i in range(300)]
+
+
+def mix_targets(rows):
     sizes = Counter()
     for _, t, s in rows:
-        sizes[s] += len(t.split())
+        sizes[s] += len((t or "").split())
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
     target, free, budget = {}, set(order), 1.5 * sum(sizes.values())
@@ -63,27 +65,62 @@ def test_mix_meets_targets(spark):
             break
         target |= {s: 2.0 * sizes[s] for s in full}
         free -= full
+    return sizes, target
+
+
+def test_mix_meets_targets(spark):
+    rows = mix_rows()
+    frame = table(spark, rows)
+    got = mixing.mix(frame, mixing.n_words(mixing.F.col("text"))).collect()
+    sizes, target = mix_targets(rows)
     taken = Counter()
     for r in got:
-        taken[r["source"]] += r["__taken"]
-        assert 0 <= r["__taken"] <= 2 * r["__size"] and r["weight"] == "?"
-        assert r["__target"] == pytest.approx(target[r["source"]]) and r["__source_size"] == sizes[r["source"]]
-    assert all(abs(taken[s] - target[s]) <= 1 for s in order)
+        taken[r["source"]] += r["taken"]
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        assert r["target"] == pytest.approx(target[r["source"]]) and r["source_size"] == sizes[r["source"]]
+    # One order cut at the budget: all words of it are taken, and a source is off by the document at its cut.
+    assert sum(taken.values()) == int(1.5 * sum(sizes.values())) and all(abs(taken[s] - target[s]) <= 40 for s in sizes)
     again = mixing.mix(frame.repartition(5), mixing.n_words(mixing.F.col("text"))).collect()
-    assert sorted((r["doc_id"], r["__taken"]) for r in again) == sorted((r["doc_id"], r["__taken"]) for r in got)
-    whole = mixing.mix(frame, mixing.n_words(mixing.F.col("text")), whole=True).collect()
-    taken = Counter()
-    for r in whole:
-        taken[r["source"]] += r["__taken"]
-        assert r["__taken"] == r["__copies"] * r["__size"]
-    assert all(abs(taken[s] - target[s]) <= 40 for s in order)
+    assert sorted((r["doc_id"], r["taken"]) for r in again) == sorted((r["doc_id"], r["taken"]) for r in got)
+
+
+def test_the_stream_is_sorted_by_finish_time_and_cut_at_the_budget(spark):
+    rows = sorted(mixing.stream(table(spark, mix_rows()), mixing.n_words(mixing.F.col("text"))).where("size > 0").collect(), key=lambda r: r["before"])
+    weight, budget, at = {"+a": 3, "+b": 1, "+c": 2, "-": 3}, int(1.5 * sum(r["size"] for r in rows) / 2), 0
+    own = Counter()
+    for x, y in zip(rows, rows[1:]):
+        assert (x["finish"], x["source_key"]) <= (y["finish"], y["source_key"])
+    for r in rows:
+        own[r["source_key"]] += r["size"]
+        assert r["before"] == at and r["finish"] == own[r["source_key"]] / weight[r["source_key"]]
+        assert r["taken"] == max(0, min(r["size"], budget - at))
+        at += r["size"]
+
+
+def test_mix_of_whole_documents(spark, monkeypatch):
+    rows = mix_rows()
+    sizes, target = mix_targets(rows)
+    for most in (10_000, 0):
+        monkeypatch.setattr(mixing, "BROADCAST_SOURCES", most)
+        got = mixing.mix_whole(table(spark, rows)).collect()
+        copies = Counter(r["doc_id"] for r in got)
+        taken = Counter()
+        for r in got:
+            taken[r["source"]] += len(r["text"].split())
+            assert r["weight"] == "?" and r["text"].strip()
+        assert max(copies.values()) <= 2 and all(abs(taken[s] - target[s]) <= 60 for s in sizes)
+    assert mixing.mix_whole(table(spark, [])).count() == 0
 
 
 def test_mix_of_odd_rows(spark):
     size = mixing.n_words(mixing.F.col("text"))
-    assert mixing.mix(table(spark, odd_rows()), size).count() == len(odd_rows())
+    got = mixing.mix(table(spark, odd_rows()), size).collect()
+    sizes, target = mix_targets(odd_rows())
+    assert len(got) == len(odd_rows()) and sum(r["taken"] for r in got) == int(1.5 * sum(sizes.values()))
+    assert {r["doc_id"]: r["taken"] for r in got}[3] == 0
     assert mixing.mix(table(spark, []), size).count() == 0
-    assert {r["__taken"] for r in mixing.mix(table(spark, [(1, "", "a"), (2, None, None)]), size).collect()} == {0}
+    assert {r["taken"] for r in mixing.mix(table(spark, [(1, "", "a"), (2, None, None)]), size).collect()} == {0}
+    assert sum(r["taken"] for r in mixing.mix(table(spark, [(None, "a b c", "a")] * 50), size).collect()) == 225
 
 
 # 2
@@ -103,6 +140,36 @@ def test_payloads_round_trip(spark, texts):
         assert r["media_sha256"] == hashlib.sha256(media.encode(payload)).hexdigest() and r["caption"] == f"document {r['doc_id']}" and r["pos"] == 1
 
 
+def test_media_of_odd_rows(spark):
+    rows = [*odd_rows(), (50, "<nav>a & b</nav> </pre> &amp; <img src=x>", "a")]
+    got = media.media_table(table(spark, rows)).collect()
+    told = Counter()
+    for d, t, _ in rows:
+        payload = media.payload_of((t or "").encode())
+        x = np.frombuffer(payload, np.uint8).astype(float)
+        told[(d, len((t or "").encode()), hashlib.sha256(payload).hexdigest(), f"{len(x) // 64}:{x.mean():.4f}")] += 1
+    assert Counter((r["doc_id"], r["n_bytes"], r["payload_sha256"], ":".join(r["feature"].split(":")[:2])) for r in got) == told
+    for r in got:
+        assert [x["pos"] for x in r["items"]] == list(range(len(r["items"]))) and r["items"][r["pos"]]["digest"] == r["digest"] == r["payload_sha256"]
+    assert media.media_table(table(spark, [])).count() == 0
+
+
+def test_pages_of_the_small_table(spark):
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet")
+    html = {r["page_id"]: r["html"] for r in pages.collect()}
+    for r in media.sequences(pages).collect():
+        told = " ".join(x["text"] for x in r["items"] if x["kind"] == "text")
+        title = re.search(r"<h1>(.*?)</h1>", html[r["page_id"]], re.S)
+        assert r["url"] and [x["pos"] for x in r["items"]] == list(range(len(r["items"]))) and "track(0)" not in told
+        assert title is None or media.html.unescape(title[1]).strip()[:20] in told
+
+
+def test_unclosed_elements_keep_their_text():
+    assert [x["text"] for x in media.parse("<p>a</p><nav>b <p>c</p>")] == ["a", "b c"]
+    assert [x["text"] for x in media.parse("<nav>x</nav><p>a</p><footer>b")] == ["a", "b"]
+    assert [x["text"] for x in media.parse("<p>a<p>b <b>c")] == ["a", "b c"]
+
+
 def test_pages_keep_order_and_captions(spark):
     page = "<h1>A &amp; b</h1><p>one<br>two</p><script>no</script><figure><img src='x.png' alt='alt'><figcaption>the <b>caption</b></figcaption></figure><p>three</p><img src='sha256:ff'>"
     items = media.parse(page)
@@ -245,13 +312,42 @@ def test_line_dedup(spark):
 
 
 def test_line_dedup_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(lines, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(lines, "BROADCAST_LINES", 0)
+    monkeypatch.setattr(lines, "SENT", 3)
+    monkeypatch.setattr(lines, "HOT", 1.0)
     expected = without_repeats(line_rows())
     assert all(r["text"] == expected[r["doc_id"]] for r in lines.drop_lines(table(spark, line_rows())).collect() if r["doc_id"] != 500)
 
 
+def thue_morse(n=4096):
+    """Two texts that any polynomial hash modulo a power of two takes for equal."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+def test_lines_that_fool_weak_hashes_stay(spark):
+    a, b = thue_morse()
+    rows = [(1, a, "a"), (2, b, "a"), (3, "x" * 70_000 + "y" * 70_000, "a"), (4, "x" * 70_000 + "zy" + "y" * 69_999, "a"), (5, "x" * 69_999 + "y" * 70_000, "a")]
+    got = {r["doc_id"]: r["n_dropped"] for r in lines.drop_lines(table(spark, rows)).collect()}
+    assert got == {1: 0, 2: 0, 3: 0, 4: 1, 5: 1}
+
+
+def test_a_very_common_line(spark):
+    rows = [(i, f"the same line over and over again\nown line number {'abcdefghij'[i % 10] * (3 + i)}", "a") for i in range(400)]
+    got = lines.drop_lines(table(spark, rows).repartition(9)).collect()
+    assert all(r["text"].startswith("the same") == (r["doc_id"] == 0) for r in got)
+    with pytest.raises(ValueError):
+        lines.drop_lines(table(spark, rows), dropped="gone")
+
+
 # 6
 
+def test_bytes_that_fool_weak_hashes_stay(spark):
+    a, b = thue_morse(1024)
+    rows = [(1, a, "a"), (2, b, "a")]
+    assert Counter(map(tuple, substrings.remove_repeats(table(spark, rows)).drop("kept").collect())) == removed(rows)
+
+
 def removed(rows):
     seen, out = Counter(), []
     raw = [(d, (t or "").encode()) for d, t, _ in rows]
@@ -306,6 +402,30 @@ def test_communication_matrix():
     assert 4.9e11 < sharding.hypergeometric(rng, 10**14, 10**14, 10**12) < 5.1e11
 
 
+def test_shards_of_the_small_table(spark, texts):
+    got = sharding.op7_sharding(spark, SMALL).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(texts)
+    slots = defaultdict(list)
+    for r in got:
+        raw = texts[r["doc_id"]].encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(raw) + 8, zlib.crc32(raw), "rows", None)
+        slots[r["shard"]].append(r["slot"])
+    assert sorted(slots) == list(range(24)) and {len(x) for x in slots.values()} == {8, 9}
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+def test_odds_are_exact_at_any_size():
+    from fractions import Fraction
+    from math import comb
+
+    for good, bad, draws in ((30, 70, 20), (5, 900, 40), (1000, 9000, 500), (20_000, 460_000, 20_000)):
+        share, rest = draws / (good + bad), (good + bad - draws) / (good + bad)
+        for k in range(0, min(good, draws, 60) + 1, 7):
+            p = float(Fraction(comb(good, k) * comb(bad, draws - k), comb(good + bad, draws)))
+            got = math.exp(sharding._log_binomial(k, good, share, rest) + sharding._log_binomial(draws - k, bad, share, rest) - sharding._log_binomial(draws, good + bad, share, rest))
+            assert got == pytest.approx(p, rel=1e-9)
+
+
 # 8
 
 def test_quality_on_held_out_rows(spark):
@@ -331,6 +451,26 @@ def test_quality_of_odd_rows(spark):
     assert quality.keep_good(table(spark, []), labels).count() == 0
 
 
+def test_discriminant_against_plain_densities():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, quality.D)) @ rng.normal(size=(quality.D, quality.D))
+    y = (rng.random(600) < 0.4).astype(int)
+    x[y == 1] *= 1.5
+    x[y == 1] += 0.7
+    sums = np.stack([np.concatenate([[len(own)], own.sum(0), (own.T @ own).ravel()]) for own in (x[y == 0], x[y == 1])])
+    model = quality.Discriminant(sums)
+    cov = [np.cov(x[y == c], rowvar=False, bias=True) for c in (0, 1)]
+    pooled = sum(c * n for c, n in zip(cov, np.bincount(y))) / len(y)
+    scale = np.sqrt(np.diag(pooled))
+    density = []
+    for c in (0, 1):
+        s = (0.9 * cov[c] + 0.1 * pooled) / np.outer(scale, scale)
+        s = 0.98 * s + 0.02 * np.trace(s) / quality.D * np.eye(quality.D)
+        z = (x - x[y == c].mean(0)) / scale
+        density.append(-0.5 * (np.einsum("ij,jk,ik->i", z, np.linalg.inv(s), z) + np.linalg.slogdet(s)[1]))
+    assert np.allclose(np.sinh(model.difference(x)), density[1] - density[0], rtol=1e-6, atol=1e-6)
+
+
 # 9
 
 def check_pieces(rows, got, window):
@@ -379,6 +519,67 @@ def test_windows_hold_target_proportions():
             assert abs(share[(w, q)] - 4096 * total / sum(totals)) <= 2 * 256
 
 
+def served(totals, window, granule, mixture=None):
+    """The stream by really going round: (queue, place in the queue) of each token."""
+    r = packing.Rounds(totals, window, granule, mixture)
+    gone, stream, turn = [0] * len(totals), [], 0
+    while any(g < t for g, t in zip(gone, totals)):
+        for q, t in enumerate(totals):
+            credit = (turn + 1) * int(r.quantum[q]) >> packing.SHIFT
+            upto = t if credit >= t else min(t, (credit + int(r.phase[q])) // granule * granule)
+            stream += [(q, x) for x in range(gone[q], upto)]
+            gone[q] = max(gone[q], upto)
+        turn += 1
+    return stream
+
+
+@pytest.mark.parametrize("totals, mixture", [([700, 30, 1, 0, 400], None), ([700, 300, 200], [1.0, 5.0, 1.0]), ([5], None), ([1, 1, 1, 900], None)])
+def test_rounds_against_going_round(totals, mixture):
+    stream = {x: i for i, x in enumerate(served(totals, 64, 16, mixture))}
+    r, rnd = packing.Rounds(totals, 64, 16, mixture), random.Random(9)
+    for q, total in enumerate(totals):
+        before = 0
+        while before < total:
+            n = min(total - before, rnd.randint(1, 90))
+            at = [(start + x, place + x) for start, length, place in r.pieces(q, before, n, 64) for x in range(length)]
+            assert at == [(x, stream[q, before + x]) for x in range(n)]
+            before += n
+
+
+def test_a_source_with_a_tiny_share_costs_no_more():
+    import tracemalloc
+
+    r = packing.Rounds([10**13, 1000, 10**5], 4096, 256)
+    tracemalloc.start()
+    assert sum(x[1] for x in r.pieces(1, 0, 1000)) == 1000 and sum(x[1] for x in r.pieces(2, 0, 10**5)) == 10**5
+    assert sum(x[1] for x in r.pieces(0, 10**13 - 1000, 1000)) == 1000
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+
+
+def test_windows_hold_a_mixture_across_partitions(spark):
+    rows = [(i, " ".join(f"w{i} x{j}" for j in range(30)), "abc"[i % 3]) for i in range(240)]
+    got = packing.pack_documents(table(spark, rows).repartition(7), window=512, granule=32, mixture={"a": 4, "b": 2, "c": 1}).collect()
+    source = {d: s for d, _, s in rows}
+    share, total = Counter(), sum(r["length"] for r in got)
+    for r in got:
+        share[r["sequence_id"], source[r["doc_id"]]] += r["length"]
+    for w in range(1, int(total / 3 / (512 * 4 / 7)) - 1):
+        for s, part in (("a", 4), ("b", 2), ("c", 1)):
+            assert abs(share[w, s] - 512 * part / 7) <= 2 * 32
+
+
+def test_other_vocabularies_go_through_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    text = "Hello  World, don't\n\tSTOP é"
+    e = packing.encoder(path)
+    assert not e.fast and np.frombuffer(e.encode(text.encode()), e.dtype).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert packing.encoder(packing.default_vocabulary()).fast
+
+
 # 10
 
 def components(rows, percent=85):
@@ -452,8 +653,38 @@ def test_near_dedup_of_a_base_and_its_copies(spark):
     assert [r["doc_id"] for r in got if r["component_id"] != find(r["doc_id"])] == []
 
 
+def test_near_dedup_of_a_long_base_and_thousands_of_copies(spark):
+    rnd = random.Random(5)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(1004)]
+    rows = [(0, " ".join(base), "a")]
+    for i in range(1, 3001):
+        w = list(base)
+        for x in rnd.sample(range(5, 999), 14):
+            w[x] = f"x{rnd.randrange(10**9)}"
+        rows.append((i, " ".join(w), "a"))
+    frame = spark.createDataFrame([(d, t) for d, t, _ in rows], "doc_id long, text string").repartition(8)
+    assert near_dedup.near_duplicates(frame).where("component_id <> 0").count() == 0
+
+
+def test_texts_that_fool_weak_hashes_are_no_copies(spark):
+    a, b = thue_morse()
+    rows = [(1, a, "a"), (2, b, "a"), (3, a, "a")]
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(table(spark, rows)).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_regions_are_deepened():
+    values = lambda *rows: np.array([sum((x & 0xFFFF) << 16 * (3 - i) for i, x in enumerate(r)) for r in rows], np.uint64).view(np.int64)
+    head = np.array([1] * 8 + [2])
+    tail = values((1, 1, 1, 1), (1, 1, 1, 2), (1, 1, 2, 1), (1, 2, 0, 0), (1, 2, 0, 0), (2, 0, 0, 0), (3, 0, 0, 0), (4, 0, 0, 0), (4, 0, 0, 0))
+    assert near_dedup.common_prefix(head, tail).tolist() == [7, 6, 5, 8, 4, 4, 4, 0]
+    pad = np.zeros(near_dedup.REACH + 1, np.int64)
+    depth, size = near_dedup.regions(np.concatenate([pad, near_dedup.common_prefix(head, tail), pad]), 1)
+    assert size.tolist() == [2, 3, 5, 2, 6, 6, 6, 6][: len(size)] or size.tolist()[:7] == [2, 3, 5, 2, 6, 6, 6]
+
+
 def test_near_dedup_of_a_crowd_without_a_base(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK_SETS", 30)
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 40)
     rows = [r for r in hub_family(150) if r[0] != 1000]
     _, find = components(rows)
     got = near_dedup.near_duplicates(table(spark, rows)).collect()

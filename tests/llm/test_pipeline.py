@@ -7,7 +7,7 @@ import pytest
 import corpus_pipeline
 from chronofold.llm import mixing, packing, quality
 
-from .test_ops import components, hub_family, table, without_repeats
+from .test_ops import EXTRA, components, hub_family, line_rows, odd_rows, table, without_repeats
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -38,7 +38,7 @@ def test_stages(spark, tmp_path):
             assert {d for d, *_ in after} == {d for d, *_ in before if find(d) == d}
         elif name == "mixing":
             copies = Counter(d for d, *_ in after)
-            targets = {r["source"]: r["__target"] for r in mixing.mix(docs, mixing.n_words(mixing.F.col("text"))).collect()}
+            targets = {r["source"]: r["target"] for r in mixing.mix(docs, mixing.n_words(mixing.F.col("text"))).collect()}
             taken = Counter()
             for d, t, s in before:
                 taken[s] += copies[d] * len(t.split())
@@ -69,3 +69,32 @@ def test_near_dedup_of_a_base_and_its_copies(spark):
     _, find = components(rows)
     kept = {r["doc_id"] for r in corpus_pipeline.keep_one_of_each(spark, table(spark, rows), SMALL).collect()}
     assert kept == {d for d, *_ in rows if find(d) == d}
+
+
+def test_stages_with_odd_rows(spark):
+    """Null and empty texts, ties, repeated rows, null ids and clashing names: what each stage keeps of them."""
+    rows = [*odd_rows(), (11, "\n", "a"), (12, "a line that is long enough", "b"), (13, "a line that is long enough", None)]
+    frame = table(spark, rows).withColumnRenamed("x", "__gone").withColumnRenamed("u", "__dropped").withColumnRenamed("v", "__k")
+    named = {c for c in EXTRA if c not in "xuv"} | {"__gone", "__dropped", "__k"}
+    outs = {name: stage(spark, frame, SMALL) for name, stage in corpus_pipeline.STAGES}
+    for name, out in outs.items():
+        if name != "packing":
+            assert out.columns == frame.columns and named <= set(out.columns)
+    got = Counter((r["doc_id"], r["text"]) for r in outs["line_dedup"].collect())
+    # The second of two equal lines goes, and so does its document; short, empty and null texts stay; rows given twice stay alike.
+    assert got == Counter((d, t) for d, t, _ in rows if d != 13)
+    kept = [r["doc_id"] for r in outs["near_dedup"].collect()]
+    _, find = components([r for r in rows if r[0] is not None])
+    assert sorted(d for d in kept if d is not None) == sorted(d for d, *_ in rows if d is not None and find(d) == d) and None in kept
+    mixed = Counter(r["doc_id"] for r in outs["mixing"].collect())
+    assert not {3, 4, 5, 11} & set(mixed) and max(mixed.values()) <= 4
+    scores = quality.classify(frame, spark.read.parquet(f"{SMALL}/labels.parquet")).collect()
+    assert Counter(r["doc_id"] for r in outs["quality_classifier"].collect()) == Counter(r["doc_id"] for r in scores if r["predicted"])
+    assert Counter(r["doc_id"] for r in outs["packing"].where("start = 0").collect()) == Counter(d for d, *_ in rows)
+
+
+def test_line_stage_of_many_edits(spark):
+    rows = line_rows()
+    expected = without_repeats(rows)
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_lines(spark, table(spark, rows), SMALL).collect()}
+    assert got == {d: t for d, t in [*expected.items(), (500, None)] if t is None or t.strip() or t in [x for y, x, _ in rows if y == d]}
