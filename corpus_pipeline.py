@@ -40,9 +40,8 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents, as often as the mix takes each of them."""
-    mixed = mixing.mix(docs, mixing.n_words(F.col("text")), whole=True)
-    return mixed.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    """Whole documents, as often as the mix takes each of them; those without words go."""
+    return mixing.mix_whole(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
