@@ -213,11 +213,24 @@ def as_bytes(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker lives on for other tasks, beside all that its executor holds."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def batches(it: Iterable, rows: int = 1024) -> Iterator:
     """Non-empty batches of at most ``rows`` rows, so that Python copies of large texts stay few."""
     for batch in it:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+    release()
 
 
 def by_groups(it: Iterable, keys: list[str], rows: int = 1 << 16) -> Iterator[dict[str, np.ndarray]]:
@@ -245,6 +258,8 @@ def by_groups(it: Iterable, keys: list[str], rows: int = 1 << 16) -> Iterator[di
         held, n = [{c: x[end:] for c, x in piece.items()}], n - end
     if n:
         yield join(held)
+    held = []
+    release()
 
 
 def fresh(name: str, *frames: DataFrame) -> str:

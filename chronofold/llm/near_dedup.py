@@ -326,7 +326,8 @@ def _regions(rows: DataFrame) -> DataFrame:
     sizes = region.groupBy("component").agg(F.count("*").alias("all"))
     apart = heads.join(region.withColumnRenamed("id", "least"), "least").groupBy("component").agg(F.sum(F.col("size") * F.col("size")).alias("pairs"))
     whole = sizes.join(apart, "component").select("component", (F.col("all") * F.col("all") <= F.col("pairs")).alias("whole"))
-    rows = rows.select("head", "id", "n").join(region, "id").join(whole, "component")
+    # A family may hold most of these rows, and its component is one key.
+    rows = spread_join(cut(rows.select("head", "id", "n").join(region, "id"), ROWS), whole, ["component"])
     return rows.select(F.when(F.col("whole"), F.xxhash64("component")).otherwise(F.col("head")).alias("head"), "id", "n").distinct()
 
 
