@@ -15,7 +15,7 @@ from chronofold.llm import lines, mixing, near_dedup, packing, quality
 from chronofold.llm.common import ensure_checkpoint_dir, fresh, read
 
 #: Words that a packing worker remembers: fewer than in packing alone, since its executor holds the other stages' memory too.
-CACHE = 400_000
+CACHE = 200_000
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
