@@ -28,7 +28,8 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--config", default="config/base.yaml")
         p.add_argument("--root", default=".")
         if name == "train-retriever":
-            p.add_argument("--output-name", default="retriever-history-only")
+            p.add_argument("--output-name", default="retriever")
+            p.add_argument("--history-only", action="store_true", help="no user embeddings: the prior items alone")
         if name == "evaluate-candidate-union":
             p.add_argument("--retriever-artifact", default="retriever-history-only")
         if name == "recommend":
@@ -47,7 +48,7 @@ def main(argv: list[str] | None = None) -> int:
     project = commands.Project(build_session(), args.root, load_config(args.config))
     more = {}
     if args.command == "train-retriever":
-        more["output"] = args.output_name
+        more |= {"output": args.output_name, "history_only": args.history_only}
     if args.command == "evaluate-candidate-union":
         more["retriever"] = args.retriever_artifact
     if args.command == "recommend":

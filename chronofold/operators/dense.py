@@ -108,3 +108,103 @@ def lsh_top_k(queries: DataFrame, vectors: DataFrame, k: int, *, bucket: float =
     scored = scored.where(~F.array_contains("seen", F.col("item_id"))).select("query_id", "item_id", F.round(dot(F.col("query_vector"), F.col("item_vector")), DIGITS).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+class GraphIndex:
+    """A navigable neighbour graph over unit vectors, searched by a beam from a few entry points; it lives in one process.
+
+    Each vector is linked with its ``m`` nearest ones, those that count it among theirs, and a few far ones.
+    """
+
+    #: Bytes of vectors that one process may hold.
+    MOST_BYTES = 1 << 30
+
+    def __init__(self, vectors: np.ndarray, m: int = 32, *, seed: int = 7, block: int = 2048) -> None:
+        if vectors.nbytes > self.MOST_BYTES:
+            raise ValueError("the catalogue is too large for one process")
+        self.vectors, n = np.ascontiguousarray(vectors, np.float32), len(vectors)
+        rng, m = np.random.default_rng(seed), min(m, max(0, n - 1))
+        near = np.zeros((n, m), np.int64)
+        for at in range(0, n, block):
+            score = self.vectors[at : at + block] @ self.vectors.T
+            score[np.arange(len(score)), np.arange(at, at + len(score))] = -np.inf
+            near[at : at + block] = np.argpartition(-score, max(0, m - 1), axis=1)[:, :m]
+        far = rng.integers(n, size=(n, 4 if n else 0))
+        a = np.concatenate([np.repeat(np.arange(n), m), near.ravel(), np.repeat(np.arange(n), far.shape[1])])
+        b = np.concatenate([near.ravel(), np.repeat(np.arange(n), m), far.ravel()])
+        order = np.argsort(a, kind="stable")
+        self.links, self.start = b[order], np.concatenate([[0], np.cumsum(np.bincount(a, minlength=n))])
+        self.entries = np.sort(rng.choice(n, size=min(n, max(8, int(n**0.5))), replace=False))
+
+    def search(self, query: np.ndarray, k: int, ef: int = 128) -> np.ndarray:
+        """Up to ``k`` places, best first; ``ef`` (at least k) is the beam."""
+        n, ef = len(self.vectors), max(ef, k)
+        query = np.asarray(query, np.float32)
+        seen, opened = np.zeros(n, bool), np.zeros(n, bool)
+        beam = self.entries
+        seen[beam] = True
+        score = self.vectors[beam] @ query
+        while True:
+            keep = np.argsort(-score, kind="stable")[:ef]
+            beam, score = beam[keep], score[keep]
+            closed = np.flatnonzero(~opened[beam])[:8]
+            if not len(closed):
+                return beam[:k]
+            opened[beam[closed]] = True
+            found = np.unique(np.concatenate([self.links[self.start[x] : self.start[x + 1]] for x in beam[closed]]))
+            found = found[~seen[found]]
+            seen[found] = True
+            beam, score = np.concatenate([beam, found]), np.concatenate([score, self.vectors[found] @ query])
+
+
+def unseen(places: np.ndarray, closed: set[int], k: int) -> np.ndarray:
+    """The first ``k`` places outside ``closed``; it's an error if there are fewer."""
+    kept = np.array([x for x in places.tolist() if x not in closed][:k], np.int64)
+    if len(kept) < k:
+        raise ValueError("the search gave too few unseen items")
+    return kept
+
+
+def graph_top_k(queries: DataFrame, vectors: DataFrame, k: int, *, m: int = 32, ef: int = 128, seed: int = 7) -> DataFrame:
+    """query_id, item_id, score, rank from a GraphIndex: approximate, but never fewer than exact_top_k gives.
+
+    As many more are fetched as the query has seen items; a query that still lacks some is searched in full. The
+    catalogue is bounded by GraphIndex.MOST_BYTES and reaches the driver, which builds the index and sends it to
+    each task; beyond that bound it is an error, and exact_top_k the way.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    found = vectors.select("item_id", "vector")
+    size = found.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
+    if size["n"] * (size["d"] or 0) * 8 > GraphIndex.MOST_BYTES:
+        raise ValueError("the catalogue is too large for one process")
+    rows = found.orderBy("item_id").collect()
+    items, table = [r["item_id"] for r in rows], np.array([r["vector"] for r in rows])
+    place, index = {x: i for i, x in enumerate(items)}, GraphIndex(table, m, seed=seed) if rows else None
+    shared = queries.sparkSession.sparkContext.broadcast((items, table, place, index))
+    item_arrow, query_arrow = to_arrow_type(vectors.schema["item_id"].dataType), to_arrow_type(queries.schema["query_id"].dataType)
+
+    def run(it):
+        import pyarrow as pa
+
+        items, table, place, index = shared.value
+        for batch in it:
+            out: list[list] = [[], [], [], []]
+            for name, vector, known in zip(*(batch.column(c).to_pylist() for c in ("query_id", "vector", "seen"))):
+                if index is None:
+                    continue
+                closed = {place[x] for x in known if x in place}
+                want = min(k, len(items) - len(closed))
+                got = [x for x in index.search(vector, k + len(closed), ef).tolist() if x not in closed]
+                if len(got) < want:
+                    got = [x for x in range(len(items)) if x not in closed]
+                score = np.round(table[got] @ np.array(vector), DIGITS)
+                best = sorted(zip((-score).tolist(), got))[:k]
+                out[0] += [name] * len(best)
+                out[1] += [items[i] for _, i in best]
+                out[2] += [-s for s, _ in best]
+                out[3] += range(1, len(best) + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], query_arrow), pa.array(out[1], item_arrow), pa.array(out[2], pa.float64()), pa.array(out[3], pa.int32())], names=["query_id", "item_id", "score", "rank"])
+
+    kinds = (queries.schema["query_id"].dataType.simpleString(), vectors.schema["item_id"].dataType.simpleString())
+    return queries.select("query_id", "vector", "seen").mapInArrow(run, f"query_id {kinds[0]}, item_id {kinds[1]}, score double, rank int")

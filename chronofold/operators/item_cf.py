@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronofold.functions.vectors import cosine
 from chronofold.operators.sequences import dense_index
+from chronofold.session import cut_lineage
 
 DIGITS = 9
+#: Items of a user's basket that meet as one; similarities and queries that one task of a product holds.
+BASKET, PAIRS, QUERIES = 1_000, 1_000_000, 20_000
 
 
 def fit_edges(events: DataFrame) -> DataFrame:
@@ -23,13 +27,17 @@ def item_norms(edges: DataFrame) -> DataFrame:
 def cosine_pairs(edges: DataFrame) -> DataFrame:
     """item_i, item_j, similarity of all items that share a user (an item with itself among them).
 
-    The join runs within users, so the pairs of a user's basket are what grows; k-core data keep baskets small.
+    The join runs within users, so the pairs of a user's basket are what grows. A basket of more than BASKET items
+    is cut into parts, and each two parts meet under a key of their own, so a hot user's pairs are many tasks.
     Pairs are summed map-side before they are shuffled.
     """
     norms = item_norms(edges)
-    left = edges.select("user_id", F.col("item_id").alias("item_i"), F.col("value").alias("a"))
-    right = edges.select("user_id", F.col("item_id").alias("item_j"), F.col("value").alias("b"))
-    products = left.join(right, "user_id").groupBy("item_i", "item_j").agg(F.sum(F.col("a") * F.col("b")).alias("product"))
+    sizes = edges.groupBy("user_id").agg(F.ceil(F.count("*") / BASKET).cast("int").alias("parts"))
+    split = edges.join(sizes, "user_id").withColumn("part", F.pmod(F.xxhash64("item_id"), F.col("parts")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    left = split.select("user_id", F.col("item_id").alias("item_i"), F.col("value").alias("a"), F.col("part").alias("p"), every.alias("q"))
+    right = split.select("user_id", F.col("item_id").alias("item_j"), F.col("value").alias("b"), every.alias("p"), F.col("part").alias("q"))
+    products = left.join(right, ["user_id", "p", "q"]).groupBy("item_i", "item_j").agg(F.sum(F.col("a") * F.col("b")).alias("product"))
     ni, nj = norms.select(F.col("item_id").alias("item_i"), F.col("norm").alias("norm_i")), norms.select(F.col("item_id").alias("item_j"), F.col("norm").alias("norm_j"))
     return products.join(ni, "item_i").join(nj, "item_j").select("item_i", "item_j", cosine(F.col("product"), F.col("norm_i"), F.col("norm_j")).alias("similarity"))
 
@@ -59,16 +67,75 @@ def rank_scored(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def top_k(queries: DataFrame, edges: DataFrame, k: int, *, decay: float = 0.8, history_size: int = 20, index: DataFrame | None = None) -> DataFrame:
+def _best_of_block(k: int, item_type, query_type):
+    """Cogroup of queries (query_id, items, weights, seen) and similarities (item_i, item_j, similarity): each query's ``k`` best."""
+
+    def run(queries, pairs):
+        import pyarrow as pa
+
+        out: list[list] = [[], [], []]
+        if queries.num_rows and pairs.num_rows:
+            rows, at = np.unique(np.array(pairs.column("item_i").to_pylist()), return_inverse=True)
+            names, column = np.unique(np.array(pairs.column("item_j").to_pylist()), return_inverse=True)
+            order = np.argsort(at, kind="stable")
+            column, value = column[order], pairs.column("similarity").to_numpy()[order]
+            start = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(rows)))])
+            row_of, place = {x: i for i, x in enumerate(rows.tolist())}, {x: i for i, x in enumerate(names.tolist())}
+            for name, items, weights, seen in zip(*(queries.column(c).to_pylist() for c in ("query_id", "items", "weights", "seen"))):
+                use = [(row_of[x], w) for x, w in zip(items, weights) if x in row_of]
+                if not use:
+                    continue
+                spans = [slice(start[i], start[i + 1]) for i, _ in use]
+                found = np.concatenate([column[x] for x in spans])
+                score = np.bincount(found, np.concatenate([value[x] * w for x, (_, w) in zip(spans, use)]), minlength=len(names))
+                score = np.round(score, DIGITS)
+                scored = np.zeros(len(names), bool)
+                scored[found] = True
+                scored[[place[x] for x in seen if x in place]] = False
+                among = np.flatnonzero(scored)
+                if len(among) > k:
+                    own = score[among]
+                    among = among[own >= np.partition(own, len(own) - k)[len(own) - k]]
+                # Names are sorted, so a stable sort breaks ties by item.
+                best = among[np.argsort(-score[among], kind="stable")][:k]
+                out[0] += [name] * len(best)
+                out[1] += names[best].tolist()
+                out[2] += score[best].tolist()
+        return pa.table([pa.array(out[0], query_type), pa.array(out[1], item_type), pa.array(out[2], pa.float64())], names=["query_id", "item_id", "score"])
+
+    return run
+
+
+def best_scored(queries: DataFrame, pairs: DataFrame, norms: DataFrame, k: int, *, decay: float = 0.8, history_size: int = 20) -> DataFrame:
+    """query_id, item_id, score, rank: the ``k`` best scored unseen items, as score_queries has them.
+
+    A blocked sparse product: similarities are dealt by item_j to blocks of some PAIRS, queries to blocks of some
+    QUERIES, and each two meet in one task, where a query's scores are one dense row of the block. So the neighbours
+    of 20 items are never rows, and k a query and block is all that is shuffled. ``pairs`` should be checkpointed.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    item, query = pairs.schema["item_j"].dataType, queries.schema["query_id"].dataType
+    weights = weighted_history(queries, norms, decay, history_size).groupBy("query_id").agg(F.collect_list("item_i").alias("items"), F.collect_list("weight").alias("weights"))
+    rows = cut_lineage(weights.join(queries.select("query_id", F.array_union("seen", "history").alias("seen")), "query_id"))
+    columns, salts = max(4, -(-pairs.count() // PAIRS)), max(1, -(-rows.count() // QUERIES))
+    left = rows.withColumn("salt", F.pmod(F.xxhash64("query_id"), F.lit(salts).cast("long"))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
+    right = pairs.withColumn("block", F.pmod(F.xxhash64("item_j"), F.lit(columns)).cast("int")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    schema = f"query_id {query.simpleString()}, item_id {item.simpleString()}, score double"
+    best = left.groupBy("block", "salt").cogroup(right.groupBy("block", "salt")).applyInArrow(_best_of_block(k, to_arrow_type(item), to_arrow_type(query)), schema)
+    return rank_scored(best, k)
+
+
+def top_k(queries: DataFrame, edges: DataFrame, k: int, *, decay: float = 0.8, history_size: int = 20, index: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """query_id, item_id, score, rank: the best ``k`` unseen items, then unscored ones by id while fewer than k.
 
-    A query with nothing usable in its history has no list. Unscored items come without a product of queries
-    and catalogue: a query that lacks d items needs the first d free ids, and these are among the first
-    d + (its seen and scored items) of the catalogue, so it asks for just those places.
+    A query with nothing usable in its history has no list. ``pairs`` are the edges' cosine_pairs, if they were
+    made before. Unscored items come without a product of queries and catalogue: a query that lacks d items needs
+    the first d free ids, and these are among the first d + (its seen and scored items) of the catalogue, so it
+    asks for just those places.
     """
     norms = item_norms(edges)
-    scored = score_queries(queries, edges, decay=decay, history_size=history_size)
-    best = rank_scored(scored, k)
+    best = cut_lineage(best_scored(queries, pairs if pairs is not None else cut_lineage(cosine_pairs(edges)), norms, k, decay=decay, history_size=history_size))
     usable = weighted_history(queries, norms, decay, history_size).select("query_id").distinct()
     counts = best.groupBy("query_id").agg(F.count("*").alias("have"), F.collect_list("item_id").alias("items"))
     lacking = (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -102,20 +103,20 @@ def label_split(events: DataFrame, boundaries: Boundaries) -> DataFrame:
     return events.withColumn("split", F.when(us < F.lit(boundaries.validation), "train").when(us < F.lit(boundaries.test), "validation").otherwise("test"))
 
 
-def k_core(events: DataFrame, k: int, most_rounds: int = 200) -> DataFrame:
+def k_core(events: DataFrame, k: int, most_rounds: int = 200, *, by: tuple[str, ...] = ()) -> DataFrame:
     """The rows left when users and items with under ``k`` rows are dropped together, round by round, until none is.
 
     Both counts of a round see the same rows. Each round is checkpointed, so a late round doesn't redo the
-    early ones; supports are counted map-side first, and joined as semi joins.
+    early ones; supports are counted map-side first, and joined as semi joins. With ``by`` each of its groups has a
+    core of its own, and all settle in the same rounds.
     """
     if k < 1:
         raise ValueError("k has to be at least 1")
     rows = cut_lineage(events)
     before = rows.count()
     for _ in range(most_rounds):
-        users = rows.groupBy("user_id").count().where(F.col("count") >= k).select("user_id")
-        items = rows.groupBy("item_id").count().where(F.col("count") >= k).select("item_id")
-        kept = cut_lineage(rows.join(users, "user_id", "left_semi").join(items, "item_id", "left_semi").select(*events.columns))
+        enough = lambda c: rows.groupBy(*by, c).count().where(F.col("count") >= k).select(*by, c)  # noqa: B023, E731
+        kept = cut_lineage(rows.join(enough("user_id"), [*by, "user_id"], "left_semi").join(enough("item_id"), [*by, "item_id"], "left_semi").select(*events.columns))
         after = kept.count()
         rows = kept
         if after == before:
@@ -124,6 +125,19 @@ def k_core(events: DataFrame, k: int, most_rounds: int = 200) -> DataFrame:
     raise RuntimeError("the k-core did not settle")
 
 
+def k_core_rows(interactions, k: int, *, user: str = "user_id", item: str = "item_id") -> tuple[set[str], set[str]]:
+    """The users and items of the k-core of a few rows (mappings) on the driver; the input isn't changed."""
+    if k < 1:
+        raise ValueError("k has to be at least 1")
+    left = [(str(r[user]), str(r[item])) for r in interactions]
+    while True:
+        users, items = Counter(u for u, _ in left), Counter(i for _, i in left)
+        kept = [(u, i) for u, i in left if min(users[u], items[i]) >= k]
+        if len(kept) == len(left):
+            return set(users), set(items)
+        left = kept
+
+
 def warm_flags(events: DataFrame, core: DataFrame) -> DataFrame:
     users = core.select("user_id").distinct().withColumn("__u", F.lit(True))
     items = core.select("item_id").distinct().withColumn("__i", F.lit(True))

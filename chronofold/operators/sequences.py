@@ -31,23 +31,28 @@ def user_sequences(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(F.transform(ordered, lambda x: x["item_id"]).alias("items"))
 
 
-def examples(events: DataFrame, target_split: str, history_size: int = 20, min_prior: int = 2) -> DataFrame:
+def examples(events: DataFrame, target_split: str, history_size: int = 20, min_prior: int = 2, *, by: tuple[str, ...] = ()) -> DataFrame:
     """user_id, item_id (the target), event_ts, prior_count, history (last ``history_size`` items before event_ts) and seen (all of them).
 
     prior_count is the rank of the time in the user's log less one, so tied events don't see each other. One
-    shuffle by user gives both the ranks and the log; there is no inequality join.
+    shuffle by user (and ``by``) gives the ranks, each user's log once, and the user's targets; only targets are
+    then set beside the log, and what they keep of it is their answer. There is no inequality join.
     """
     if history_size < 1:
         raise ValueError("history_size has to be at least 1")
     if min_prior < 1:
         raise ValueError("min_prior has to be at least 1")
-    by_time = Window.partitionBy("user_id").orderBy("event_ts")
-    log = F.transform(F.sort_array(F.collect_list(F.struct("event_ts", "item_id")).over(Window.partitionBy("user_id"))), lambda x: x["item_id"])
-    placed = events.withColumn("prior_count", (F.rank().over(by_time) - 1).cast("int")).withColumn("__log", log)
-    chosen = placed.where((F.col("split") == target_split) & (F.col("prior_count") >= min_prior))
+    keys = [*by, "user_id"]
+    placed = events.withColumn("__prior", (F.rank().over(Window.partitionBy(*keys).orderBy("event_ts")) - 1).cast("int"))
+    is_target = (F.col("split") == target_split) & (F.col("__prior") >= min_prior)
+    users = placed.groupBy(*keys).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("event_ts", "item_id"))), lambda x: x["item_id"]).alias("__log"),
+        F.collect_list(F.when(is_target, F.struct("item_id", "event_ts", F.col("__prior").alias("prior_count")))).alias("__targets"),
+    )
+    chosen = users.where(F.size("__targets") > 0).select(*keys, "__log", F.explode("__targets").alias("__t")).select(*keys, "__log", "__t.*")
     size = F.least(F.col("prior_count"), F.lit(history_size))
     return chosen.select(
-        "user_id", "item_id", "event_ts", "prior_count",
+        *by, "user_id", "item_id", "event_ts", "prior_count",
         F.slice("__log", F.col("prior_count") - size + 1, size).alias("history"),
         F.slice("__log", F.lit(1), F.col("prior_count")).alias("seen"),
     )

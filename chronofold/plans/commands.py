@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import json
-import time
+from datetime import datetime, timedelta, timezone
 from pathlib import Path
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.operators import candidates, dense, item_cf, metrics, popularity, prepare, sampling, sequences
-from chronofold.plans import ranker, training, two_tower
-from chronofold.plans.dataset import K, FileDataset
+from chronofold.operators import candidates, item_cf, metrics, popularity, prepare, sampling, sequences
+from chronofold.plans import ranker, serving, training, two_tower
+from chronofold.plans.dataset import FileDataset
+from chronofold.session import cut_lineage
 from chronofold.sources import readers, writers
 
 
@@ -31,9 +31,17 @@ class Project:
         interactions, items = self.path("prepared_interactions_path"), self.path("prepared_items_path")
         readers.require(interactions, items)
         if not hasattr(self, "_dataset"):
-            self._dataset = FileDataset(self.spark, interactions, items, self.config)
+            self._dataset = FileDataset(self.spark, interactions, items, self.config, self.fitted)
         return self._dataset
 
+    def fitted(self, *parts: str) -> DataFrame | None:
+        """An artifact that was written after the prepared interactions, or None."""
+        path, made_from = Path(self.artifact(*parts)), Path(self.path("prepared_interactions_path"))
+        done = path / "_SUCCESS"
+        if not done.exists() or done.stat().st_mtime < made_from.stat().st_mtime:
+            return None
+        return self.spark.read.parquet(str(path))
+
     def artifact(self, *parts: str) -> str:
         return str(self.artifacts.joinpath(*parts))
 
@@ -43,8 +51,6 @@ def prepare_data(p: Project) -> Path:
     readers.require(reviews, metadata)
     data, split = p.config["data"], p.config["split"]
     raw = readers.read_reviews(p.spark, reviews, partitions=p.spark.sparkContext.defaultParallelism if reviews.endswith(".gz") else None)
-    from chronofold.session import cut_lineage
-
     events = cut_lineage(prepare.latest_per_pair(prepare.recent(raw, data["recent_window_months"])))
     boundaries = prepare.quantile_boundaries(events, split["validation_fraction"], split["test_fraction"])
     labelled = prepare.label_split(events, boundaries)
@@ -54,7 +60,7 @@ def prepare_data(p: Project) -> Path:
     written = p.spark.read.parquet(interactions)
     writers.write_table(prepare.item_catalog(readers.read_metadata(p.spark, metadata), written), items)
     counts = prepare.manifest_counts(written).first().asDict()
-    stamp = lambda us: time.strftime("%Y-%m-%dT%H:%M:%S+00:00", time.gmtime(us / 1e6))
+    stamp = lambda us: (datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(microseconds=us)).isoformat()
     record = {
         "source": data["source_name"], "raw_inputs": {x: writers.file_sha256(x) for x in (reviews, metadata)}, "recent_window_months": data["recent_window_months"], "min_train_interactions": data["min_train_interactions"],
         "validation_start": stamp(boundaries.validation), "test_start": stamp(boundaries.test), "counts": counts,
@@ -80,31 +86,62 @@ def build_sequences(p: Project) -> list[str]:
     return made
 
 
-def train_retriever(p: Project, *, output: str = "retriever-history-only") -> str:
+def load_popularity(p: Project, half_life_days: int) -> DataFrame:
+    """item_id and score as fit_baselines wrote them."""
+    path = p.artifact("baselines", f"popularity-{half_life_days}d.parquet")
+    readers.require(path)
+    return p.spark.read.parquet(path)
+
+
+def load_item_cf(p: Project) -> DataFrame:
+    """The edges as fit_baselines wrote them; norms and similarities follow from them."""
+    path = p.artifact("baselines", "item-cf.parquet")
+    readers.require(path)
+    return p.spark.read.parquet(path)
+
+
+def load_sequences(p: Project, split: str) -> DataFrame:
+    path = p.artifact("sequences", f"{split}.parquet")
+    readers.require(path)
+    return p.spark.read.parquet(path)
+
+
+def train_retriever(p: Project, *, output: str = "retriever", history_only: bool = False) -> str:
+    """The model over the written sequences, with an embedding for each user unless ``history_only``."""
     if "/" in output or output in ("", ".", ".."):
         raise ValueError("the output is one folder's name")
     d, cfg = p.dataset, p.config["retrieval"]
-    model, index, history = training.fit_retriever(d.train, d.queries("train"), d.queries("validation"), cfg, p.config["project"]["seed"], p.config["split"]["replay_history_size"])
+    train, validation = load_sequences(p, "train"), load_sequences(p, "validation")
+    users = None if history_only else cut_lineage(sequences.dense_index(d.train, "user_id"))
+    model, index, history = training.fit_retriever(d.train, train, validation, cfg, p.config["project"]["seed"], p.config["split"]["replay_history_size"], users)
     folder = Path(p.artifact(output))
     folder.mkdir(parents=True, exist_ok=True)
     (folder / "model.npz").write_bytes(model.dump())
     writers.write_table(index, str(folder / "index.parquet"))
     writers.write_table(two_tower.item_vectors(index, model), str(folder / "items.parquet"))
+    if users is not None:
+        writers.write_table(users, str(folder / "users.parquet"))
     writers.write_json({"epochs": history}, folder / "training-history.json")
-    best = max((e.get("recall", 0.0) for e in history), default=0.0)
-    writers.write_json({"items": model.items, "dim": model.dim, "best_recall": best}, folder / "training-result.json")
+    best = max(history, key=lambda e: e.get("recall", 0.0), default={})
+    told = {"items": model.items, "users": model.users, "dim": model.dim, "variant": "history-only" if history_only else "user-embedding", "best_epoch": best.get("epoch", 0), "best_recall": best.get("recall", 0.0)}
+    if history and "sampled_recall" in history[-1]:
+        told["sampled_recall"] = history[-1]["sampled_recall"]
+    writers.write_json(told, folder / "training-result.json")
     return str(folder)
 
 
-def load_retriever(p: Project, name: str = "retriever-history-only") -> tuple[two_tower.TwoTower, DataFrame]:
+def load_retriever(p: Project, name: str = "retriever-history-only") -> tuple[two_tower.TwoTower, DataFrame, DataFrame | None]:
+    """The model, its items and its users (None for one of histories only)."""
     folder = Path(p.artifact(name))
     readers.require(str(folder / "model.npz"), str(folder / "index.parquet"))
-    return two_tower.TwoTower.load((folder / "model.npz").read_bytes()), p.spark.read.parquet(str(folder / "index.parquet"))
+    model = two_tower.TwoTower.load((folder / "model.npz").read_bytes())
+    if not model.users:
+        return model, p.spark.read.parquet(str(folder / "index.parquet")), None
+    readers.require(str(folder / "users.parquet"))
+    return model, *(p.spark.read.parquet(str(folder / f"{x}.parquet")) for x in ("index", "users"))
 
 
 def _subset(p: Project, split: str) -> DataFrame:
-    from chronofold.session import cut_lineage
-
     return cut_lineage(sampling.fixed_subset(p.dataset.queries(split), "query_id", p.config["retrieval"]["full_catalog_evaluation_examples"], p.config["project"]["seed"] + 2))
 
 
@@ -114,8 +151,8 @@ def evaluate_baselines(p: Project) -> Path:
     share = lambda ranked: metrics.recall_at(metrics.target_ranks(queries, ranked), [k]).first()[f"recall_{k}"]
     record: dict = {"k": k, "examples": queries.count()}
     for h in b["popularity_half_lives_days"]:
-        record[f"popularity_{h}d"] = share(popularity.first_unseen(queries, popularity.fit_popularity(d.train, h), k))
-    record["item_cf"] = share(item_cf.top_k(queries, d.edges, k, decay=b["item_cf_recency_decay"], history_size=b["item_cf_history_size"]))
+        record[f"popularity_{h}d"] = share(popularity.first_unseen(queries, d.popularity_of(h), k))
+    record["item_cf"] = share(item_cf.top_k(queries, d.edges, k, decay=b["item_cf_recency_decay"], history_size=b["item_cf_history_size"], pairs=d.pairs))
     return writers.write_json(record, p.artifact("evaluation", "validation-baselines.json"))
 
 
@@ -123,8 +160,8 @@ def evaluate_candidate_union(p: Project, *, retriever: str = "retriever-history-
     queries = _subset(p, "validation")
     if queries.isEmpty():
         raise ValueError("there are no examples to evaluate")
-    model, index = load_retriever(p, retriever)
-    _, lists = training.candidate_rows(queries, p.dataset.train, p.dataset.items, model, index, p.dataset)
+    model, index, users = load_retriever(p, retriever)
+    _, lists = training.candidate_rows(queries, p.dataset.train, p.dataset.items, model, index, p.dataset, users)
     told = candidates.union_coverage(candidates.merge_ranks(lists), queries.select("query_id", "item_id")).first().asDict()
     return writers.write_json(told, p.artifact("evaluation", "validation-candidate-union.json"))
 
@@ -141,27 +178,28 @@ def train_ranker(p: Project) -> Path:
     readers.require(manifest)
     rows = readers.read_folds(p.spark, [p.artifact("ranker-crossfit", f"fold-{i}.parquet") for i in (1, 2, 3)])
     model, told = ranker.select_and_refit(rows, p.config["ranking"])
-    model.save(p.artifact("ranker"))
+    path = Path(p.artifact("ranker", "model.npz"))
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_bytes(model.dump())
     writers.write_json(model.importances(), p.artifact("ranker", "feature-importances.json"))
     return writers.write_json(told | {"learning_rate": p.config["ranking"]["learning_rate"]}, p.artifact("ranker", "training-result.json"))
 
 
 def load_ranker(p: Project) -> ranker.LambdaMart:
-    told = p.artifact("ranker", "training-result.json")
-    readers.require(told)
-    told = writers.read_json(told)
-    return ranker.LambdaMart.load(p.artifact("ranker"), told["trees"], told["learning_rate"])
+    path = p.artifact("ranker", "model.npz")
+    readers.require(path)
+    return ranker.LambdaMart.load(Path(path).read_bytes())
 
 
 def evaluate(p: Project) -> Path:
     """The frozen replay: every test target, misses at zero, paired intervals of the lift over each baseline."""
     d, e = p.dataset, p.config["evaluation"]
-    model, index = load_retriever(p)
+    model, index, users = load_retriever(p)
     scorer = load_ranker(p)
     queries = d.queries("test")
     if queries.isEmpty():
         raise ValueError("there are no test targets")
-    per_query, _ = training.replay_with(d, queries, model, index, scorer)
+    per_query, _ = training.replay_with(d, queries, model, index, scorer, users)
     lifts = per_query.withColumns({f"lift_over_{s}": F.col("system_ndcg") - F.col(f"{s}_ndcg") for s in ("popularity", "cf")})
     names = ["system_ndcg", "lift_over_popularity", "lift_over_cf"]
     intervals = {r["series"]: [r["mean"], r["low"], r["high"]] for r in metrics.bootstrap_intervals(lifts, names, resamples=e["bootstrap_resamples"], level=e["bootstrap_confidence_level"], seed=p.config["project"]["seed"] + 4).collect()}
@@ -170,35 +208,20 @@ def evaluate(p: Project) -> Path:
 
 
 def benchmark(p: Project) -> Path:
-    """Wall-clock of whole actions over query sets, per query; index building and warm-up aren't timed."""
-    d, b = p.dataset, p.config["benchmark"]
-    model, index = load_retriever(p)
-    history = p.config["split"]["replay_history_size"]
-    queries = sampling.fixed_subset(d.queries("test"), "query_id", b["query_count"], p.config["project"]["seed"] + 5)
-    from chronofold.session import cut_lineage
-
-    queries = cut_lineage(queries)
-    n = max(1, queries.count())
-    items = cut_lineage(two_tower.item_vectors(index, model))
-    stages = {
-        "query_encoding": lambda: two_tower.query_vectors(two_tower.encoded(queries, index, history), model).count(),
-    }
-    vectors = cut_lineage(two_tower.query_vectors(two_tower.encoded(queries, index, history), model).join(queries.select("query_id", "seen"), "query_id"))
-    k = min(K, p.config["retrieval"]["candidate_count"])
-    stages["exact_retrieval"] = lambda: dense.exact_top_k(vectors, items, k).count()
-    stages["approximate_retrieval"] = lambda: dense.lsh_top_k(vectors, items, k).count()
-    record: dict = {"queries": n, "k": k}
-    for name, run in stages.items():
-        run()
-        taken = []
-        for _ in range(5):
-            began = time.perf_counter()
-            run()
-            taken.append(1000 * (time.perf_counter() - began) / n)
-        record[name] = {"mean_ms": float(np.mean(taken)), "p50_ms": float(np.percentile(taken, 50)), "p95_ms": float(np.percentile(taken, 95)), "queries_per_second": 1000 * len(taken) / sum(taken)}
-    exact = dense.exact_top_k(vectors, items, k)
-    record["overlap"] = metrics.candidate_overlap(exact, dense.lsh_top_k(vectors, items, k)).first()["overlap"]
-    return writers.write_json(record, p.artifact("evaluation", "latency.json"))
+    """Wall-clock of single requests on one worker, stage by stage; index building and warm-up aren't timed."""
+    d, b, r, seed = p.dataset, p.config["benchmark"], p.config["retrieval"], p.config["project"]["seed"]
+    model, index, users = load_retriever(p)
+    scorer, count, warm = load_ranker(p), b["query_count"], b["warmup_queries"]
+    fold = p.artifact("ranker-crossfit", "fold-3.parquet")
+    readers.require(fold)
+    queries = sampling.fixed_subset(d.queries("test"), "query_id", count + warm, seed + 5)
+    rows = two_tower.encoded(queries, index, p.config["split"]["replay_history_size"], users).orderBy("query_id").collect()
+    if len(rows) < count + warm:
+        raise ValueError(f"{count + warm} test examples are needed, there are {len(rows)}")
+    rows = [x.asDict() | {"user": x.asDict().get("user")} for x in rows]
+    sets = serving.ranker_inputs(p.spark.read.parquet(fold), count, seed + 6)
+    told = serving.benchmark(model, rows, sets, scorer, warm=warm, k=r["candidate_count"], m=r["hnsw_m"], ef=r["hnsw_ef_search"])
+    return writers.write_json(told, p.artifact("benchmarks", "latency.json"))
 
 
 def recommend(p: Project, user_id: str) -> list:

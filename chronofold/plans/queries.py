@@ -67,22 +67,26 @@ def _bootstrap(d: Dataset) -> DataFrame:
     return metrics.bootstrap_intervals(pairs.withColumn("lift", F.col("cf") - F.col("popularity")), ["cf", "popularity", "lift"], resamples=e["bootstrap_resamples"], level=e["bootstrap_confidence_level"])
 
 
+def _bootstrap_bounds(d: Dataset) -> DataFrame:
+    """Each series' mean, and whether the interval lies about it as wide as the normal approximation has it, to a quarter."""
+    ndcg = lambda s: metrics.hit_and_ndcg(metrics.target_ranks(d.queries("validation"), d.list_of(s, "validation")))
+    series = [ndcg(s).select(F.lit(s).alias("series"), "ndcg") for s in ("cf", "popularity")]
+    spread = reduce(DataFrame.unionByName, series).groupBy("series").agg((1.96 * F.stddev_pop("ndcg") / F.sqrt(F.count("*"))).alias("half"))
+    told = _bootstrap(d).join(spread, "series")
+    about = lambda side: F.abs(side - F.col("half")) <= 0.25 * F.col("half") + 1e-9
+    return told.select("series", F.round("mean", 6).alias("mean"), about(F.col("mean") - F.col("low")).alias("low_fits"), about(F.col("high") - F.col("mean")).alias("high_fits"))
+
+
 def _fold_bounds(d: Dataset) -> DataFrame:
     rows = F.explode(F.array(*(F.struct(F.lit(i + 1).alias("fold"), F.round(F.lit(d.fold_starts[i]), 0).cast("long").alias("start_us"), F.round(F.lit(d.fold_starts[i + 1]), 0).cast("long").alias("end_us")) for i in range(3))))
     return d.spark.range(1).select(rows.alias("x")).select("x.*")
 
 
-def _folds(d: Dataset, make) -> DataFrame:
-    return reduce(DataFrame.unionByName, [make(i).select(F.lit(i).alias("fold"), "*") for i in (1, 2, 3)])
-
-
 def _fold_summary(d: Dataset) -> DataFrame:
-    def one(i: int) -> DataFrame:
-        core, rows = d.fold_queries(i)
-        counts = core.agg(F.count("*").alias("core_events"), F.count_distinct("user_id").alias("core_users"), F.count_distinct("item_id").alias("core_items"))
-        return counts.crossJoin(rows.agg(F.count("*").alias("eligible"), F.coalesce(F.sum("prior_count"), F.lit(0)).alias("prior_events")))
-
-    return _folds(d, one)
+    cores = d.fold_cores.groupBy("fold").agg(F.count("*").alias("core_events"), F.count_distinct("user_id").alias("core_users"), F.count_distinct("item_id").alias("core_items"))
+    told = d.fold_examples.groupBy("fold").agg(F.count("*").alias("eligible"), F.sum("prior_count").alias("prior_events"))
+    folds = d.spark.range(1, 4).select(F.col("id").cast("int").alias("fold"))
+    return folds.join(cores, "fold", "left").join(told, "fold", "left").select("fold", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("core_events", "core_users", "core_items", "eligible", "prior_events")))
 
 
 def _embedding_queries(d: Dataset) -> tuple[DataFrame, DataFrame]:
@@ -149,8 +153,8 @@ QUERIES = {
     "category_affinity": _of(lambda d: candidates.affinity(d.queries("validation"), d.items, "main_category").select("query_id", "value", F.round("share", 6).alias("share"))),
     "brand_affinity": _of(lambda d: candidates.affinity(d.queries("validation"), d.items, "brand").select("query_id", "value", F.round("share", 6).alias("share"))),
     "fold_boundaries": _of(_fold_bounds),
-    "fold_train_core": _of(lambda d: _folds(d, lambda i: d.fold(i)[0].select("user_id", "item_id", us()))),
-    "fold_targets": _of(lambda d: _folds(d, lambda i: d.fold(i)[1].select("user_id", "item_id", us()))),
+    "fold_train_core": _of(lambda d: d.fold_cores.select("fold", "user_id", "item_id", us())),
+    "fold_targets": _of(lambda d: d.fold_targets.select("fold", "user_id", "item_id", us())),
     "fold_summary": _of(_fold_summary),
     "recall_at_k": _of(_recalls),
     "hit_rate_ndcg_at_10": _of(_hits),
@@ -161,6 +165,9 @@ QUERIES = {
     "event_log_sequences": _of(lambda d: readers.log_events(d.spark, d.sf_dir).groupBy("user_id").agg(F.count("*").alias("events"), F.count_distinct("item_id").alias("items"), F.count_if("verified_purchase").alias("purchases"))),
     "bootstrap_ci": _of(_bootstrap),
     "fixed_subset": _of(lambda d: sampling.fixed_subset(d.queries("validation").select("query_id"), "query_id", 1000, 44)),
+    "bootstrap_ci_bounds": _of(_bootstrap_bounds),
+    "graph_topk": _of(lambda d: dense.graph_top_k(*_embedding_queries(d), 10).select("query_id", "item_id", "rank", "score")),
+    "graph_recall": _of(lambda d: metrics.candidate_overlap(_neighbours(d), dense.graph_top_k(*_embedding_queries(d), 10)).select("queries", (F.col("overlap") >= 0.9).alias("recall_90"))),
     "lsh_topk": _of(_lsh),
     "lsh_overlap": _of(lambda d: metrics.candidate_overlap(_neighbours(d), _lsh(d))),
     "two_tower_train": _trained("two_tower_report"),

@@ -70,7 +70,7 @@ def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_folds(spark: SparkSession, paths: list[str], expected: int = 3) -> DataFrame:
-    """Candidate rows of all folds, which have to be just ``expected`` files."""
+    """Candidate rows of all folds, which have to be just ``expected`` files; a query's rows stand together, in order."""
     if len(paths) != expected:
         raise ValueError(f"{expected} fold files are needed; there are {len(paths)}")
-    return spark.read.parquet(*paths).orderBy("fold", "query_id", "item_id")
+    return spark.read.parquet(*paths).repartition("fold", "query_id").sortWithinPartitions("fold", "query_id", "ord")

@@ -1,7 +1,9 @@
 """From raw JSON lines to a replay, through the commands; the configuration; the driver's contract."""
 
 import json
+import random
 from datetime import datetime, timedelta, timezone
+from pathlib import Path
 
 import pytest
 import yaml
@@ -39,6 +41,63 @@ def test_prepare_and_baselines(spark, tmp_path):
     assert isinstance(commands.recommend(p, "u0"), list) and commands.recommend(p, "nobody")
 
 
+def shop(tmp_path):
+    """Forty users who buy in three groups of items, one event a day each."""
+    rnd = random.Random(7)
+    start = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    rows = []
+    for u in range(40):
+        for n, i in enumerate(rnd.sample(range(10 * (u % 3), 10 * (u % 3) + 12), 11)):
+            at = start + timedelta(days=30 * n + rnd.randrange(25), seconds=u, milliseconds=7)
+            rows.append({"user_id": f"u{u:02}", "parent_asin": f"i{i:02}", "timestamp": int(at.timestamp() * 1000), "rating": 5, "verified_purchase": True})
+    (tmp_path / "reviews.jsonl").write_text("".join(json.dumps(r) + "\n" for r in rows))
+    (tmp_path / "meta.jsonl").write_text("".join(json.dumps({"parent_asin": f"i{i:02}", "title": f"t{i}", "main_category": f"c{i // 10}", "store": "s"}) + "\n" for i in range(32)))
+    return config.merge({
+        "data": {"raw_reviews_path": "reviews.jsonl", "raw_metadata_path": "meta.jsonl", "min_train_interactions": 2},
+        "split": {"validation_fraction": 0.15, "test_fraction": 0.15},
+        "retrieval": {"embedding_dim": 8, "batch_size": 32, "max_epochs": 2, "candidate_count": 6, "primary_recall_k": 5, "evaluation_sampled_negatives": 9, "full_catalog_evaluation_examples": 30, "hnsw_m": 4, "hnsw_ef_search": 16},
+        "ranking": {"queries_per_fold": 40, "n_estimators": 2, "num_leaves": 4, "min_child_samples": 2, "early_stopping_rounds": 2},
+        "evaluation": {"bootstrap_resamples": 50},
+        "benchmark": {"query_count": 4, "warmup_queries": 2},
+    })
+
+
+def test_all_commands(spark, tmp_path):
+    p = commands.Project(spark, tmp_path, shop(tmp_path))
+    read = lambda path: json.loads(Path(path).read_text())
+    with pytest.raises(FileNotFoundError):
+        commands.load_popularity(p, 30)
+    assert ".007" in read(commands.prepare_data(p))["test_start"] or "." in read(commands.prepare_data(p))["test_start"]
+    with pytest.raises(FileNotFoundError):
+        commands.train_retriever(p)
+    commands.fit_baselines(p)
+    commands.build_sequences(p)
+    # What was written is read again, and is what a fit gives.
+    fresh = commands.FileDataset(spark, *p.dataset.paths, p.config)
+    for a, b in ((commands.load_popularity(p, 30), fresh.popularity), (commands.load_item_cf(p), fresh.edges), (commands.load_sequences(p, "validation"), fresh.queries("validation"))):
+        assert a.count() == b.count() > 0 and a.exceptAll(b.select(*a.columns)).count() == 0
+    assert p.dataset.edges.inputFiles() and p.dataset.queries("train").inputFiles() and not fresh.edges.inputFiles()
+    told = read(Path(commands.train_retriever(p)) / "training-result.json")
+    assert told["users"] == 40 and told["variant"] == "user-embedding" and 0 <= told["sampled_recall"] <= 1
+    model, _, users = commands.load_retriever(p, "retriever")
+    assert model.users == users.count() == 40
+    folder = Path(commands.train_retriever(p, output="retriever-history-only", history_only=True))
+    assert commands.load_retriever(p)[2] is None and all(e["seconds"] > 0 for e in read(folder / "training-history.json")["epochs"])
+    assert read(commands.evaluate_baselines(p))["examples"] > 0
+    for name in ("retriever", "retriever-history-only"):
+        assert 0 < read(commands.evaluate_candidate_union(p, retriever=name))["union_recall"] <= 1
+    folds = read(commands.generate_ranker_data(p))["folds"]
+    assert [f["fold"] for f in folds] == [1, 2, 3] and all(f["sampled_queries"] >= f["retrieved_queries"] > 0 for f in folds)
+    numbers = {r["query_id"] for r in spark.read.parquet(p.artifact("ranker-crossfit", "fold-3.parquet")).select("query_id").collect()}
+    assert all(30_000_000 < x <= 30_000_000 + folds[2]["sampled_queries"] for x in numbers) and len(numbers) == folds[2]["retrieved_queries"]
+    assert read(commands.train_ranker(p))["trees"] in (1, 2) and len(commands.load_ranker(p).trees) in (1, 2)
+    told = read(commands.evaluate(p))
+    assert told["examples"] > 0 and set(told["intervals"]) == {"system_ndcg", "lift_over_popularity", "lift_over_cf"}
+    told = read(commands.benchmark(p))
+    assert told["benchmark_queries"] == 4 and told["average_ranker_candidates"] > 1 and told["ranker_scoring"]["requests"] == 4 and told["approximate_exact_overlap"] > 0.8
+    assert len(commands.recommend(p, "u01")) <= 10
+
+
 def test_missing_inputs(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         commands.prepare_data(commands.Project(spark, tmp_path, config.merge({})))
@@ -54,8 +113,11 @@ def test_config(tmp_path):
     part.write_text("project: {}\n")
     loaded = config.load_config(whole)
     assert loaded["split"]["test_fraction"] == 0.3 and loaded["split"]["validation_fraction"] == 0.1
-    with pytest.raises(ValueError):
+    with pytest.raises(config.ConfigError):
         config.load_config(part)
+    whole.write_text(yaml.safe_dump({s: {} for s in config.SECTIONS} | {"ranking": [1, 2]}))
+    with pytest.raises(config.ConfigError, match="ranking"):
+        config.load_config(whole)
 
 
 def test_help_lists_all_commands(capsys):
