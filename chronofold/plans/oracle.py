@@ -171,7 +171,7 @@ SQL = {
 SELECT query_id, item_id, CAST(rank AS INTEGER) AS rank, s AS score FROM (
   SELECT query_id, item_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id) AS rank FROM (
     SELECT a.vec_id AS query_id, b.vec_id AS item_id, round(list_inner_product(a.x, b.x), 9) AS s FROM v a JOIN v b ON a.vec_id <> b.vec_id)) WHERE rank <= 10""",
-    "dense_scores": of(EX + POOLED, "SELECT a.query_id, round(list_inner_product(a.vector, b.vector), 6) AS score FROM qvec a JOIN q USING (query_id) JOIN vec b USING (item_id)"),
+    "dense_scores": of(EX + POOLED[:3] + ["target AS MATERIALIZED (SELECT query_id, CAST(unnest(range(64)) AS INTEGER) AS i, unnest(vector) AS y FROM q JOIN vec USING (item_id))", "pooled AS MATERIALIZED (SELECT * FROM comp)"], "SELECT query_id, round(sum(x * y), 6) AS score FROM pooled JOIN target USING (query_id, i) GROUP BY query_id"),
     "weighted_history_pooling": of(EX + POOLED, "SELECT query_id, i, round(x, 6) AS x FROM comp"),
     "source_rank_merge": of(EX + UNION, "SELECT * FROM uni"),
     "candidate_union": of(EX + UNION, "SELECT query_id, count(*) AS candidates, CAST(sum(source_count) AS BIGINT) AS listings FROM uni GROUP BY query_id"),
