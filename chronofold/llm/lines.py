@@ -184,6 +184,31 @@ def _earlier(it):
         yield pa.RecordBatch.from_pydict({"hi": hi[hit], "lo": lo[hit], "doc": doc[other], "k": k[other], "number": number[other], "ohi": hi[other], "olo": lo[other]})
 
 
+def within_one(a: str, b: str) -> bool:
+    """Whether one character put in, left out or replaced at most makes a line of the other; linear in their length."""
+    if abs(len(a) - len(b)) > 1:
+        return False
+    short, long = sorted((a, b), key=len)
+    same = 0
+    if short != long[: len(short)]:
+        low, high = 0, len(short)
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (middle, high) if short[low:middle] == long[low:middle] else (low, middle)
+        same = low
+    else:
+        return True
+    return short[same:] == long[same + 1 :] if len(short) < len(long) else short[same + 1 :] == long[same + 1 :]
+
+
+def _verified(it):
+    import pyarrow as pa
+
+    for batch in batches(it):
+        near = [within_one(a, b) for a, b in zip(batch.column("text").to_pylist(), batch.column("before").to_pylist())]
+        yield batch.select(["hi", "lo"]).filter(pa.array(near, pa.bool_()))
+
+
 def _packed(batch):
     import pyarrow as pa
     import zstandard
@@ -239,8 +264,8 @@ def drop_lines(docs: DataFrame, *, lines: str = "n_lines", dropped: str = "n_dro
     verified = (
         near.join(texts, ["hi", "lo"])
         .join(texts.select(F.col("hi").alias("ohi"), F.col("lo").alias("olo"), F.col("text").alias("before")), ["ohi", "olo"])
-        .where(F.levenshtein("text", "before", 1).between(0, 1))
-        .select("hi", "lo", F.lit(True).alias("near"))
+        .mapInArrow(_verified, "hi long, lo long")
+        .withColumn("near", F.lit(True))
     )
     affected = cut(known.drop("codes").join(verified, ["hi", "lo"], "left").where("n > 1 OR near").select("hi", "lo", "n", "first", F.coalesce("near", F.lit(False)).alias("near")))
     return _rebuilt(named, _places(occurrences, affected).select(F.col("doc").alias(own), F.col("k").alias(key), F.col("gone")), docs, own, key, lines, dropped)
