@@ -18,6 +18,7 @@ QUERIES = {
 }
 SQL = {
     "op1_mixing": mixing.SQL,
+    "op3_secrets": secrets.SQL,
     "op4_exact_dedup": exact_dedup.SQL,
     "op5_line_dedup": oracles.LINES,
     "op6_suffix_dedup": oracles.SUBSTRINGS,

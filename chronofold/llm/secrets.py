@@ -103,3 +103,38 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(read(spark, sf_dir, "documents"))
+
+
+def _sql_pattern(kind: str) -> str:
+    """The same pattern for an engine that folds more letters than A-Z: both cases spelled out."""
+    import re
+
+    pattern = (BASE | WEAK)[kind][0]
+    spelled = re.sub(r"\(\?i:([^)]*)\)", lambda m: "(?:" + re.sub("[a-z]", lambda c: f"[{c[0]}{c[0].upper()}]", m[1]) + ")", pattern)
+    return spelled.replace("'", "''")
+
+
+def _sql() -> str:
+    found = []
+    for o, kind in enumerate(_KINDS):
+        _, group, least = (BASE | WEAK)[kind]
+        p = _sql_pattern(kind)
+        value = f"regexp_extract(m, '{p}', {group})" if group else "m"
+        found.append(f"""
+  SELECT row, '{kind}' AS kind, {o} AS o, length(m) AS n, length({value}) >= {least} AS ok, sum(length(g) + length(m)) OVER (PARTITION BY row ORDER BY i) AS e FROM (
+    SELECT row, i, ms[i + 1] AS m, gs[i + 1] AS g FROM (SELECT row, ms, gs, unnest(range(len(ms))) AS i FROM (SELECT row, regexp_extract_all(t, '{p}') AS ms, string_split_regex(t, '{p}') AS gs FROM d WHERE regexp_matches(t, '{p}'))))""")
+    completes = " OR ".join(f"(w.kind = '{k}' AND x.kind IN ({', '.join(map(repr, v))}))" for k, v in COMPLETES.items())
+    base = ", ".join(map(repr, BASE))
+    told = lambda which: f"string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o, e){which}"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
+p AS MATERIALIZED (SELECT row, kind, o, CAST(e - n AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM ({" UNION ALL ".join(found)}) WHERE ok),
+near AS (SELECT w.row, w.kind, w.o, w.s, w.e, bool_or(({completes}) AND (x.s >= w.e OR x.e <= w.s)) AS linked, bool_or(x.kind IN ({base}) AND x.s < w.e AND x.e > w.s) AS known
+  FROM p w JOIN p x ON w.row = x.row AND x.s < w.e + {SCOPE} AND x.e > w.s - {SCOPE} WHERE w.kind NOT IN ({base}) GROUP BY ALL),
+a AS (SELECT * FROM p WHERE kind IN ({base}) UNION ALL SELECT row, kind, o, s, e FROM near WHERE linked AND NOT known),
+r AS (SELECT row, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)}, {told(f" FILTER (kind IN ({base}))")} AS base, {told("")} AS spans FROM a GROUP BY row)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN r USING (row)
+"""
+
+
+SQL = _sql()

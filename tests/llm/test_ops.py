@@ -716,3 +716,19 @@ def test_components_of_chains_and_stars(spark):
     got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "u long, v long").repartition(4)).collect()}
     assert all(got[i] == 100 for i in range(100, 161)) and all(got[i] == 5 for i in [5, *range(10, 31)]) and 7 not in got
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_queries_match_their_oracles(spark):
+    import duckdb
+
+    from chronofold.llm.queries import QUERIES, SQL
+
+    db = duckdb.connect()
+    for t in ("documents", "labels", "pages"):
+        db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+    for name, sql in SQL.items():
+        a, b = QUERIES[name](spark, SMALL).toPandas(), db.sql(sql).df()
+        cols = sorted(a.columns)
+        assert cols == sorted(b.columns), name
+        a, b = (x[cols].astype(str).sort_values(cols).reset_index(drop=True) for x in (a, b))
+        assert a.equals(b), name
