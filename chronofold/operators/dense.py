@@ -6,8 +6,10 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Item vectors that one block of the catalogue holds; a task holds one block and one batch of queries at a time.
-BLOCK = 16_384
+from chronofold.session import cut_lineage
+
+#: Item vectors and queries that one task of an exact search holds.
+BLOCK, QUERIES = 16_384, 2_048
 DIGITS = 9
 
 
@@ -25,67 +27,60 @@ def pooled_queries(queries: DataFrame, vectors: DataFrame, *, decay: float = 0.8
     return sums.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("vector"))
 
 
-def _blocks(it):
-    import pyarrow as pa
+def _best_of_block(k: int, item_type, query_type, step: int = 256):
+    """Cogroup of queries (query_id, vector, seen) and items (item_id, vector): each query's ``k`` best, ``step`` queries at a time."""
 
-    for batch in it:
-        for at in range(0, batch.num_rows, BLOCK):
-            part = batch.slice(at, BLOCK)
-            vectors = part.column("vector").flatten().to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_pydict({"items": pa.array([part.column("item_id").to_pylist()]), "vectors": pa.array([vectors.astype("<f8").tobytes()], pa.binary())})
+    def run(queries, block):
+        import pyarrow as pa
 
+        out: list[list] = [[], [], []]
+        if queries.num_rows and block.num_rows:
+            items = np.array(block.column("item_id").to_pylist())
+            order = np.argsort(items, kind="stable")
+            items = items[order]
+            table = block.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(items), -1)[order]
+            place, n = {x: i for i, x in enumerate(items.tolist())}, min(k, len(items))
+            for at in range(0, queries.num_rows, step):
+                part = queries.slice(at, step)
+                q = np.array(part.column("vector").to_pylist(), float)
+                scores = np.round(q @ table.T, DIGITS)
+                for s, name, known in zip(scores, part.column("query_id").to_pylist(), part.column("seen").to_pylist()):
+                    s[[place[x] for x in known if x in place]] = -np.inf
+                    floor = np.partition(s, len(s) - n)[len(s) - n]
+                    among = np.flatnonzero((s >= floor) & np.isfinite(s))
+                    # Items are sorted, so a stable sort breaks ties by item.
+                    best = among[np.argsort(-s[among], kind="stable")][:n]
+                    out[0] += [name] * len(best)
+                    out[1] += items[best].tolist()
+                    out[2] += s[best].tolist()
+        return pa.table([pa.array(out[0], query_type), pa.array(out[1], item_type), pa.array(out[2], pa.float64())], names=["query_id", "item_id", "score"])
+
+    return run
 
-def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int, *, batch_rows: int = 256) -> DataFrame:
+
+def exact_top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """query_id, item_id, score, rank: the best ``k`` items by inner product outside each query's ``seen``.
 
-    ``queries``: query_id, vector, seen. The catalogue is packed into blocks of up to BLOCK vectors, queries
-    into batches, and each batch meets each block once: the work that exact search is. A matrix product scores
-    a meeting, and only its k best a query leave the task, so what is shuffled is k a query and block. Ties go
-    to the smaller item id; scores are rounded first. A query may get fewer than k items if less is unseen.
+    ``queries``: query_id, vector, seen. A blocked product, which is the work that exact search is: items are dealt
+    to blocks of some BLOCK, queries to blocks of some QUERIES, each two meet in one task, and only a query's k best
+    of a block are shuffled on. Ties go to the smaller item id; scores are rounded first. A query may get fewer
+    than k items if less is unseen.
     """
     if k < 1:
         raise ValueError("k has to be at least 1")
     from pyspark.sql.pandas.types import to_arrow_type
 
-    item_arrow, query_arrow = to_arrow_type(vectors.schema["item_id"].dataType), to_arrow_type(queries.schema["query_id"].dataType)
-    item_type = vectors.schema["item_id"].dataType.simpleString()
-    query_type = queries.schema["query_id"].dataType.simpleString()
-    blocks = vectors.select("item_id", "vector").mapInArrow(_blocks, f"items array<{item_type}>, vectors binary")
-    packed = (
-        queries.select("query_id", "vector", "seen", (F.monotonically_increasing_id() / batch_rows).cast("long").alias("b"))
-        .groupBy("b")
-        .agg(F.collect_list("query_id").alias("ids"), F.collect_list("vector").alias("q"), F.collect_list("seen").alias("seen"))
-        .drop("b")
-    )
-
-    def score(it):
-        import pyarrow as pa
-
-        for batch in it:
-            for ids, q, seen, items, raw in zip(*(batch.column(c).to_pylist() for c in ("ids", "q", "seen", "items", "vectors"))):
-                q = np.array(q)
-                table = np.frombuffer(raw, "<f8").reshape(len(items), -1)
-                order = np.argsort(np.array(items), kind="stable")
-                items, table = np.array(items)[order], table[order]
-                place = {x: i for i, x in enumerate(items.tolist())}
-                scores = np.round(q @ table.T, DIGITS)
-                out_q, out_i, out_s = [], [], []
-                for row, (name, known) in enumerate(zip(ids, seen)):
-                    s = scores[row]
-                    closed = [place[x] for x in known if x in place]
-                    s[np.array(closed, int)] = -np.inf
-                    n = min(k, len(items))
-                    floor = np.partition(s, len(s) - n)[len(s) - n]
-                    among = np.flatnonzero((s >= floor) & np.isfinite(s))
-                    best = among[np.argsort(-s[among], kind="stable")][:n]
-                    out_q += [name] * len(best)
-                    out_i += items[best].tolist()
-                    out_s += s[best].tolist()
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array(out_q, query_arrow), "item_id": pa.array(out_i, item_arrow), "score": pa.array(out_s, pa.float64())})
-
-    part = packed.crossJoin(blocks).mapInArrow(score, f"query_id {query_type}, item_id {item_type}, score double")
+    item, query = vectors.schema["item_id"].dataType, queries.schema["query_id"].dataType
+    asked, held = cut_lineage(queries.select("query_id", "vector", "seen")), cut_lineage(vectors.select("item_id", "vector"))
+    blocks, salts = max(1, -(-held.count() // BLOCK)), max(1, -(-asked.count() // QUERIES))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n).cast("long"))
+    left = asked.withColumn("salt", own("query_id", salts)).withColumn("block", every(blocks))
+    right = held.withColumn("block", own("item_id", blocks)).withColumn("salt", every(salts))
+    schema = f"query_id {query.simpleString()}, item_id {item.simpleString()}, score double"
+    best = left.groupBy("block", "salt").cogroup(right.groupBy("block", "salt")).applyInArrow(_best_of_block(k, to_arrow_type(item), to_arrow_type(query)), schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id"))
-    return part.withColumn("rank", rank).where(F.col("rank") <= k)
+    return best.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def lsh_top_k(queries: DataFrame, vectors: DataFrame, k: int, *, bucket: float = 0.6, tables: int = 8, seed: int = 7) -> DataFrame:

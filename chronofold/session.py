@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(name: str = "chronofold", cores: str = "*", **conf: str) -> SparkSession:
-    """A session in UTC with adaptive execution; for local use and tests."""
+    """A session in UTC with adaptive execution, whose checkpoints go once nothing refers to them; for local use and tests."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(name)
-    settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
     for key, value in (settings | conf).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
