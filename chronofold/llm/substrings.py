@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm.common import Powers, as_bytes, batches, by_groups, chunks, cut, mix64, read, rolling
+from chronofold.llm.common import as_bytes, batches, by_groups, chunks, cut, mix64, read, rolling
 
 LENGTH = 200
 #: Length of the first rank. Each LENGTH-byte string holds this many more starts of such a rank, and is placed by the least of them.
@@ -19,7 +19,12 @@ _BITS = np.uint64(31)
 CELL = 16
 #: Bytes of text that are stored, sent and worked on together; a longer text is a block by itself.
 BLOCK = 1 << 20
-_POWERS = Powers()
+
+
+def names(data: bytes, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """A row of two 64-bit numbers for each data[low:high]: a 128-bit digest that no known method makes collide."""
+    view, digest = memoryview(data), hashlib.blake2b
+    return np.frombuffer(b"".join([digest(view[a:b], digest_size=16).digest() for a, b in zip(low.tolist(), high.tolist())]), np.uint64).reshape(-1, 2)
 
 
 def _pack(it):
@@ -49,15 +54,9 @@ class Windows:
     """All LENGTH-byte windows of the texts of a block, in runs that are placed by the same anchor."""
 
     def __init__(self, data: bytes, sizes: np.ndarray) -> None:
-        self.data = np.frombuffer(data, np.uint8)
+        self.bytes, self.data = data, np.frombuffer(data, np.uint8)
         self.offset = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        self._runs = self._h = None
-
-    @property
-    def h(self) -> np.ndarray:
-        if self._h is None:
-            self._h = _POWERS.prefix(self.data)
-        return self._h
+        self._runs = None
 
     @property
     def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,10 +86,10 @@ class Windows:
         return a[new], p[new], p[np.concatenate([new[1:], [len(p)]]) - 1]
 
     def hull(self, at: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Rank of the bytes from left to right as far as the text of ``at`` goes, and of how far ``at`` is in it."""
+        """Name of the bytes from left to right as far as the text of ``at`` goes, and of how far ``at`` is in it."""
         doc = np.searchsorted(self.offset, at, "right") - 1
         left, right = np.maximum(self.offset[doc], left), np.minimum(self.offset[doc + 1], right)
-        return mix64(_POWERS.span(self.h, left, right) + (at - left).astype(np.uint64))
+        return names(self.bytes, left, right) + mix64((at - left).astype(np.uint64))[:, None]
 
     def run_of(self, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         anchors, low, high = self.runs
@@ -121,18 +120,19 @@ def _rows(key, hull, block, pos, weight, known):
     import pyarrow as pa
 
     n = len(key)
+    hull = np.ascontiguousarray(hull.T).view(np.int64)
     return pa.RecordBatch.from_arrays(
-        [pa.array(key.view(np.int64)), pa.array(hull.view(np.int64)), pa.array(np.full(n, block)), pa.array(pos.astype(np.int64)), pa.array(np.broadcast_to(weight, n).astype(np.int8)), pa.array(np.broadcast_to(known, n).astype(bool))],
-        names=["key", "hull", "block", "pos", "weight", "known"],
+        [pa.array(key.view(np.int64)), pa.array(hull[0]), pa.array(hull[1]), pa.array(np.full(n, block)), pa.array(pos.astype(np.int64)), pa.array(np.broadcast_to(weight, n).astype(np.int8)), pa.array(np.broadcast_to(known, n).astype(bool))],
+        names=["key", "hull", "more", "block", "pos", "weight", "known"],
     )
 
 
-ROWS = "key long, hull long, block long, pos long, weight byte, known boolean"
+ROWS = "key long, hull long, more long, block long, pos long, weight byte, known boolean"
 
 
 def _anchors(it):
     """Round one: an anchor's rank at FIRST, and of all the bytes that its windows could hold."""
-    for batch in batches(it):
+    for batch in batches(it, 1):
         for k, w in _blocks(batch):
             a = w.runs[0]
             if len(a):
@@ -147,7 +147,7 @@ def _listed(batch, k: int, column: str) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 def _cells(it):
     """Round two: of each anchor with a weight the cells of CELL windows, the bytes that all of them hold and that any could."""
-    for batch in batches(it):
+    for batch in batches(it, 1):
         for k, w in _blocks(batch):
             pos, whole, weight = _listed(batch, k, "marks")
             use = weight > 0
@@ -157,20 +157,21 @@ def _cells(it):
                 a = a[which]
                 low, high = a - CELL * (cell + 1) + 1, a - CELL * cell
                 # Cells of neighbouring runs may lie in one place, each with windows of its own: anchor and number tell them apart.
-                key = mix64(_POWERS.span(w.h, high, low + LENGTH) + w.rank[a] * np.uint64(3) + cell.astype(np.uint64))
+                key = mix64(names(w.bytes, high, low + LENGTH)[:, 0] + w.rank[a] * np.uint64(3) + cell.astype(np.uint64))
                 yield _rows(key, w.hull(high, low, high + LENGTH), batch.column("block")[k].as_py(), a * CELL + cell, weight[use][which], whole[use][which])
 
 
 def _windows(it):
     """Round three: of each cell with a weight the single windows, by their rank at LENGTH."""
-    for batch in batches(it):
+    for batch in batches(it, 1):
         for k, w in _blocks(batch):
             pos, whole, weight = _listed(batch, k, "marks")
             use = weight > 0
             if use.any():
                 low, high = w.in_cell(pos[use] // CELL, pos[use] % CELL)
                 which, p = _spread(low, high)
-                yield _rows(_POWERS.span(w.h, p, p + LENGTH), np.zeros(len(p), np.uint64), batch.column("block")[k].as_py(), p, weight[use][which], whole[use][which])
+                name = names(w.bytes, p, p + LENGTH)
+                yield _rows(np.ascontiguousarray(name[:, 0]), np.stack([name[:, 1], np.zeros(len(p), np.uint64)], 1), batch.column("block")[k].as_py(), p, weight[use][which], whole[use][which])
 
 
 def _groups(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -204,7 +205,7 @@ def _rerank(it):
 
     for t, first, last in _pieces(it):
         group, group_first = _groups(t["key"])
-        kind, kind_first = _groups(t["key"], t["hull"])
+        kind, kind_first = _groups(t["key"], t["hull"], t["more"])
         size = np.add.reduceat(t["weight"].astype(np.int64), kind_first)
         mixed = np.bincount(group[kind_first], minlength=len(group_first)) > 1
         mixed[0] |= first
@@ -222,20 +223,20 @@ def _rerank_windows(it):
     import pyarrow as pa
 
     for t, begins, ends in _pieces(it):
-        group, first = _groups(t["key"])
+        group, first = _groups(t["key"], t["hull"])
         total = np.add.reduceat(t["weight"].astype(np.int64), first)
         keep = np.flatnonzero((total[group] > 1) & ~t["known"].astype(bool))
         edges = np.unique(first[[0] * begins + [-1] * ends])
         at = np.concatenate([keep, edges])
         edge = np.repeat([False, True], [len(keep), len(edges)])
-        yield pa.RecordBatch.from_arrays([pa.array(t["key"][at]), pa.array(t["block"][at]), pa.array(t["pos"][at]), pa.array(total[group[at]]), pa.array(edge)], names=["key", "block", "pos", "total", "edge"])
+        yield pa.RecordBatch.from_arrays([pa.array(t["key"][at]), pa.array(t["hull"][at]), pa.array(t["block"][at]), pa.array(t["pos"][at]), pa.array(total[group[at]]), pa.array(edge)], names=["key", "hull", "block", "pos", "total", "edge"])
 
 
 def _removed(it):
     """What is left of each text, from its recurring anchors (marks), cells and windows."""
     import pyarrow as pa
 
-    for batch in batches(it):
+    for batch in batches(it, 1):
         for k, w in _blocks(batch):
             n = len(w.data)
             depth = np.zeros(n + 1, np.int32)
@@ -281,13 +282,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     neighbouring windows, one row for each kind of surroundings; where these differ still, round three sorts
     the single windows at LENGTH. Partitions are ranges of the sorted pairs, so a rank with a third of all
     positions spans tasks; keys at partition ends go on to the next round, and the last round's are settled by
-    themselves. The ranks that decide have 62 bits, of two polynomials modulo a prime: two strings that differ are
-    taken for equal with odds of 2**-44 a pair at most (for any content; 2**-62 for ordinary ones). Texts may have
-    up to 2 GB, as Arrow has it; columns but doc_id and text are not read, so their names can't clash.
+    themselves. The ranks that decide are 128-bit digests of the bytes, so no two strings that differ are taken for
+    equal. Texts may have up to 2 GB, as Arrow has it; columns but doc_id and text are not read, so their names
+    can't clash.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_pack, "doc_ids array<long>, sizes array<int>, packed binary")
     held = cut(rows.withColumn("block", F.monotonically_increasing_id()))
-    order = ["key", "hull", "block", "pos"]
+    order = ["key", "hull", "more", "block", "pos"]
 
     def marked(pairs: DataFrame) -> DataFrame:
         found = pairs.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_rerank, "block long, pos long, whole boolean, weight byte")
@@ -300,10 +301,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     marks = marked(held.select("block", "sizes", "packed").mapInArrow(_anchors, ROWS))
     cells = marked(again(marks).mapInArrow(_cells, ROWS))
-    windows = again(cells).mapInArrow(_windows, ROWS).repartitionByRange("key", "block", "pos").sortWithinPartitions("key", "block", "pos")
-    found = cut(windows.mapInArrow(_rerank_windows, "key long, block long, pos long, total long, edge boolean"))
+    windows = again(cells).mapInArrow(_windows, ROWS).repartitionByRange("key", "hull", "block", "pos").sortWithinPartitions("key", "hull", "block", "pos")
+    found = cut(windows.mapInArrow(_rerank_windows, "key long, hull long, block long, pos long, total long, edge boolean"))
     edges = found.where("edge")
-    across = edges.where("total = 1").join(edges.groupBy("key").agg(F.sum("total").alias("sum")).where("sum > 1").select("key"), "key", "left_semi")
+    across = edges.where("total = 1").join(edges.groupBy("key", "hull").agg(F.sum("total").alias("sum")).where("sum > 1").select("key", "hull"), ["key", "hull"], "left_semi")
     more = found.where("NOT edge").select("block", "pos").unionByName(across.select("block", "pos")).groupBy("block").agg(F.sort_array(F.collect_list("pos")).alias("more"))
     sure = lambda df, name: df.select("block", F.filter("marks", lambda x: x["whole"]).alias(name)).where(F.size(name) > 0)
     told = sure(marks, "marks").join(sure(cells, "cells"), "block", "full").join(more, "block", "full")
