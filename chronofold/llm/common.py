@@ -45,7 +45,8 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
         return df.checkpoint(eager=True)
     told = Observation()
     held = df.observe(told, F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
-    return held.coalesce(max(1, -(-told.get["n"] // rows)))
+    n = told.get.get("n")
+    return held if n is None else held.coalesce(max(1, -(-n // rows)))
 
 
 def text_key() -> Column:
