@@ -79,22 +79,29 @@ def test_mix_meets_targets(spark):
         assert 0 <= r["taken"] <= 2 * r["size"]
         assert r["target"] == pytest.approx(target[r["source"]]) and r["source_size"] == sizes[r["source"]]
     # One order cut at the budget: all words of it are taken, and a source is off by the document at its cut.
-    assert sum(taken.values()) == int(1.5 * sum(sizes.values())) and all(abs(taken[s] - target[s]) <= 40 for s in sizes)
+    assert sum(taken.values()) == int(1.5 * sum(sizes.values())) and all(abs(taken[s] - target[s]) <= mixing.PACKET for s in sizes)
     again = mixing.mix(frame.repartition(5), mixing.n_words(mixing.F.col("text"))).collect()
     assert sorted((r["doc_id"], r["taken"]) for r in again) == sorted((r["doc_id"], r["taken"]) for r in got)
 
 
-def test_the_stream_is_sorted_by_finish_time_and_cut_at_the_budget(spark):
-    rows = sorted(mixing.stream(table(spark, mix_rows()), mixing.n_words(mixing.F.col("text"))).where("size > 0").collect(), key=lambda r: r["before"])
-    weight, budget, at = {"+a": 3, "+b": 1, "+c": 2, "-": 3}, int(1.5 * sum(r["size"] for r in rows) / 2), 0
-    own = Counter()
+def test_the_stream_is_sorted_by_finish_time_and_cut_at_the_budget(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PACKET", 7)
+    sizes, target = mix_targets(mix_rows())
+    held, _, packets = mixing.stream(table(spark, mix_rows()), mixing.n_words(mixing.F.col("text")))
+    rows = sorted(packets.collect(), key=lambda r: r["before"])
+    weight, budget, at = {"+a": 3, "+b": 1, "+c": 2, "-": 3}, int(1.5 * sum(sizes.values())), 0
+    own, sent, taken = Counter(), Counter(), Counter()
     for x, y in zip(rows, rows[1:]):
         assert (x["finish"], x["source_key"]) <= (y["finish"], y["source_key"])
     for r in rows:
-        own[r["source_key"]] += r["size"]
-        assert r["before"] == at and r["finish"] == own[r["source_key"]] / weight[r["source_key"]]
-        assert r["taken"] == max(0, min(r["size"], budget - at))
-        at += r["size"]
+        own[r["source_key"]] += r["words"]
+        sent[r["row"], r["pass"]] += r["words"]
+        taken[r["source_key"]] += r["taken"]
+        assert r["before"] == at and r["finish"] == own[r["source_key"]] / weight[r["source_key"]] and 0 < r["words"] <= 7
+        assert r["taken"] == max(0, min(r["words"], budget - at))
+        at += r["words"]
+    assert sent == Counter({(r["row"], k): r["size"] for r in held.collect() for k in (0, 1) if r["size"]})
+    assert all(abs(taken["-" if s is None else f"+{s}"] - target[s]) <= 7 for s in sizes)
 
 
 def test_mix_of_whole_documents(spark, monkeypatch):
