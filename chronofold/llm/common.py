@@ -62,8 +62,8 @@ def spread_join(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame
     """Left join of ``rows`` with ``table``, which has one row for each key, where a key may hold any share of the rows.
 
     The keys of more than HOT of all rows (1000 at most, whatever the data) are counted first, and their rows meet
-    a broadcast; they go through the ordinary join under salts of their own, as rows without a key do, so no task gathers them. ``rows`` are
-    read twice and should be checkpointed.
+    a broadcast; they go through the ordinary join under salts of their own, as rows without a key do, so no task
+    gathers them. ``rows`` are read twice and should be checkpointed.
     """
     counts = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
     least = int(rows.count() * HOT)
@@ -75,8 +75,10 @@ def spread_join(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame
     few = cut(hot.join(table, keys, "left").select(*keys, F.struct(*told).alias(held)))
     marked = rows.join(F.broadcast(few), keys, "left")
     nowhere = F.col(held).isNotNull() | reduce(or_, (F.col(k).isNull() for k in keys))
-    marked = marked.withColumn(salt, F.when(nowhere, F.xxhash64(*(F.col(c) for c in rows.columns)).bitwiseOR(F.lit(1))).otherwise(F.lit(0).cast("long")))
-    rest = table.withColumn(salt, F.lit(0).cast("long")).select(*keys, salt, F.struct(*told).alias(f"{held}_rest"))
+    # A literal salt would be taken out of the join's keys again.
+    own = F.xxhash64(*keys)
+    marked = marked.withColumn(salt, F.when(nowhere, F.xxhash64(*(F.col(c) for c in rows.columns), F.lit(1))).otherwise(own))
+    rest = table.withColumn(salt, own).select(*keys, salt, F.struct(*told).alias(f"{held}_rest"))
     out = marked.join(rest, [*keys, salt], "left")
     return out.select(*rows.columns, *(F.when(F.col(held).isNotNull(), F.col(held)[c]).otherwise(F.col(f"{held}_rest")[c]).alias(c) for c in told))
 

@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from chronofold.llm import exact_dedup, lines, media, mixing, near_dedup, packing, quality, secrets, sharding, substrings
+from chronofold.llm import common, exact_dedup, lines, media, mixing, near_dedup, packing, quality, secrets, sharding, substrings
 from chronofold.llm.components import connected_components
 
 SMALL = "/root/testdata/sf0.001"
@@ -718,6 +718,37 @@ def test_near_dedup_of_the_small_table(spark, texts):
         assert r["component_id"] == find(r["doc_id"]) and r["n_shingles"] == len(sets[r["doc_id"]])
 
 
+def test_hot_keys_are_spread(spark):
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else None if i % 2 else f"k{i}") for i in range(600)], "id long, key string")
+    held = spark.createDataFrame([("hot", 1, "x"), ("k0", 2, None), ("k6", None, "z"), ("never", 4, "w")], "key string, a int, b string")
+    got = common.spread_join(rows, held, ["key"])
+    told = {"hot": (1, "x"), "k0": (2, None), "k6": (None, "z")}
+    assert {r["id"]: (r["key"], r["a"], r["b"]) for r in got.collect()} == {i: (k, *told.get(k, (None, None))) for i, k in rows.collect()}
+    joined = got._jdf.queryExecution().executedPlan().toString()
+    assert got.columns == ["id", "key", "a", "b"] and "__salt" in joined.split("SortMergeJoin" if "SortMergeJoin" in joined else "HashJoin")[1].split("\n")[0]
+    assert common.spread_join(rows.limit(0), held, ["key"]).count() == 0
+
+
+def test_components_of_many_partitions(spark):
+    rnd = random.Random(12)
+    edges = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(260)]
+    root = list(range(400))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    frame = spark.createDataFrame(edges, "u long, v long").repartition(8)
+    got = {r["id"]: r["component"] for r in connected_components(frame, rows=30).collect()}
+    assert got == {x: find(x) for e in edges for x in e if e[0] != e[1]}
+    with pytest.raises(RuntimeError):
+        connected_components(spark.createDataFrame([(i, i + 1) for i in range(300)], "u long, v long").repartition(8), 1, rows=10)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, i) for i in range(10, 30)] + [(30, 29), (7, 7)]
     got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "u long, v long").repartition(4)).collect()}
