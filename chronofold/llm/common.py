@@ -201,12 +201,13 @@ _BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03
 
 
 def rolling(data: np.ndarray, width: int) -> np.ndarray:
-    """A cheap value of each ``width`` bytes (a power of two), for choosing places: equal bytes, equal values. Decides nothing."""
+    """A cheap value of each ``width`` bytes (a power of two), for choosing places by its high bits: equal bytes, equal values. Decides nothing."""
     h, n = _BYTES[data], 1
     while n < width:
-        h = h[: len(h) - n] * np.uint64(0x9E3779B97F4A7C15 + 2 * n) + h[n:]
-        n *= 2
-    return mix64(h)
+        high = h[: len(h) - n] * np.uint64(0x9E3779B97F4A7C15 + 2 * n)
+        high += h[n:]
+        h, n = high, n * 2
+    return h
 
 
 def as_bytes(column) -> list[bytes]:

@@ -19,6 +19,8 @@ _BITS = np.uint64(31)
 CELL = 16
 #: Bytes of text that are stored, sent and worked on together; a longer text is a block by itself.
 BLOCK = 1 << 20
+#: Positions that one step over a block handles.
+STEP = 1 << 14
 
 
 def names(data: bytes, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -69,14 +71,19 @@ class Windows:
         n = len(self.data)
         if n < LENGTH:
             return (np.zeros(0, np.int64),) * 3
-        q = np.arange(n - FIRST + 1)
-        self.rank = rolling(self.data, FIRST)
-        m = (self.rank >> _BITS << _BITS) | q.astype(np.uint64)
-        reach, width = LENGTH - FIRST + 1, 1
-        while width * 2 <= reach:
-            m = np.minimum(m[:-width], m[width:])
-            width *= 2
-        m = np.minimum(m[: len(m) - (reach - width)], m[reach - width :])
+        self.rank = np.empty(n - FIRST + 1, np.uint64)
+        m = np.empty(n - LENGTH + 1, np.uint64)
+        # Some positions at a time, so that all steps stay in the processor's cache.
+        for i in range(0, len(m), STEP):
+            size = min(STEP, len(m) - i)
+            rank = rolling(self.data[i : i + size + LENGTH - 1], FIRST)
+            self.rank[i : i + len(rank)] = rank
+            x = (rank >> _BITS << _BITS) | np.arange(i, i + len(rank), dtype=np.uint64)
+            reach, width = LENGTH - FIRST + 1, 1
+            while width * 2 <= reach:
+                x = np.minimum(x[:-width], x[width:])
+                width *= 2
+            m[i : i + size] = np.minimum(x[: len(x) - (reach - width)], x[reach - width :])
         ends = np.repeat(self.offset[1:], np.diff(self.offset))
         p = np.flatnonzero(ends[: len(m)] - np.arange(len(m)) >= LENGTH)
         if not len(p):
