@@ -209,3 +209,77 @@ def test_samples(spark):
     assert drawn.shape == (20, 4) and set(drawn.ravel().tolist()) <= {3, 4}
     with pytest.raises(RuntimeError):
         sampling.NegativeSampler(np.ones(2), 9).sample([{0, 1}])
+
+
+def shuffled_rows(df):
+    """Exchanges of the plan that makes ``df``."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hash")
+
+
+def test_lists_as_arrays_need_no_shuffle_of_queries(spark):
+    rng = np.random.default_rng(5)
+    log = edges(spark, [(f"u{rng.integers(12)}", f"i{rng.integers(30):02}") for _ in range(150)] + [("v", f"z{i}") for i in range(4)])
+    seen = [sorted({f"i{x:02}" for x in rng.integers(30, size=5)}) for _ in range(8)]
+    asked = queries(spark, *((i, x, x) for i, x in enumerate(seen)), (8, ["z1"], ["z1", "i03"]), (9, ["nothing"], ["i01"]))
+    held = item_cf.lists(asked, log, 12)
+    assert shuffled_rows(held) == 0
+    got = {(r["query_id"], r["rank"]): (r["item_id"], r["score"]) for r in item_cf.unlisted(held, "cf").collect()}
+    norms, pairs = item_cf.item_norms(log), item_cf.cosine_pairs(log).localCheckpoint()
+    best = item_cf.best_scored(asked, pairs, norms, 12).collect()
+    assert {(r["query_id"], r["rank"]): (r["item_id"], r["score"]) for r in best}.items() <= got.items()
+    assert sorted(r for q, r in got if q == 8) == list(range(1, 13)) and not any(q == 9 for q, _ in got)
+    key = lambda df: sorted((r["query_id"], r["item_id"], r["score"]) for r in df.collect())
+    assert key(item_cf.scores(asked, log)) == key(item_cf.score_queries(asked, log)) != []
+
+
+def test_heavy_queries_are_summed_in_parts(spark, monkeypatch):
+    log = edges(spark, [(f"u{u}", f"i{i:02}") for u in range(6) for i in range(u, 20)])
+    asked = queries(spark, (1, ["i05", "i06"], ["i05", "i06"]), (2, ["i19"], []))
+    whole = sorted(map(tuple, item_cf.scores(asked, log).collect()))
+    held = item_cf.shipped(log).value.built
+    monkeypatch.setattr(item_cf, "PRODUCTS", 7)
+    batch = asked.toArrow().combine_chunks().to_batches()[0]
+    parts = [(int(o), held.names[i], float(s)) for _, _, _, _, owner, item, score in held.scored(batch, 0.8, 20) for o, i, s in zip(owner, item, score)]
+    assert sorted((batch.column("query_id")[o].as_py(), str(i), s) for o, i, s in parts) == whole != []
+
+
+def test_pooled_search_scores_each_vector_once(spark):
+    rng = np.random.default_rng(6)
+    table = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(5)] + [(5, [0.0] * 4)], "code long, vector array<double>")
+    items = spark.createDataFrame([(i, i % 7) for i in range(60)], "item_id long, code long")
+    whole = items.join(table, "code").select("item_id", "vector")
+    asked = spark.createDataFrame([(q, [int(x) for x in rng.integers(70, size=6)], [int(x) for x in rng.integers(70, size=12)]) for q in range(9)] + [(9, [6], [])], "query_id long, history array<long>, seen array<long>")
+    shared = dense.catalogue(items, table)
+    assert shuffled_rows(dense.lists(shared, asked, whole.schema["item_id"].dataType, 15)) == 0
+    pooled = dense.pooled_queries(asked, whole)
+    key = lambda df: {r["query_id"]: r["vector"] for r in df.collect()}
+    a, b = key(pooled), key(dense.pooled_by(shared, asked))
+    assert a.keys() == b.keys() and all(np.allclose(a[q], b[q], atol=1e-12) for q in a)
+    told = lambda df: sorted((r["query_id"], r["rank"], r["item_id"]) for r in df.collect())
+    got = told(item_cf.unlisted(dense.lists(shared, asked, whole.schema["item_id"].dataType, 15), "neural"))
+    assert got == told(dense.exact_top_k(pooled.join(asked.select("query_id", "seen"), "query_id"), whole, 15)) != []
+
+
+def test_union_and_features_of_arrays_equal_those_of_rows(spark):
+    rows = [(q, [1, 2], [1, 2], 2, 3, [1 + q, 2, 9], [0.5, 0.4, 0.1], [3, 2], [2.0, 1.0], [9, 4, 5][: q + 1], [1.0, 0.5, 0.0][: q + 1]) for q in range(3)]
+    arrays = ", ".join(f"{s}_items array<long>, {s}_scores array<double>" for s in candidates.SOURCES)
+    asked = spark.createDataFrame(rows, f"query_id long, history array<long>, seen array<long>, prior_count int, item_id long, {arrays}")
+    lists = {s: item_cf.unlisted(asked, s) for s in candidates.SOURCES}
+    key = lambda df: sorted(tuple(r[c] for c in sorted(df.columns)) for r in df.fillna(-1).collect())
+    union = candidates.merge_ranks(lists).localCheckpoint()
+    assert key(candidates.merge_lists(asked)) == key(union)
+    targets = asked.select("query_id", "item_id")
+    assert key(candidates.coverage_of_lists(asked)) == key(candidates.union_coverage(union, targets))
+    assert key(candidates.group_sizes_of_lists(asked)) == key(candidates.group_sizes(candidates.hit_queries_only(union, targets))) != []
+    assert key(metrics.overlap_of_lists(asked, "neural", "cf", 2)) == key(metrics.candidate_overlap(lists["neural"].where("rank <= 2"), lists["cf"].where("rank <= 2")))
+    items = spark.createDataFrame([(1, "t", "a", "x"), (2, "t", "", "y"), (3, "t", "a", "x"), (9, "t", "b", "")], "item_id long, title string, main_category string, brand string")
+    scores = spark.createDataFrame([(1, 2.5), (4, 1.5)], "item_id long, score double")
+    assert key(candidates.features_of_lists(asked, items, scores)) == key(candidates.ranker_features(union, asked, items, scores))
+    assert {r["candidates"] for r in candidates.union_sizes(asked).collect()} <= set(range(1, 9))
+
+
+def test_popularity_arrays_equal_rows(spark):
+    scores = spark.createDataFrame([(i, float(i % 4)) for i in range(9)], "item_id long, score double")
+    asked = spark.createDataFrame([(1, [3, 7]), (2, []), (3, [0, 1, 2, 3, 4, 5, 6, 7])], "query_id long, seen array<long>")
+    key = lambda df: sorted((r["query_id"], r["rank"], r["item_id"], r["score"]) for r in df.collect())
+    assert key(item_cf.unlisted(popularity.lists(asked, scores, 4), "popularity")) == key(popularity.first_unseen(asked, scores, 4)) != []
