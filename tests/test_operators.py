@@ -283,3 +283,39 @@ def test_popularity_arrays_equal_rows(spark):
     asked = spark.createDataFrame([(1, [3, 7]), (2, []), (3, [0, 1, 2, 3, 4, 5, 6, 7])], "query_id long, seen array<long>")
     key = lambda df: sorted((r["query_id"], r["rank"], r["item_id"], r["score"]) for r in df.collect())
     assert key(item_cf.unlisted(popularity.lists(asked, scores, 4), "popularity")) == key(popularity.first_unseen(asked, scores, 4)) != []
+
+
+def test_graphs_are_built_in_tasks_and_their_lists_merged(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item_id long, vector array<double>")
+    asked = vectors.where("item_id % 10 = 0").select(F.col("item_id").alias("query_id"), "vector", F.array("item_id").alias("seen"))
+    monkeypatch.setattr(dense, "GRAPH", 250)
+    monkeypatch.setattr(dense, "SEARCHES", 40)
+    # No vector may reach the driver.
+    monkeypatch.setattr(type(vectors), "collect", lambda self: pytest.fail("rows were collected"))
+    found = dense.graph_top_k(asked, vectors, 5).localCheckpoint()
+    assert found.groupBy("query_id").count().where("count = 5").count() == 60 and found.where("query_id = item_id").isEmpty()
+    exact = dense.exact_top_k(asked, vectors, 5)
+    monkeypatch.undo()
+    assert metrics.candidate_overlap(exact, found).first()["overlap"] >= 0.9
+
+
+def test_searches_ask_for_each_fiftieth_row(spark):
+    from chronofold.plans.queries import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    ids = spark.read.parquet(f"{folder}/embeddings.parquet").where("vec_id % 50 = 0").count()
+    assert QUERIES["graph_topk"](spark, folder).select("query_id").distinct().count() == ids
+    assert QUERIES["lsh_overlap"](spark, folder).first()["queries"] == ids
+
+
+def test_buckets_make_no_rows_of_pairs(spark):
+    vectors = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(40)] + [(40, [-9.0, 0.0])], "item_id long, vector array<double>")
+    asked = spark.createDataFrame([(7, [1.0, 0.0], [7, 0])], "query_id long, vector array<double>, seen array<long>")
+    found = dense.lsh_top_k(asked, vectors, 50)
+    assert sorted(r["item_id"] for r in found.collect()) == [x for x in range(1, 40) if x != 7]
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
