@@ -319,3 +319,25 @@ def test_buckets_make_no_rows_of_pairs(spark):
     found = dense.lsh_top_k(asked, vectors, 50)
     assert sorted(r["item_id"] for r in found.collect()) == [x for x in range(1, 40) if x != 7]
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("held", [1 << 24, 0])
+def test_core_of_groups_is_settled_in_tasks_or_rounds(spark, monkeypatch, held):
+    monkeypatch.setattr(prepare, "CORE_EVENTS", held)
+    rng = np.random.default_rng(3)
+    pairs = sorted({(int(f), int(u), f"i{x}") for f, u, x in zip(rng.integers(1, 4, 1200), rng.integers(0, 60, 1200), rng.integers(0, 50, 1200))})
+    rows = spark.createDataFrame([(f, u, i, f"{u}{i}") for f, u, i in pairs] + [(1, None, "i0", "x")], "fold int, user_id long, item_id string, told string")
+    got = {(r["fold"], r["user_id"], r["item_id"]) for r in prepare.k_core(rows, 5, by=("fold",)).collect()}
+    for fold in (1, 2, 3):
+        users, items = prepare.k_core_rows([{"user_id": u, "item_id": i} for f, u, i in pairs if f == fold], 5)
+        assert {x for x in got if x[0] == fold} == {(f, u, i) for f, u, i in pairs if f == fold and str(u) in users and i in items}
+    assert got
+
+
+def test_core_rounds_write_nothing(spark, monkeypatch):
+    """A chain that loses a row a round: 60 rounds wrote 60 checkpoints of all rows."""
+    written, cut = [], prepare.cut_lineage
+    monkeypatch.setattr(prepare, "cut_lineage", lambda df: written.append(df) or cut(df))
+    chain = [(n, n) for n in range(30)] + [(n + 1, n) for n in range(30)]
+    rows = spark.createDataFrame(chain + [(u, i) for u in (90, 91) for i in (90, 91)], "user_id long, item_id long")
+    assert {r["user_id"] for r in prepare.k_core(rows, 2).collect()} == {90, 91} and len(written) <= 3
