@@ -165,3 +165,11 @@ def test_queries_match_their_oracles(spark):
         assert cols == sorted(b.columns), name
         a, b = (x[cols].sort_values(cols).reset_index(drop=True) for x in (a, b))
         pd.testing.assert_frame_equal(a, b, check_dtype=False, obj=name, rtol=0, atol=1e-9)
+
+
+def test_lists_of_all_sources_need_one_worker_a_task(spark):
+    """Each mapInArrow of a stage holds a Python worker with its own tables; there were two for the three sources."""
+    from chronofold.plans.dataset import Dataset
+
+    rows = Dataset.of(spark, "/root/testdata/sf0.001").with_lists("validation")
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
