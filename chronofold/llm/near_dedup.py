@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from chronofold.llm.common import ROWS, Powers, as_bytes, batches, by_groups, chunks, cut, mix64, read, spread_join, text_key
 from chronofold.llm.components import _local_forest, connected_components
+from chronofold.session import sweep
 
 SHINGLE = 5
 PERCENT = 85
@@ -402,6 +403,7 @@ def crowded_links(sets: DataFrame, members: DataFrame, links: DataFrame, percent
     score = cut(rows.groupBy("id").agg(F.sum("size").alias("score")), ROWS)
     sets = cut(some.join(score.select("id"), "id", "left_semi").select("id", "n", "signature"))
     members = cut(members.join(score.select("id"), "id", "left_semi"))
+    sweep(members.sparkSession)
     rows = cut(rows.select("head", "id").join(score, "id").join(sets.select("id", "n"), "id"), ROWS)
     found = connected_components(links)
     left = rows
@@ -445,6 +447,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     sets = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.first("signature").alias("signature"), F.first("n").alias("n"))
     sets = cut(sets.select("digest", "first.doc_id", "first.key", "signature", "n", F.monotonically_increasing_id().alias("id")))
     pairs = cut(candidate_pairs(sets.select("id", "signature")), ROWS)
+    sweep(docs.sparkSession)  # of the orders, the largest shuffle but the texts'
     ends = pairs.select(F.col("u").alias("id"), "v", "votes").unionByName(pairs.select(F.col("v").alias("id"), F.col("u").alias("v"), "votes"))
     wanted = sets.select("doc_id", "key", "digest", "id").join(ends.select("id").distinct(), "id", "left_semi")
     members = cut(
@@ -455,10 +458,12 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
         .groupBy("id")
         .agg(F.first("members").alias("members"))
     )
+    sweep(docs.sparkSession)  # of the packed texts
     confirm = _confirm(percent)
     best = ends.groupBy("id").agg(F.max(F.struct("votes", (-F.col("v")).alias("other"))).alias("best")).select("id", (-F.col("best.other")).alias("other"))
     chosen = best.select(F.least("id", "other").alias("u"), F.greatest("id", "other").alias("v")).distinct()
     first = cut(_beside(chosen, members, "members").mapInArrow(confirm, "u long, v long"), ROWS)
+    sweep(docs.sparkSession)  # of the sets that met
     so_far = connected_components(first)
     root = lambda side: so_far.select(F.col("id").alias(side), F.col("component").alias(f"{side}_root"))
     size = lambda side: sets.select(F.col("id").alias(side), F.col("n").alias(f"{side}_n"))
@@ -476,7 +481,11 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     )
     likely = cut(_beside(apart, sets, "signature").mapInArrow(_agree(percent), "u long, v long"), ROWS)
     second = cut(_beside(likely, members, "members").mapInArrow(confirm, "u long, v long"), ROWS)
-    found = connected_components(crowded_links(sets, members, first.unionByName(second), percent))
+    sweep(docs.sparkSession)
+    links = crowded_links(sets, members, first.unionByName(second), percent)
+    del members
+    sweep(docs.sparkSession)
+    found = connected_components(links)
     rooted = sets.select("digest", "id", "doc_id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = rooted.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_set = cut(rooted.join(least, "component").select("digest", "component_id"), ROWS)
