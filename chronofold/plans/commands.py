@@ -161,8 +161,8 @@ def evaluate_candidate_union(p: Project, *, retriever: str = "retriever-history-
     if queries.isEmpty():
         raise ValueError("there are no examples to evaluate")
     model, index, users = load_retriever(p, retriever)
-    _, lists = training.candidate_rows(queries, p.dataset.train, p.dataset.items, model, index, p.dataset, users)
-    told = candidates.union_coverage(candidates.merge_ranks(lists), queries.select("query_id", "item_id")).first().asDict()
+    lists, _ = training.listed_queries(queries, p.dataset.train, model, index, p.dataset, users)
+    told = candidates.coverage_of_lists(lists).first().asDict()
     return writers.write_json(told, p.artifact("evaluation", "validation-candidate-union.json"))
 
 
