@@ -93,28 +93,16 @@ def _segments(it):
 
 
 def _shared(it):
-    """Of a sorted partition: the lines whose key another line has too; groups at its ends count as shared."""
+    """Of a partition sorted by key and line that has all rows of its keys: the lines whose key another line has too."""
     import pyarrow as pa
 
-    def told(piece, first: bool, last: bool):
+    for piece in by_groups(it, ["key"]):
         key, line = piece["key"], piece["line"]
         new_key = np.concatenate([[True], key[1:] != key[:-1]])
         new_line = new_key | np.concatenate([[True], line[1:] != line[:-1]])
         group = np.cumsum(new_key) - 1
-        several = np.bincount(group, new_line) > 1
-        several[0] |= first
-        several[-1] |= last
-        keep = new_line & several[group]
-        return pa.RecordBatch.from_pydict({"line": line[keep], "code": piece["code"][keep]})
-
-    before, first = None, True
-    for piece in by_groups(it, ["key"]):
-        if before is not None:
-            yield told(before, first, False)
-            first = False
-        before = piece
-    if before is not None:
-        yield told(before, first, True)
+        keep = new_line & (np.bincount(group, new_line) > 1)[group]
+        yield pa.RecordBatch.from_pydict({"line": line[keep], "code": piece["code"][keep]})
 
 
 def _named_lines(it):
@@ -245,7 +233,8 @@ def drop_lines(docs: DataFrame, *, lines: str = "n_lines", dropped: str = "n_dro
     bodies = named.where("text IS NOT NULL").select(F.col(own).alias("doc"), F.col(key).alias("k"), F.col("text").cast("string").alias("text"))
     occurrences = bodies.mapInArrow(_occurrences, "hi long, lo long, doc long, k long, number int")
     classes = occurrences.groupBy("hi", "lo").agg(F.min(F.struct("doc", "k", "number")).alias("first"), F.count("*").alias("n"))
-    shared = cut(bodies.mapInArrow(_segments, "key long, line long, code int").repartitionByRange("key", "line").sortWithinPartitions("key", "line").mapInArrow(_shared, "line long, code int"))
+    # By hash: for ranges all keys would be made twice, once to sample them. A key's rows are 20 bytes for each of its different lines.
+    shared = cut(bodies.mapInArrow(_segments, "key long, line long, code int").repartition("key").sortWithinPartitions("key", "line").mapInArrow(_shared, "line long, code int"))
     codes = shared.groupBy(F.col("line").alias("lo")).agg(F.collect_set("code").alias("codes"))
     known = cut(classes.join(codes, "lo", "left").where("n > 1 OR codes IS NOT NULL"))
     by_row = known.where("codes IS NOT NULL").groupBy(F.col("first.doc").alias("doc"), F.col("first.k").alias("k")).agg(F.collect_list(F.struct("hi", "lo", F.col("first.number").alias("number"), "codes")).alias("wanted"))

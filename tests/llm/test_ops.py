@@ -770,3 +770,14 @@ def test_queries_match_their_oracles(spark):
         assert cols == sorted(b.columns), name
         a, b = (x[cols].astype(str).sort_values(cols).reset_index(drop=True) for x in (a, b))
         assert a.equals(b), name
+
+
+def test_line_keys_are_made_once_and_kept_only_if_shared(spark, monkeypatch):
+    """Keys dealt by ranges would be sampled, for which all of them are made a second time."""
+    import pyarrow as pa
+
+    sent = pa.RecordBatch.from_pydict({"key": pa.array([1, 2, 2, 3], pa.int64()), "line": pa.array([7, 7, 8, 9], pa.int64()), "code": pa.array([0, 1, 1, 2], pa.int32())})
+    assert [r for b in lines._shared(iter([sent])) for r in b.to_pylist()] == [{"line": 7, "code": 1}, {"line": 8, "code": 1}]
+    docs = table(spark, line_rows())
+    monkeypatch.setattr(type(docs), "repartitionByRange", lambda *a: pytest.fail("line keys were sampled"))
+    assert lines.drop_lines(docs).where("n_dropped > 0").count()
