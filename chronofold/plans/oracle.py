@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from chronofold.config import DEFAULTS
 from chronofold.plans.dataset import K
 
 CORE_ROUNDS = 30
@@ -56,43 +57,65 @@ def popularity(half_life: int) -> str:
     return f"(SELECT item_id, sum(pow(0.5, greatest((mx - epoch_us(ts)) / 86400000000.0, 0.0) / {half_life}.0)) AS score FROM tr, (SELECT max(epoch_us(ts)) AS mx FROM tr) GROUP BY item_id)"
 
 
-POP = [
-    f"pop AS MATERIALIZED {popularity(30)}",
-    f"""poplist AS MATERIALIZED (SELECT q.query_id, p.item_id, p.score, row_number() OVER (PARTITION BY q.query_id ORDER BY p.score DESC, p.item_id) AS rank
+def pop_of(k: int) -> list[str]:
+    return [
+        f"pop AS MATERIALIZED {popularity(30)}",
+        f"""poplist AS MATERIALIZED (SELECT q.query_id, p.item_id, p.score, row_number() OVER (PARTITION BY q.query_id ORDER BY p.score DESC, p.item_id) AS rank
   FROM q CROSS JOIN (SELECT item_id, round(score, 9) AS score FROM pop) p
-  WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.query_id = q.query_id AND s.item_id = p.item_id) QUALIFY rank <= {K})""",
-]
+  WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.query_id = q.query_id AND s.item_id = p.item_id) QUALIFY rank <= {k})""",
+    ]
+
+
+POP = pop_of(K)
 PAIRS = [
     "edge AS (SELECT user_id, item_id, CAST(count(*) AS DOUBLE) AS value FROM tr GROUP BY user_id, item_id)",
     "norms AS (SELECT item_id, sqrt(sum(value * value)) AS norm FROM edge GROUP BY item_id)",
     """sims AS MATERIALIZED (SELECT a.item_id AS item_i, b.item_id AS item_j, sum(a.value * b.value) / (any_value(n.norm) * any_value(m.norm)) AS similarity
   FROM edge a JOIN edge b USING (user_id) JOIN norms n ON n.item_id = a.item_id JOIN norms m ON m.item_id = b.item_id GROUP BY a.item_id, b.item_id)""",
 ]
-CF = PAIRS + [
-    """cfscore AS MATERIALIZED (SELECT s.query_id, x.item_j AS item_id, round(sum(pow(0.8, s.back - 1) * x.similarity), 9) AS score
+
+
+def cf_of(k: int) -> list[str]:
+    return PAIRS + [
+        """cfscore AS MATERIALIZED (SELECT s.query_id, x.item_j AS item_id, round(sum(pow(0.8, s.back - 1) * x.similarity), 9) AS score
   FROM seen s JOIN sims x ON x.item_i = s.item_id WHERE s.back <= 20
     AND NOT EXISTS (SELECT 1 FROM seen t WHERE t.query_id = s.query_id AND t.item_id = x.item_j) GROUP BY s.query_id, x.item_j)""",
-    f"""cflist AS MATERIALIZED (SELECT q.query_id, n.item_id, coalesce(c.score, 0.0) AS score, row_number() OVER (PARTITION BY q.query_id ORDER BY coalesce(c.score, 0.0) DESC, n.item_id) AS rank
+        f"""cflist AS MATERIALIZED (SELECT q.query_id, n.item_id, coalesce(c.score, 0.0) AS score, row_number() OVER (PARTITION BY q.query_id ORDER BY coalesce(c.score, 0.0) DESC, n.item_id) AS rank
   FROM q CROSS JOIN norms n LEFT JOIN cfscore c ON c.query_id = q.query_id AND c.item_id = n.item_id
-  WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.query_id = q.query_id AND s.item_id = n.item_id) QUALIFY rank <= {K})""",
-]
+  WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.query_id = q.query_id AND s.item_id = n.item_id) QUALIFY rank <= {k})""",
+    ]
+
+
+CF = cf_of(K)
 POOLED = [
     "vec AS MATERIALIZED (SELECT item_id, CAST(embedding AS DOUBLE[]) AS vector FROM (SELECT DISTINCT item_id FROM tr) JOIN embeddings ON vec_id = item_id % (SELECT count(*) FROM embeddings))",
     "parts AS (SELECT s.query_id, pow(0.8, s.back - 1) AS w, unnest(range(64)) AS i, unnest(vector) AS x FROM seen s JOIN vec USING (item_id) WHERE s.back <= 20)",
     "comp AS (SELECT query_id, CAST(i AS INTEGER) AS i, sum(w * x) / greatest(sum(w), 1e-8) AS x FROM parts GROUP BY query_id, i)",
     "qvec AS MATERIALIZED (SELECT query_id, list(x ORDER BY i) AS vector FROM comp GROUP BY query_id)",
 ]
-DENSE = POOLED + [
-    f"""denselist AS MATERIALIZED (SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank
+
+
+def dense_of(k: int) -> list[str]:
+    return POOLED + [
+        f"""denselist AS MATERIALIZED (SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank
   FROM (SELECT a.query_id, b.item_id, round(list_inner_product(a.vector, b.vector), 9) AS score FROM qvec a CROSS JOIN vec b
-    WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.query_id = a.query_id AND s.item_id = b.item_id)) QUALIFY rank <= {K})""",
-]
-UNION = POP + CF + DENSE + [
-    """listed AS (SELECT query_id, item_id, 0 AS s, rank FROM denselist UNION ALL SELECT query_id, item_id, 1, rank FROM poplist UNION ALL SELECT query_id, item_id, 2, rank FROM cflist)""",
-    """merged AS MATERIALIZED (SELECT query_id, item_id, CAST(min(rank) FILTER (s = 0) AS INTEGER) AS neural_rank, CAST(min(rank) FILTER (s = 1) AS INTEGER) AS popularity_rank,
+    WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s.query_id = a.query_id AND s.item_id = b.item_id)) QUALIFY rank <= {k})""",
+    ]
+
+
+DENSE = dense_of(K)
+
+
+def union_of(k: int) -> list[str]:
+    return pop_of(k) + cf_of(k) + dense_of(k) + [
+        """listed AS (SELECT query_id, item_id, 0 AS s, rank FROM denselist UNION ALL SELECT query_id, item_id, 1, rank FROM poplist UNION ALL SELECT query_id, item_id, 2, rank FROM cflist)""",
+        """merged AS MATERIALIZED (SELECT query_id, item_id, CAST(min(rank) FILTER (s = 0) AS INTEGER) AS neural_rank, CAST(min(rank) FILTER (s = 1) AS INTEGER) AS popularity_rank,
     CAST(min(rank) FILTER (s = 2) AS INTEGER) AS cf_rank, CAST(count(DISTINCT s) AS INTEGER) AS source_count, min(s * 1000 + rank) AS f FROM listed GROUP BY query_id, item_id)""",
-    "uni AS MATERIALIZED (SELECT * EXCLUDE (f), CAST(row_number() OVER (PARTITION BY query_id ORDER BY f) AS INTEGER) AS ord FROM merged)",
-]
+        "uni AS MATERIALIZED (SELECT * EXCLUDE (f), CAST(row_number() OVER (PARTITION BY query_id ORDER BY f) AS INTEGER) AS ord FROM merged)",
+    ]
+
+
+UNION = union_of(K)
 
 
 def affinity(column: str, name: str) -> str:
@@ -175,7 +198,7 @@ SELECT query_id, item_id, CAST(rank AS INTEGER) AS rank, s AS score FROM (
     "weighted_history_pooling": of(EX + POOLED, "SELECT query_id, i, round(x, 6) AS x FROM comp"),
     "source_rank_merge": of(EX + UNION, "SELECT * FROM uni"),
     "candidate_union": of(EX + UNION, "SELECT query_id, count(*) AS candidates, CAST(sum(source_count) AS BIGINT) AS listings FROM uni GROUP BY query_id"),
-    "union_recall": of(EX + UNION, """SELECT count(*) AS examples, round(avg(n), 6) AS neural_recall, round(avg(p), 6) AS popularity_recall, round(avg(c), 6) AS cf_recall, round(avg(u), 6) AS union_recall, round(avg(size), 6) AS mean_candidates FROM (
+    "union_recall": of(EX + union_of(DEFAULTS["retrieval"]["candidate_count"]), """SELECT count(*) AS examples, round(avg(n), 6) AS neural_recall, round(avg(p), 6) AS popularity_recall, round(avg(c), 6) AS cf_recall, round(avg(u), 6) AS union_recall, round(avg(size), 6) AS mean_candidates FROM (
   SELECT q.query_id, max(CASE WHEN u.item_id = q.item_id AND neural_rank IS NOT NULL THEN 1.0 ELSE 0.0 END) AS n, max(CASE WHEN u.item_id = q.item_id AND popularity_rank IS NOT NULL THEN 1.0 ELSE 0.0 END) AS p,
     max(CASE WHEN u.item_id = q.item_id AND cf_rank IS NOT NULL THEN 1.0 ELSE 0.0 END) AS c, max(CASE WHEN u.item_id = q.item_id THEN 1.0 ELSE 0.0 END) AS u, count(u.item_id) AS size FROM q LEFT JOIN uni u USING (query_id) GROUP BY q.query_id)"""),
     "ranker_features": of(EX + META + UNION + [affinity("main_category", "ca"), affinity("brand", "ba")], """SELECT u.query_id, u.item_id, u.ord, round(coalesce(1.0 / neural_rank, 0), 6) AS neural_inverse_rank, round(coalesce(1.0 / popularity_rank, 0), 6) AS popularity_inverse_rank,

@@ -341,3 +341,13 @@ def test_core_rounds_write_nothing(spark, monkeypatch):
     chain = [(n, n) for n in range(30)] + [(n + 1, n) for n in range(30)]
     rows = spark.createDataFrame(chain + [(u, i) for u in (90, 91) for i in (90, 91)], "user_id long, item_id long")
     assert {r["user_id"] for r in prepare.k_core(rows, 2).collect()} == {90, 91} and len(written) <= 3
+
+
+def test_union_recall_has_all_candidates_of_the_configuration(spark):
+    """It stopped at 50 candidates a source, so a union had 150 at most; the configuration has 200."""
+    from chronofold.plans.oracle import SQL
+    from chronofold.plans.queries import QUERIES
+
+    told = QUERIES["union_recall"](spark, "/root/testdata/sf0.01").first()
+    assert told["mean_candidates"] > 150 and told["examples"] == 2392
+    assert SQL["union_recall"].count("rank <= 200") == 3 and "rank <= 50" not in SQL["union_recall"]
