@@ -351,3 +351,17 @@ def test_union_recall_has_all_candidates_of_the_configuration(spark):
     told = QUERIES["union_recall"](spark, "/root/testdata/sf0.01").first()
     assert told["mean_candidates"] > 150 and told["examples"] == 2392
     assert SQL["union_recall"].count("rank <= 200") == 3 and "rank <= 50" not in SQL["union_recall"]
+
+
+def test_passes_see_few_rows_at_once(spark):
+    """Whole Arrow batches of 10,000 queries with their lists took an executor beyond its memory."""
+    from chronofold.operators import shipping
+
+    def sizes(it):
+        import pyarrow as pa
+
+        for batch in it:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([batch.num_rows] * batch.num_rows, pa.int64())], names=[*batch.schema.names, "n"])
+
+    told = shipping.through(spark.range(5000).repartition(1), [(sizes, {"n": "bigint"})]).collect()
+    assert sorted(r["id"] for r in told) == list(range(5000)) and max(r["n"] for r in told) <= 1024
